@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, packing
+from . import bpe, packing, secrets
 
 
 def queries() -> dict:
     return {
+        "op2_secrets": secrets.op2_secrets,
         "op3_packing": packing.op3_packing,
         "op5_bpe": bpe.op5_bpe,
     }
