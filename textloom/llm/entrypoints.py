@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, secrets
+from . import bpe, licenses, packing, secrets
 
 
 def queries() -> dict:
     return {
         "op2_secrets": secrets.op2_secrets,
         "op3_packing": packing.op3_packing,
+        "op4_licenses": licenses.op4_licenses,
         "op5_bpe": bpe.op5_bpe,
     }
 
