@@ -86,8 +86,8 @@ class FeatureCrf:
                 live = np.arange(ids.shape[1])[None, :] < length[:, None]
                 marginal, pair, first = forward_backward(self.emissions(ids), length, self.trans, self.start)
                 gap = np.eye(k)[y] * live[:, :, None] - marginal
-                gw = np.zeros_like(self.w)
-                np.add.at(gw, ids.reshape(-1, ids.shape[2]), np.repeat(gap.reshape(-1, 1, k), ids.shape[2], 1))
+                flat, wide = ids.reshape(-1), np.repeat(gap.reshape(-1, k), ids.shape[2], 0)
+                gw = np.stack([np.bincount(flat, wide[:, j], len(self.w)) for j in range(k)], 1)
                 gw[0] = 0.0
                 gt = -pair
                 np.add.at(gt, (y[:, :-1][live[:, 1:]], y[:, 1:][live[:, 1:]]), 1.0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, packing, pii, secrets
+from . import bpe, licenses, packing, pii, secrets, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_packing": packing.op3_packing,
         "op4_licenses": licenses.op4_licenses,
         "op5_bpe": bpe.op5_bpe,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op10_pii": pii.op10_pii,
     }
 
