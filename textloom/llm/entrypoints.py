@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, packing, pii, secrets, simhash, toxicity
+from . import bpe, licenses, packing, pii, quality, secrets, simhash, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_packing": packing.op3_packing,
         "op4_licenses": licenses.op4_licenses,
         "op5_bpe": bpe.op5_bpe,
+        "op6_quality": quality.op6_quality,
         "op7_toxicity": toxicity.op7_toxicity,
         "op9_simhash": simhash.op9_simhash,
         "op10_pii": pii.op10_pii,
