@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, packing, pii, quality, secrets, simhash, toxicity
+from . import bpe, imatch, licenses, packing, pii, quality, secrets, simhash, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_imatch": imatch.op1_imatch,
         "op2_secrets": secrets.op2_secrets,
         "op3_packing": packing.op3_packing,
         "op4_licenses": licenses.op4_licenses,
