@@ -75,7 +75,7 @@ def planes(fps: np.ndarray) -> np.ndarray:
     full = np.zeros(n, np.uint64)
     full[: len(fps)] = fps
     bits = np.unpackbits(full.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    return np.packbits(bits.T.reshape(64, n // 64, 64), axis=2, bitorder="little").view("<u8").reshape(64, n // 64)
+    return np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits.T).reshape(64, n // 64, 64), axis=2, bitorder="little")).view("<u8").reshape(64, n // 64)
 
 
 def within(fp: int, vertical: np.ndarray, radius: int) -> np.ndarray:
@@ -129,7 +129,7 @@ def within(fp: int, vertical: np.ndarray, radius: int) -> np.ndarray:
             live, over, counters = live[keep], over[keep], counters[:, keep]
             if not len(live):
                 return np.zeros(0, np.int64)
-    near = np.unpackbits((~over).view(np.uint8).reshape(len(live), 8), axis=1, bitorder="little")
+    near = np.unpackbits(np.ascontiguousarray(~over).view(np.uint8).reshape(len(live), 8), axis=1, bitorder="little")
     at, lane = np.nonzero(near)
     return live[at] * 64 + lane
 
