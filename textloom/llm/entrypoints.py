@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, imatch, licenses, packing, pii, quality, secrets, simhash, toxicity
+from . import bpe, imatch, licenses, packing, pii, quality, secrets, simhash, suffixes, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_bpe": bpe.op5_bpe,
         "op6_quality": quality.op6_quality,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_suffixes": suffixes.op8_suffixes,
         "op9_simhash": simhash.op9_simhash,
         "op10_pii": pii.op10_pii,
     }
