@@ -112,8 +112,10 @@ def neighbours(ids: DataFrame) -> DataFrame:
 
 
 def with_edited(docs: DataFrame) -> DataFrame:
-    """k, doc_id, next_k, text, edited, sha of each row of doc_id, text."""
-    rows = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """k, next_k, text, edited of each row of doc_id, text; k stands for the id.
+
+    Both uses of the texts ask for the same columns, so that they share one shuffle."""
+    rows = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     near = neighbours(rows.groupBy("k").agg(F.max(F.length("text")).alias("n")))
     joined = rows.join(near, "k")
     heads = joined.select("prev_k", "k", F.substring(F.col("text"), F.lit(1), F.floor(F.col("prev_n") / 4).cast("int")).alias("head"), F.sha2("text", 256).alias("sha"))
@@ -121,7 +123,7 @@ def with_edited(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("head"), F.lit(1), cut))
-    return joined.join(heads, "k").select("k", "doc_id", "next_k", "text", edited.alias("edited"))
+    return joined.join(heads, "k").select("k", "next_k", "text", edited.alias("edited"))
 
 
 def fingerprints(docs: DataFrame, *, text: str = "text", **band) -> DataFrame:
@@ -134,8 +136,8 @@ def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     table = lexicon(docs)
     rows = with_edited(docs)
-    rows = rows.select("k", "doc_id", "next_k", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.sha2("text", 256).alias("sha"), "text", "edited")
+    rows = rows.select("k", "next_k", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.sha2("text", 256).alias("sha"), "text", "edited")
     marked = written(fingerprint(rows, table, {"text": "fingerprint", "edited": "edited_fingerprint"}), "imatch")
     following = marked.groupBy(F.col("k").alias("next_k")).agg(F.min_by("fingerprint", "sha").alias("next_fingerprint"))
     both = marked.join(following, "next_k")
-    return both.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
+    return both.select(F.when(F.col("k") != _NULL_ID, F.col("k")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
