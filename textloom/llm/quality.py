@@ -96,7 +96,9 @@ def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
 def quality_rules(docs: DataFrame, labels: DataFrame, *, text: str = "text", threshold: float = THRESHOLD, rows: int = TRUSTED_ROWS) -> DataFrame:
     """docs' columns, the fixed rules' columns, score and kept."""
     scored = with_ratio(docs, ratio_table(docs, trusted_ids(labels, rows), text=text), text)
-    return fixed_rules(scored, text).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    # a filter on `kept` must not be pushed below the arrays it comes from, where they would be made anew for every element
+    ruled = fixed_rules(scored, text).withColumn("_row", F.monotonically_increasing_id())
+    return ruled.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold) & (F.col("_row") >= 0)).drop("_row")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

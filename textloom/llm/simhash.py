@@ -58,15 +58,16 @@ def simhash(text: str, size: int = 3) -> int:
     return int(np.packbits(2 * set_bits > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, also: str | None = None) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long), and a long column to take along."""
+    more = [also] if also else []
 
     def work(batches):
         for b in batches:
             fp = np.array([simhash(t, size) for t in texts_of(b)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], names=["doc_id", "fp", *more])
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), work, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more), work, ", ".join(["doc_id long", "fp long", *(f"{c} long" for c in more)]))
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -227,16 +228,28 @@ def near_links(classes: DataFrame, *, radius: int = 3, block: int = BLOCK) -> Da
     return spread.mapInArrow(work, "a long, b long").distinct()
 
 
-def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3, block: int = BLOCK) -> DataFrame:
-    """doc_id, fp, component_id of every row."""
-    marks = written(fingerprints(docs, id_col=id_col, text_col=text_col, size=size), "simhash")
+def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3, block: int = BLOCK, also: str | None = None) -> DataFrame:
+    """doc_id, fp, component_id of every row, and the column `also`."""
+    marks = written(fingerprints(docs, id_col=id_col, text_col=text_col, size=size, also=also), "simhash")
     classes = marks.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least"))
     parts = connected_components(near_links(classes.select("fp"), radius=radius, block=block))
     # roots are fingerprints; a component's id is the least document id of its classes
     whole = classes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     ids = whole.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = whole.join(ids, "root").select("fp", "component_id")
-    return marks.join(by_class, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return marks.join(by_class, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), *([also] if also else []))
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs with one row of each component: the smallest id's, of equal ids the smallest text hash's.
+
+    Rows without an id link nothing and stay. Of rows that repeat id and text one stays."""
+    keyed = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    named = keyed.where(F.col(id_col).isNotNull())
+    found = near_components(named, id_col=id_col, text_col=text_col, also="_th", **how)
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "_th")).alias("w")).select(F.col("w.doc_id").alias(id_col), "w._th")
+    kept = named.join(first, [id_col, "_th"], "left_semi").dropDuplicates([id_col, "_th"])
+    return kept.unionByName(keyed.where(F.col(id_col).isNull())).select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
