@@ -1,4 +1,507 @@
-"""Registered queries and their DuckDB oracles."""
+"""Registered queries, each with DuckDB SQL that computes the same rows independently."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import strings, text
+from ..operators import graph, index, search, spelling
+from ..session import written
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+BOOLEAN = ["of the", "the and der", "la de", "the the thing", "nosuchword", "the nosuchword"]
+RANKED = ["the thing", "der und", "ciónes la", "of of nosuchword"]
+WILD = ["then*", "*ation", "th*er", "*", "a%*"]
+WILD_PAIRS = ["the th*n", "de* la", "*tion of"]
+#: Rounds of registered iterations, so that both engines stop at the same place.
+ROUNDS, STEPS = 15, 15
+_WORDS = r"[\p{L}0-9]+"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+
+
+def _toks(spark: SparkSession, d: str, **how) -> DataFrame:
+    return index.tokens(_docs(spark, d), **how)
+
+
+def _of_terms(spark: SparkSession, d: str, q: DataFrame) -> DataFrame:
+    """Tokens of a query batch's terms alone."""
+    return _toks(spark, d).join(search.small(q.select("term").distinct()), "term", "left_semi")
+
+
+def _tf(spark: SparkSession, d: str, q: DataFrame) -> DataFrame:
+    return index.counts(_of_terms(spark, d, q))
+
+
+def _batch(spark: SparkSession, texts: list[str]) -> DataFrame:
+    return search.parse_queries(spark, texts)
+
+
+def _vocab(spark: SparkSession, d: str) -> DataFrame:
+    return index.vocabulary(index.counts(_toks(spark, d)))
+
+
+def _values(texts: list[str]) -> str:
+    rows = [f"({i}, {k}, '{t}')" for i, q in enumerate(texts) for k, t in enumerate(q.lower().split())]
+    return "q(query_id, idx, term) AS (VALUES " + ", ".join(rows) + ")"
+
+
+_TOK = rf"tok AS (SELECT doc_id, unnest(range(len(ts))) AS pos, unnest(ts) AS term FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORDS}') AS ts FROM documents))"
+_TF = _TOK + ", tf AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY ALL)"
+_DF = _TF + ", df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents)"
+_LEN = rf"len_ AS (SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '{_WORDS}')) AS n_tokens FROM documents)"
+_EUC = "euc AS (SELECT doc_id, sqrt(sum((tf * ln(n / df)) ** 2)) AS euclid_len FROM tf JOIN df USING (term), n GROUP BY ALL)"
+
+
+# tokens
+
+
+@query("tok_standard", f"WITH {_TOK} SELECT term, count(*) AS n FROM tok GROUP BY ALL")
+def tok_standard(spark, d):
+    return _toks(spark, d).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query("tok_keep_punct", r"SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}0-9]+|[!-/:-@\[-`{-~]')) AS term FROM documents) GROUP BY ALL")
+def tok_keep_punct(spark, d):
+    return _toks(spark, d, remove_punctuation=False).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query("tok_strip_diacritics", "SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(translate(coalesce(text, ''), '{}', '{}')), '{}')) AS term FROM documents) GROUP BY ALL".format(*text.diacritics(), _WORDS))
+def tok_strip_diacritics(spark, d):
+    return _toks(spark, d, remove_diacritics=True).groupBy("term").agg(F.count("*").alias("n"))
+
+
+_MATCH = "CASE " + " ".join("WHEN regexp_matches(rest, '{0}') THEN regexp_extract(rest, '{0}', 0)".format(p.replace("'", "''")) for p in text.PATTERNS) + " ELSE '' END"
+
+
+@query(
+    "tok_patterns",
+    rf"""WITH RECURSIVE c AS (SELECT chunk, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}!-~]+')) AS chunk FROM documents) GROUP BY ALL),
+    s(chunk, rest, toks) AS (SELECT chunk, chunk, []::VARCHAR[] FROM c UNION ALL
+      SELECT chunk, substr(rest, CASE WHEN m = '' THEN length(rest) + 1 ELSE instr(rest, m) + length(m) END),
+        toks || regexp_extract_all(CASE WHEN m = '' THEN rest ELSE substr(rest, 1, instr(rest, m) - 1) END, '{_WORDS}') || CASE WHEN m = '' THEN []::VARCHAR[] ELSE [m] END
+      FROM (SELECT *, {_MATCH} AS m FROM s WHERE rest <> ''))
+    SELECT term, sum(n)::BIGINT AS n FROM (SELECT unnest(toks) AS term, n FROM s JOIN c USING (chunk) WHERE rest = '') GROUP BY ALL""",
+)
+def tok_patterns(spark, d):
+    return _toks(spark, d, patterns=text.PATTERNS).groupBy("term").agg(F.count("*").alias("n"))
+
+
+# index
+
+
+@query("postings", f"WITH {_TOK} SELECT term, doc_id, count(*) AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS offsets FROM tok GROUP BY ALL")
+def postings(spark, d):
+    return index.postings(_toks(spark, d)).select("term", "doc_id", "tf", F.array_join(F.transform("offsets", lambda x: x.cast("string")), ",").alias("offsets"))
+
+
+@query("tf", f"WITH {_TF} SELECT * FROM tf")
+def tf(spark, d):
+    return index.counts(_toks(spark, d))
+
+
+@query("df_idf", f"WITH {_DF} SELECT term, df, round(ln(n / df), 6) AS idf FROM df, n")
+def df_idf(spark, d):
+    return _vocab(spark, d).select("term", "df", F.round(index.idf(index.n_docs(_docs(spark, d))), 6).alias("idf"))
+
+
+@query("doc_len", f"WITH {_LEN} SELECT doc_id, n_tokens FROM len_")
+def doc_len(spark, d):
+    return index.doc_lengths(_docs(spark, d))
+
+
+@query("euclid_len", f"WITH {_DF}, {_EUC} SELECT doc_id, round(euclid_len, 6) AS euclid_len FROM euc")
+def euclid_len(spark, d):
+    counted = index.counts(_toks(spark, d))
+    return index.euclidean_lengths(counted, index.vocabulary(counted), index.n_docs(_docs(spark, d))).select("doc_id", F.round("euclid_len", 6).alias("euclid_len"))
+
+
+@query("posting_codec", f"WITH {_TOK}, p AS (SELECT term, doc_id, doc_id || ':' || string_agg(pos::VARCHAR, ',' ORDER BY pos) AS item FROM tok GROUP BY term, doc_id) SELECT term, string_agg(item, '-' ORDER BY doc_id) AS line FROM p GROUP BY ALL")
+def posting_codec(spark, d):
+    lines = index.encode_postings(index.postings(_toks(spark, d)))
+    return index.encode_postings(index.decode_postings(lines))
+
+
+@query("segment_merge", f"WITH {_TOK} SELECT term, doc_id, count(*) AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS offsets FROM tok GROUP BY ALL")
+def segment_merge(spark, d):
+    toks = _toks(spark, d)
+    parts = [index.postings(toks.where(F.col("pos") % 2 == k)) for k in (0, 1)]  # segments may split a document
+    return index.merge_segments(*parts).select("term", "doc_id", "tf", F.array_join(F.transform("offsets", lambda x: x.cast("string")), ",").alias("offsets"))
+
+
+@query("posting_lookup", f"WITH {_TF} SELECT doc_id, tf FROM tf WHERE term = 'thing'")
+def posting_lookup(spark, d):
+    return index.counts(_toks(spark, d).where("term = 'thing'")).select("doc_id", "tf")
+
+
+@query("term_ids", f"WITH {_TOK} SELECT row_number() OVER (ORDER BY term COLLATE C) - 1 AS term_id, term FROM (SELECT DISTINCT term FROM tok)".replace(" COLLATE C", ""))
+def term_ids(spark, d):
+    return index.term_ids(_vocab(spark, d))
+
+
+# boolean
+
+
+@query("q_and", f"WITH {_TOK}, {_values(BOOLEAN)}, need AS (SELECT query_id, count(DISTINCT idx) AS need FROM q GROUP BY ALL) SELECT query_id, doc_id FROM q JOIN tok USING (term) JOIN need USING (query_id) GROUP BY query_id, doc_id, need HAVING count(DISTINCT idx) = need")
+def q_and(spark, d):
+    q = _batch(spark, BOOLEAN)
+    return search.intersection(q, _of_terms(spark, d, q).select("term", "doc_id").distinct())
+
+
+@query("q_or", f"WITH {_TOK}, {_values(BOOLEAN)} SELECT query_id, doc_id, count(*) AS score, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS offsets FROM (SELECT DISTINCT query_id, term FROM q) JOIN tok USING (term) GROUP BY ALL")
+def q_or(spark, d):
+    q = _batch(spark, BOOLEAN)
+    return search.union(q, index.postings(_of_terms(spark, d, q))).select("query_id", "doc_id", "score", F.array_join(F.transform("offsets", lambda x: x.cast("string")), ",").alias("offsets"))
+
+
+def _phrase_sql(values: str, slots: str = "q") -> str:
+    return f"""at_ AS (SELECT DISTINCT query_id, doc_id, idx, pos - idx AS start FROM {slots} JOIN tok USING (term)), need AS (SELECT query_id, count(DISTINCT idx) AS need FROM q GROUP BY ALL),
+    hit AS (SELECT query_id, doc_id, start + need - 1 AS pos FROM at_ JOIN need USING (query_id) GROUP BY query_id, doc_id, start, need HAVING count(*) = need)"""
+
+
+@query("q_phrase", f"WITH {_TOK}, {_values(BOOLEAN)}, {_phrase_sql('')} SELECT DISTINCT query_id, doc_id FROM hit")
+def q_phrase(spark, d):
+    q = _batch(spark, BOOLEAN)
+    return search.phrase(q, _of_terms(spark, d, q)).select("query_id", "doc_id")
+
+
+@query("q_phrase_offsets", f"WITH {_TOK}, {_values(BOOLEAN)}, {_phrase_sql('')} SELECT query_id, doc_id, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS offsets FROM hit GROUP BY ALL")
+def q_phrase_offsets(spark, d):
+    q = _batch(spark, BOOLEAN)
+    return search.phrase(q, _of_terms(spark, d, q)).select("query_id", "doc_id", F.array_join(F.transform("offsets", lambda x: x.cast("string")), ",").alias("offsets"))
+
+
+# k-grams and wildcards
+
+_GRAM = "g AS (SELECT DISTINCT term, substr('^' || term || '$', i, 2) AS kgram FROM (SELECT term, unnest(range(1, length(term) + 2)) AS i FROM v))"
+_V = _TOK + ", v AS (SELECT term, count(DISTINCT doc_id) AS df FROM tok GROUP BY ALL)"
+
+
+@query("kgram_index", f"WITH {_V}, {_GRAM} SELECT kgram, count(*) AS n, min(term) AS first, max(term) AS last FROM g GROUP BY ALL")
+def kgram_index(spark, d):
+    return index.kgram_index(_vocab(spark, d)).groupBy("kgram").agg(F.count("*").alias("n"), F.min("term").alias("first"), F.max("term").alias("last"))
+
+
+@query("kgram_lookup", f"WITH {_V}, {_GRAM} SELECT term FROM g WHERE kgram = 'ti'")
+def kgram_lookup(spark, d):
+    return index.kgram_lookup(index.kgram_index(_vocab(spark, d)), "ti")
+
+
+@query("kgram_intersect", f"WITH {_V}, {_GRAM} SELECT term FROM g WHERE kgram IN ('^t', 'th', 'on') GROUP BY term HAVING count(*) = 3")
+def kgram_intersect(spark, d):
+    return index.kgram_intersect(index.kgram_index(_vocab(spark, d)), ["^t", "th", "on"])
+
+
+_LIKE = r"x AS (SELECT query_id, idx, term FROM q WHERE NOT contains(term, '*') UNION ALL SELECT query_id, idx, v.term FROM q JOIN v ON contains(q.term, '*') AND q.term <> '*' AND v.term LIKE replace(replace(replace(q.term, '%', '\%'), '_', '\_'), '*', '%') ESCAPE '\')"
+
+
+def _wild(name: str, texts: list[str]):
+    @query(name, f"WITH {_V}, {_values(texts)}, {_LIKE} SELECT query_id, term FROM x")
+    def run(spark, d):
+        return search.expand_wildcards(_batch(spark, texts), _vocab(spark, d)).select("query_id", "term")
+
+
+_wild("q_wild_prefix", ["then*", "de*"])
+_wild("q_wild_suffix", ["*ation", "*ung"])
+_wild("q_wild_middle", WILD)
+
+
+@query("q_wild_and", f"WITH {_V}, {_values(WILD_PAIRS)}, {_LIKE}, need AS (SELECT query_id, count(DISTINCT idx) AS need FROM q GROUP BY ALL) SELECT query_id, doc_id FROM x JOIN tok USING (term) JOIN need USING (query_id) GROUP BY query_id, doc_id, need HAVING count(DISTINCT idx) = need")
+def q_wild_and(spark, d):
+    counted = index.counts(_toks(spark, d))
+    return search.wildcard_intersection(_batch(spark, WILD_PAIRS), counted, index.vocabulary(counted))
+
+
+@query("q_wild_phrase", f"WITH {_V}, {_values(WILD_PAIRS)}, {_LIKE}, {_phrase_sql('', 'x')} SELECT query_id, doc_id, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS offsets FROM hit GROUP BY ALL")
+def q_wild_phrase(spark, d):
+    return search.wildcard_phrase(_batch(spark, WILD_PAIRS), _toks(spark, d), _vocab(spark, d)).select("query_id", "doc_id", F.array_join(F.transform("offsets", lambda x: x.cast("string")), ",").alias("offsets"))
+
+
+# ranked retrieval
+
+
+def _score_sql(length: str, source: str, weights: str = "q") -> str:
+    return f"hit AS (SELECT query_id, doc_id, sum(tf * ln(n / df)) / {length} AS score FROM {weights} JOIN tf USING (term) JOIN df USING (term) JOIN {source} USING (doc_id), n GROUP BY query_id, doc_id, {length})"
+
+
+def _top_sql(k: int) -> str:
+    return f"SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM hit) WHERE rank <= {k}"
+
+
+def _top(scores: DataFrame, k: int) -> DataFrame:
+    # sums of doubles differ in their last digits with their order, so ranks look at nine decimals
+    return search.top(scores.withColumn("score", F.round("score", 9)), k).withColumn("score", F.round("score", 6))
+
+
+@query("ranked_tfidf_words", f"WITH {_DF}, {_LEN}, {_values(RANKED)}, {_score_sql('n_tokens', 'len_')} SELECT query_id, doc_id, round(score, 6) AS score FROM hit")
+def ranked_tfidf_words(spark, d):
+    q, docs = _batch(spark, RANKED), _docs(spark, d)
+    return search.tfidf(q, _tf(spark, d, q), index.doc_lengths(docs), index.n_docs(docs), "n_tokens").select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query("ranked_tfidf_euclid", f"WITH {_DF}, {_EUC}, {_values(RANKED)}, {_score_sql('euclid_len', 'euc')} SELECT query_id, doc_id, round(score, 6) AS score FROM hit")
+def ranked_tfidf_euclid(spark, d):
+    q, docs = _batch(spark, RANKED), _docs(spark, d)
+    counted, n = index.counts(_toks(spark, d)), index.n_docs(docs)
+    lengths = index.euclidean_lengths(counted, index.vocabulary(counted), n)
+    return search.tfidf(q, _tf(spark, d, q), lengths, n, "euclid_len").select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query("ranked_batch_topk", f"WITH {_DF}, {_LEN}, {_values(RANKED)}, {_score_sql('n_tokens', 'len_')} {_top_sql(10)}")
+def ranked_batch_topk(spark, d):
+    q, docs = _batch(spark, RANKED), _docs(spark, d)
+    return _top(search.tfidf(q, _tf(spark, d, q), index.doc_lengths(docs), index.n_docs(docs), "n_tokens"), 10)
+
+
+def _given_pr(spark, d):
+    """A supplied score table; one document in seven has none."""
+    return _docs(spark, d).where("doc_id % 7 <> 0").select("doc_id", ((F.col("doc_id") % 97 + 1) / F.lit(100000.0)).alias("pr"))
+
+
+_PR = "pr AS (SELECT doc_id, (doc_id % 97 + 1) / 100000.0::DOUBLE AS pr FROM documents WHERE doc_id % 7 <> 0)"
+
+
+@query("ranked_pagerank", f"WITH {_TF}, {_PR}, {_values(RANKED)} SELECT DISTINCT query_id, doc_id, round(coalesce(pr, 0), 6) AS score FROM q JOIN tf USING (term) LEFT JOIN pr USING (doc_id)")
+def ranked_pagerank(spark, d):
+    q = _batch(spark, RANKED)
+    return search.by_pagerank(q, _tf(spark, d, q), _given_pr(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query("ranked_combination", f"WITH {_DF}, {_LEN}, {_PR}, {_values(RANKED)}, {_score_sql('n_tokens', 'len_')} SELECT query_id, doc_id, round(score + 500 * coalesce(pr, 0), 6) AS score FROM hit LEFT JOIN pr USING (doc_id)")
+def ranked_combination(spark, d):
+    q, docs = _batch(spark, RANKED), _docs(spark, d)
+    scores = search.tfidf(q, _tf(spark, d, q), index.doc_lengths(docs), index.n_docs(docs), "n_tokens")
+    return search.combination(scores, _given_pr(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query("q_wild_ranked", f"WITH {_DF}, v AS (SELECT term FROM df), {_LEN}, {_values(WILD_PAIRS)}, {_LIKE}, {_score_sql('n_tokens', 'len_', 'x')} {_top_sql(20)}")
+def q_wild_ranked(spark, d):
+    docs, counted = _docs(spark, d), index.counts(_toks(spark, d))
+    q = search.expand_wildcards(_batch(spark, WILD_PAIRS), index.vocabulary(counted))
+    return _top(search.tfidf(q, counted, index.doc_lengths(docs), index.n_docs(docs), "n_tokens"), 20)
+
+
+@query(
+    "rocchio",
+    f"""WITH {_DF}, {_values(RANKED)}, rel AS (SELECT query_id, doc_id FROM (SELECT DISTINCT query_id FROM q), labels WHERE quality = 1 AND doc_id % 50 = query_id), r AS (SELECT query_id, count(*) AS r FROM rel GROUP BY ALL),
+    own AS (SELECT q.*, CASE WHEN r IS NULL THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END AS weight, row_number() OVER (PARTITION BY query_id, term ORDER BY idx) AS k FROM q LEFT JOIN r USING (query_id)),
+    gain AS (SELECT query_id, term, sum(0.8::DOUBLE / r * tf * ln(n / df)) AS gain, 1 AS k FROM rel JOIN r USING (query_id) JOIN tf USING (doc_id) JOIN df USING (term), n GROUP BY ALL)
+    SELECT query_id, idx, term, round(coalesce(weight, 0) + coalesce(gain, 0), 6) AS weight FROM own FULL JOIN gain USING (query_id, term, k)""",
+)
+def rocchio(spark, d):
+    q, counted = _batch(spark, RANKED), index.counts(_toks(spark, d))
+    labels = spark.read.parquet(f"{d}/labels.parquet").where("quality = 1")
+    relevant = labels.select((F.col("doc_id") % 50).cast("int").alias("query_id"), "doc_id").join(F.broadcast(q.select("query_id").distinct()), "query_id", "left_semi")
+    found = search.rocchio(q, relevant, counted, index.vocabulary(counted), index.n_docs(_docs(spark, d)))
+    return found.withColumn("weight", F.round("weight", 6))
+
+
+# spelling
+
+WRONG = ["thingg ofr the", "teh und", "ationx", "qqqqzzzz the"]
+_SPELL = (
+    _V
+    + f""", {_values(WRONG)}, u AS (SELECT DISTINCT term AS word FROM q WHERE term NOT IN (SELECT term FROM v)), {_GRAM}, gn AS (SELECT term, count(*) AS n FROM g GROUP BY ALL),
+    w AS (SELECT DISTINCT word, substr('^' || word || '$', i, 2) AS kgram FROM (SELECT word, unnest(range(1, length(word) + 2)) AS i FROM u)), wn AS (SELECT word, count(*) AS n FROM w GROUP BY ALL),
+    j AS (SELECT word, term, count(*)::DOUBLE / (any_value(wn.n) + any_value(gn.n) - count(*)) AS jaccard FROM w JOIN g USING (kgram) JOIN wn USING (word) JOIN gn USING (term) GROUP BY ALL),
+    jd AS (SELECT *, CASE WHEN word = term THEN 0 WHEN levenshtein(word, term) = 1 AND abs(length(word) - length(term)) = 1 THEN 1 WHEN levenshtein(word, term) = 1 THEN 2 WHEN levenshtein(word, term) = 2 AND abs(length(word) - length(term)) = 2 THEN 2
+      WHEN levenshtein(word, term) = 2 AND length(word) = length(term) AND len(list_intersect([substr(word, 1, i - 1) || substr(word, i + 1) for i in range(1, length(word) + 1)], [substr(term, 1, i - 1) || substr(term, i + 1) for i in range(1, length(term) + 1)])) > 0 THEN 2 END AS distance FROM j WHERE jaccard >= 0.4),
+    cand AS (SELECT word, term, jaccard, distance, jaccard / (distance + 1) * (1 + ln(df + 1)) AS score FROM jd JOIN v USING (term) WHERE distance <= 2)"""
+)
+
+
+@query("spell_jaccard", f"WITH {_SPELL} SELECT word, term, round(jaccard, 6) AS jaccard FROM cand")
+def spell_jaccard(spark, d):
+    vocab = written(_vocab(spark, d), "vocab")
+    unknown = _batch(spark, WRONG).join(vocab, "term", "left_anti").select(F.col("term").alias("word"))
+    return spelling.candidates(unknown, vocab).select("word", "term", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query(
+    "spell_edit",
+    """WITH p AS (SELECT a.p_partkey, w.w AS a, regexp_replace(w.w, '[aeiou]', '') AS b, replace(w.w, 'e', 'a') AS c FROM part a, (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part) w WHERE a.p_partkey = w.p_partkey)
+    SELECT a, b, c, count(*) AS n, min(CASE WHEN a = b THEN 0 WHEN abs(length(a) - length(b)) = 1 AND levenshtein(a, b) = 1 THEN 1 END) AS ab,
+    min(CASE length(a) - length(replace(a, 'e', '')) WHEN 0 THEN 0 WHEN 1 THEN 2 END) AS ac FROM p GROUP BY ALL""",
+)
+def spell_edit(spark, d):
+    w = spark.read.parquet(f"{d}/part.parquet").select(F.explode(F.split(F.lower("p_name"), " ")).alias("a"))
+    p = w.select("a", F.expr("regexp_replace(a, '[aeiou]', '', 1)").alias("all_gone"), F.translate("a", "e", "a").alias("c"))
+    first = F.regexp_extract("a", "^([^aeiou]*)[aeiou]", 1)
+    p = p.withColumn("b", F.when(F.col("a").rlike("[aeiou]"), F.concat(first, F.expr("substring(a, length(regexp_extract(a, '^([^aeiou]*)[aeiou]', 1)) + 2)"))).otherwise(F.col("a")))
+    p = p.groupBy("a", "b", "c").agg(F.count("*").alias("n"))
+    return p.select("a", "b", "c", "n", strings.indel_distance(F.col("a"), F.col("b")).alias("ab"), strings.indel_distance(F.col("a"), F.col("c")).alias("ac"))
+
+
+@query("spell_candidates", f"WITH {_SPELL} SELECT word, term, distance, round(score, 6) AS score FROM cand")
+def spell_candidates(spark, d):
+    vocab = written(_vocab(spark, d), "vocab")
+    unknown = _batch(spark, WRONG).join(vocab, "term", "left_anti").select(F.col("term").alias("word"))
+    return spelling.candidates(unknown, vocab).select("word", "term", "distance", F.round("score", 6).alias("score"))
+
+
+_BEAM = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, phrase)"
+_OPTIONS = "o AS (SELECT query_id, idx, term, 1.0::DOUBLE AS score FROM q WHERE term IN (SELECT term FROM v) UNION ALL SELECT query_id, idx, cand.term, cand.score FROM q JOIN cand ON q.term = cand.word)"
+
+
+@query(
+    "spell_multiword",
+    f"""WITH {_SPELL}, {_OPTIONS}, size AS (SELECT query_id, max(idx) + 1 AS size FROM q GROUP BY ALL), b1 AS (SELECT query_id, term AS phrase, score FROM o WHERE idx = 0),
+    b2 AS (SELECT query_id, phrase, score FROM (SELECT *, {_BEAM} AS r FROM (SELECT query_id, phrase || ' ' || term AS phrase, b1.score * o.score AS score FROM b1 JOIN o USING (query_id) WHERE idx = 1)) WHERE r <= 50),
+    b3 AS (SELECT query_id, phrase, score FROM (SELECT *, {_BEAM} AS r FROM (SELECT query_id, phrase || ' ' || term AS phrase, b2.score * o.score AS score FROM b2 JOIN o USING (query_id) WHERE idx = 2)) WHERE r <= 50),
+    f AS (SELECT b1.* FROM b1 JOIN size USING (query_id) WHERE size = 1 UNION ALL SELECT b2.* FROM b2 JOIN size USING (query_id) WHERE size = 2 UNION ALL SELECT b3.* FROM b3 JOIN size USING (query_id) WHERE size = 3)
+    SELECT query_id, rank, phrase, round(score, 6) AS score FROM (SELECT *, {_BEAM} AS rank FROM f) WHERE rank <= 10""",
+)
+def spell_multiword(spark, d):
+    vocab = written(_vocab(spark, d), "vocab")
+    return spelling.correct(_batch(spark, WRONG), vocab, limit=10).withColumn("score", F.round("score", 6))
+
+
+# link analysis
+
+
+def _page_links(spark, d):
+    hrefs = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    return spark.read.parquet(f"{d}/pages.parquet").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("src"), F.explode(hrefs).alias("dst"))
+
+
+_PAGES = """pl AS (SELECT 'p' || page_id AS src, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS dst FROM pages)"""
+
+
+@query("link_parse", f"WITH {_PAGES} SELECT src, dst, count(*) AS n FROM pl GROUP BY ALL")
+def link_parse(spark, d):
+    return _page_links(spark, d).groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def _trade_links(spark, d):
+    """customer -> supplier -> nation -> customer, and nation -> region; regions are sinks."""
+    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
+    s = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    trade = read("orders").join(read("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(s("c", "o_custkey").alias("src"), s("s", "l_suppkey").alias("dst")).distinct()
+    return trade.unionByName(read("supplier").select(s("s", "s_suppkey").alias("src"), s("n", "s_nationkey").alias("dst"))).unionByName(read("customer").select(s("n", "c_nationkey").alias("src"), s("c", "c_custkey").alias("dst"))).unionByName(read("nation").select(s("n", "n_nationkey").alias("src"), s("r", "n_regionkey").alias("dst")))
+
+
+_TRADE = "lk AS (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"
+
+
+def _doc_links(spark, d):
+    """Arithmetic links between documents; one document in five is a sink."""
+    docs = _docs(spark, d).select("doc_id")
+    n = docs.count()
+    to = F.explode(F.array(*(((F.col("doc_id") * (2 * j + 1) + j * j + 1) % max(n, 1)) for j in (1, 2, 3))))
+    return docs.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("src"), to.alias("dst"))
+
+
+_DOC_LINKS = "n AS (SELECT count(*) AS n FROM documents), lk AS (SELECT doc_id AS src, (doc_id * (2 * j + 1) + j * j + 1) % n AS dst FROM documents, n, (VALUES (1), (2), (3)) t(j) WHERE doc_id % 5 <> 0)"
+
+
+def _pagerank_sql(nodes: str, rounds: int = ROUNDS) -> str:
+    parts = [f"nd AS MATERIALIZED ({nodes})", "nn AS (SELECT count(*) AS c FROM nd)", "ed AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS w FROM (SELECT DISTINCT src, dst FROM lk))", "p0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / c AS pr FROM nd, nn)"]
+    for i in range(1, rounds + 1):
+        parts.append(f"p{i} AS MATERIALIZED (SELECT node, 0.15::DOUBLE / c + 0.85::DOUBLE * coalesce(lost, 0) / c + 0.85::DOUBLE * coalesce(f, 0) AS pr FROM nd LEFT JOIN (SELECT dst AS node, sum(pr * w) AS f FROM ed JOIN p{i - 1} ON src = node GROUP BY ALL) USING (node), nn, (SELECT sum(pr) AS lost FROM p{i - 1} WHERE node NOT IN (SELECT src FROM ed)))")
+    return ", ".join(parts)
+
+
+@query("pagerank", f"WITH {_TRADE}, {_pagerank_sql('SELECT src AS node FROM lk UNION SELECT dst FROM lk')} SELECT node, round(pr, 9) AS pr FROM p{ROUNDS}")
+def pagerank(spark, d):
+    return graph.pagerank(_trade_links(spark, d), tolerance=0, rounds=ROUNDS).select("node", F.round("pr", 9).alias("pr"))
+
+
+@query("pagerank_topk", f"WITH {_TRADE}, {_pagerank_sql('SELECT src AS node FROM lk UNION SELECT dst FROM lk')} SELECT row_number() OVER (ORDER BY round(pr, 9) DESC, node) AS rank, node, round(pr, 6) AS pr FROM p{ROUNDS} ORDER BY 1 LIMIT 30")
+def pagerank_topk(spark, d):
+    from pyspark.sql import Window
+
+    best = pagerank(spark, d).orderBy(F.desc("pr"), "node").limit(30)
+    return best.select(F.row_number().over(Window.orderBy(F.desc("pr"), "node")).cast("long").alias("rank"), "node", F.round("pr", 6).alias("pr"))
+
+
+def _hits_sql(base: str, rounds: int) -> str:
+    parts = [f"bs AS MATERIALIZED ({base})", "ed AS MATERIALIZED (SELECT src, dst, count(*)::DOUBLE AS m FROM lk WHERE src IN (SELECT node FROM bs) AND dst IN (SELECT node FROM bs) GROUP BY ALL)", "h0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE AS hub, 1.0::DOUBLE AS auth FROM bs)"]
+    for i in range(1, rounds + 1):
+        parts.append(f"r{i} AS MATERIALIZED (SELECT node, coalesce(h, 0) AS hub, coalesce(a, 0) AS auth FROM bs LEFT JOIN (SELECT dst AS node, sum(m * hub) AS a FROM ed JOIN h{i - 1} ON src = node GROUP BY ALL) USING (node) LEFT JOIN (SELECT src AS node, sum(m * auth) AS h FROM ed JOIN h{i - 1} ON dst = node GROUP BY ALL) USING (node))")
+        parts.append(f"h{i} AS MATERIALIZED (SELECT node, hub / CASE WHEN hn = 0 THEN 1 ELSE hn END AS hub, auth / CASE WHEN an = 0 THEN 1 ELSE an END AS auth FROM r{i}, (SELECT sqrt(sum(hub * hub)) AS hn, sqrt(sum(auth * auth)) AS an FROM r{i}))")
+    return ", ".join(parts)
+
+
+@query("hits_global", f"WITH {_PAGES}, lk AS (SELECT * FROM pl), {_hits_sql('SELECT src AS node FROM lk UNION SELECT dst FROM lk', 6)} SELECT node, round(hub, 6) AS hub, round(auth, 6) AS auth FROM h6")
+def hits_global(spark, d):
+    return graph.hits(_page_links(spark, d), tolerance=0, rounds=6).select("node", F.round("hub", 6).alias("hub"), F.round("auth", 6).alias("auth"))
+
+
+_ROOT = f"root AS (SELECT DISTINCT doc_id AS node FROM documents WHERE list_contains(regexp_extract_all(lower(coalesce(text, '')), '{_WORDS}'), 'thing'))"
+_BASE = "SELECT node FROM root UNION SELECT dst FROM lk WHERE src IN (SELECT node FROM root) UNION SELECT src FROM lk WHERE dst IN (SELECT node FROM root)"
+
+
+@query("hits_query", f"WITH {_DOC_LINKS}, {_ROOT}, {_hits_sql(_BASE, 5)} SELECT node, round(hub, 6) AS hub, round(auth, 6) AS auth FROM h5")
+def hits_query(spark, d):
+    links = _doc_links(spark, d)
+    root = _toks(spark, d).where("term = 'thing'").select(F.col("doc_id").alias("node"))
+    return graph.hits(links, graph.base_set(links, root), tolerance=0, rounds=5).select("node", F.round("hub", 6).alias("hub"), F.round("auth", 6).alias("auth"))
+
+
+@query("ranked_hits", f"WITH {_DOC_LINKS}, {_ROOT}, {_hits_sql(_BASE, 5)} SELECT node AS doc_id, round(0.5 * hub + 0.5 * auth, 6) AS score FROM h5")
+def ranked_hits(spark, d):
+    root = _toks(spark, d).where("term = 'thing'").select(F.col("doc_id").alias("node"))
+    return graph.hits_ranking(_doc_links(spark, d), root, tolerance=0, rounds=5).select(F.col("node").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def _chance_sql(step: str, salt: int) -> str:
+    h = f"(((walk % 1000003) * 7919 + {step} * 104729 + {salt * 1299709 + 1}) % 2147483647)"
+    for _ in range(3):
+        h = f"(({h} * 48271) % 2147483647)"
+    return f"({h} / 2147483647.0::DOUBLE)"
+
+
+def _walk_sql(start: str, path: str) -> str:
+    first = f"SELECT i AS walk, floor({_chance_sql('0', 9).replace('walk', 'i')} * n)::BIGINT AS idx, 1 AS step, false AS done FROM n, LATERAL unnest(range(2 * n)) t(i)" if start == "random" else "SELECT i AS walk, i % n AS idx, 1 AS step, false AS done FROM n, LATERAL unnest(range(2 * n)) t(i)"
+    stop, pick, jump = _chance_sql("step", 1), _chance_sql("step", 2), _chance_sql("step", 3)
+    stop = f"{stop} < 1 - 0.85::DOUBLE"
+    if path == "endpoint":
+        move = f"SELECT walk, CASE WHEN {stop} THEN w.idx WHEN dg.deg = 0 THEN floor({jump} * n)::BIGINT ELSE d END, CASE WHEN {stop} THEN step ELSE step + 1 END, {stop} FROM w JOIN dg ON dg.idx = w.idx LEFT JOIN e ON e.s = w.idx AND e.k = floor({pick} * dg.deg)::BIGINT, n WHERE NOT done AND step <= {STEPS}"
+        count = f"SELECT idx, count(*) AS c FROM w WHERE done OR step = {STEPS + 1} GROUP BY ALL"
+    else:
+        move = f"SELECT walk, d, step + 1, false FROM w JOIN dg ON dg.idx = w.idx JOIN e ON e.s = w.idx AND e.k = floor({pick} * dg.deg)::BIGINT WHERE step < {STEPS} AND NOT ({stop})"
+        count = "SELECT idx, count(*) AS c FROM w GROUP BY ALL"
+    return f"""{_DOC_LINKS}, ids AS MATERIALIZED (SELECT doc_id AS node, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents),
+    e AS MATERIALIZED (SELECT a.idx AS s, b.idx AS d, row_number() OVER (PARTITION BY a.idx ORDER BY b.idx) - 1 AS k, count(*) OVER (PARTITION BY a.idx) AS deg FROM (SELECT DISTINCT src, dst FROM lk) JOIN ids a ON src = a.node JOIN ids b ON dst = b.node),
+    dg AS MATERIALIZED (SELECT ids.idx, coalesce(deg, 0) AS deg FROM ids LEFT JOIN (SELECT DISTINCT s, deg FROM e) x ON ids.idx = x.s), w AS ({first} UNION ALL {move}), cnt AS ({count}),
+    mc AS (SELECT node, coalesce(c, 0) / (SELECT sum(c) FROM cnt)::DOUBLE AS pr FROM ids LEFT JOIN cnt USING (idx))"""
+
+
+def _walks(spark, d, start, path):
+    docs = _docs(spark, d)
+    walks = 2 if start == "cyclic" else 2 * docs.count()
+    return graph.monte_carlo(_doc_links(spark, d), docs.select(F.col("doc_id").alias("node")), start=start, path=path, walks=walks, most_steps=STEPS)
+
+
+def _mc(name: str, start: str, path: str):
+    @query(name, f"WITH RECURSIVE {_walk_sql(start, path)} SELECT node, round(pr, 9) AS pr FROM mc")
+    def run(spark, d):
+        return _walks(spark, d, start, path).select("node", F.round("pr", 9).alias("pr"))
+
+
+_mc("mc_endpoint_random", "random", "endpoint")
+_mc("mc_endpoint_cyclic", "cyclic", "endpoint")
+_mc("mc_path_cyclic", "cyclic", "complete")
+_mc("mc_path_random", "random", "complete")
+
+
+@query("mc_ssd", f"WITH RECURSIVE {_walk_sql('cyclic', 'complete')}, {_pagerank_sql('SELECT doc_id AS node FROM documents')}, best AS (SELECT node, pr FROM p{ROUNDS} ORDER BY round(pr, 12) DESC, node LIMIT 30) SELECT round(sum((best.pr - mc.pr) ** 2), 10) AS ssd FROM best JOIN mc USING (node)")
+def mc_ssd(spark, d):
+    nodes = _docs(spark, d).select(F.col("doc_id").alias("node"))
+    exact = graph.pagerank(_doc_links(spark, d), nodes, tolerance=0, rounds=ROUNDS).withColumn("pr", F.round("pr", 12))
+    return graph.goodness(exact, _walks(spark, d, "cyclic", "complete")).select(F.round("ssd", 10).alias("ssd"))
