@@ -104,11 +104,15 @@ def basename(name: Column) -> Column:
 
 
 def chance(walk: Column, step: int, salt: int, seed: int) -> Column:
-    """A number in [0, 1) from a linear congruential generator of walk, step and salt; the same in any engine."""
-    h = (F.pmod(walk, F.lit(1000003)) * F.lit(7919) + F.lit(step * 104729 + salt * 1299709 + seed)) % F.lit(2147483647)
-    for _ in range(3):
-        h = (h * F.lit(48271)) % F.lit(2147483647)
-    return h / F.lit(2147483647.0)
+    """A number in [0, 1) from walk, step and salt by integer arithmetic; the same in any engine.
+
+    The squares part the steps of a walk, which a linear generator would keep in step."""
+    m = F.lit(2147483647)
+    h = (F.pmod(walk, F.lit(1000003)) * F.lit(7919) + F.lit(step * 104729 + salt * 1299709 + seed)) % m
+    for _ in range(2):
+        h = (h * F.lit(48271) + F.lit(11)) % m
+        h = (h * h + F.lit(7)) % m
+    return (h * F.lit(48271)) % m / F.lit(2147483647.0)
 
 
 def _walkers(nodes: DataFrame, n: int, start: str, walks: int, seed: int) -> DataFrame:

@@ -301,14 +301,14 @@ def q_wild_ranked(spark, d):
     f"""WITH {_DF}, {_values(RANKED)}, rel AS (SELECT query_id, doc_id FROM (SELECT DISTINCT query_id FROM q), labels WHERE quality = 1 AND doc_id % 50 = query_id), r AS (SELECT query_id, count(*) AS r FROM rel GROUP BY ALL),
     own AS (SELECT q.*, CASE WHEN r IS NULL THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END AS weight, row_number() OVER (PARTITION BY query_id, term ORDER BY idx) AS k FROM q LEFT JOIN r USING (query_id)),
     gain AS (SELECT query_id, term, sum(0.8::DOUBLE / r * tf * ln(n / df)) AS gain, 1 AS k FROM rel JOIN r USING (query_id) JOIN tf USING (doc_id) JOIN df USING (term), n GROUP BY ALL)
-    SELECT query_id, idx, term, round(coalesce(weight, 0) + coalesce(gain, 0), 6) AS weight FROM own FULL JOIN gain USING (query_id, term, k)""",
+    SELECT query_id, coalesce(idx, -1) AS idx, term, round(coalesce(weight, 0) + coalesce(gain, 0), 6) AS weight FROM own FULL JOIN gain USING (query_id, term, k)""",
 )
 def rocchio(spark, d):
     q, counted = _batch(spark, RANKED), index.counts(_toks(spark, d))
     labels = spark.read.parquet(f"{d}/labels.parquet").where("quality = 1")
     relevant = labels.select((F.col("doc_id") % 50).cast("int").alias("query_id"), "doc_id").join(F.broadcast(q.select("query_id").distinct()), "query_id", "left_semi")
     found = search.rocchio(q, relevant, counted, index.vocabulary(counted), index.n_docs(_docs(spark, d)))
-    return found.withColumn("weight", F.round("weight", 6))
+    return found.withColumns({"weight": F.round("weight", 6), "idx": F.coalesce("idx", F.lit(-1))})
 
 
 # spelling
@@ -461,9 +461,10 @@ def ranked_hits(spark, d):
 
 def _chance_sql(step: str, salt: int) -> str:
     h = f"(((walk % 1000003) * 7919 + {step} * 104729 + {salt * 1299709 + 1}) % 2147483647)"
-    for _ in range(3):
-        h = f"(({h} * 48271) % 2147483647)"
-    return f"({h} / 2147483647.0::DOUBLE)"
+    for _ in range(2):
+        h = f"(({h} * 48271 + 11) % 2147483647)"
+        h = f"(({h} * {h} + 7) % 2147483647)"
+    return f"((({h} * 48271) % 2147483647) / 2147483647.0::DOUBLE)"
 
 
 def _walk_sql(start: str, path: str) -> str:
