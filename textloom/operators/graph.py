@@ -136,7 +136,7 @@ def monte_carlo(links: DataFrame, nodes: DataFrame, *, start: str = "random", pa
     numbered = pair.select("s", "d", (F.row_number().over(Window.partitionBy("s").orderBy("d")) - 1).alias("k"), F.count("*").over(Window.partitionBy("s")).alias("deg"))
     edges = written(numbered, "walks")
     degree = written(ids.select("idx").join(edges.select(F.col("s").alias("idx"), "deg").distinct(), "idx", "left").select("idx", F.coalesce("deg", F.lit(0)).alias("deg")), "degrees")
-    going = _walkers(ids, n, start, walks, seed)
+    going = written(_walkers(ids, n, start, walks, seed), "going")
     visits, ends = None, None
     add = lambda a, b: b if a is None else a.unionByName(b)
     for step in range(1, most_steps + 1):
