@@ -1,0 +1,88 @@
+"""Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
+
+import hashlib
+
+import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from textloom.llm import bpe, imatch, licenses, packing, pii, quality, secrets, simhash, suffixes, toxicity
+
+LONG = "A rather long text, with words. " * 6000
+ROWS = [(1, "one two three four five six"), (2, None), (3, ""), (4, "same text here"), (4, "same text here"), (None, "no id at all"), (None, None), (7, LONG), (8, "é中\U0001f600 \x00 x"), (9, "same text here")]
+SCHEMA = "doc_id long, text string, spans int, score string, fp string, g int, k int, th int, base int, edited int, `_w` int, n_words int, _spans int"
+WORDS = P.path("word_bpe_49k.json")
+RANKS = P.path("byte_bpe_multi_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(*r, *[1, "x", "y", 2, 3, 4, 5, 6, 7, 8, 9]) for r in ROWS], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (7, 1, 0), (None, 1, 1), (9, None, None)], "doc_id long, quality int, toxic int")
+
+
+def run_all(docs, labels):
+    plain = docs.select("doc_id", "text")
+    return {
+        "imatch": imatch.fingerprints(docs),
+        "secrets": secrets.scan_secrets(docs),
+        "redact": secrets.redact(plain),
+        "packing": packing.pack_documents(docs, WORDS),
+        "licenses": licenses.scan_licenses(docs),
+        "bpe": bpe.bpe_round_trip(docs, RANKS, P.PATTERN),
+        "quality": quality.quality_rules(plain, labels),
+        "toxicity": toxicity.score_toxicity(docs, toxicity.train(plain, labels)),
+        "suffixes": suffixes.without_repeats(plain),
+        "simhash": simhash.near_components(docs),
+        "pii": pii.scan_pii(docs),
+    }
+
+
+def test_odd_rows(odd, labels):
+    out = {k: v.collect() for k, v in run_all(odd, labels).items()}
+    assert {k: len(v) for k, v in out.items() if k != "packing"} == dict.fromkeys(set(out) - {"packing"}, len(ROWS))
+    marks = {r.doc_id: r.fingerprint for r in out["imatch"] if r.doc_id is not None}
+    assert marks[2] == marks[3] == "0" * len(marks[2]) and marks[4] == marks[9] != marks[1]
+    parts = {r.doc_id: r.component_id for r in out["simhash"] if r.doc_id is not None}
+    assert parts[2] == parts[3] == 2 and parts[4] == parts[9] == 4 and parts[1] == 1
+    assert all(r.component_id is None for r in out["simhash"] if r.doc_id is None)
+    assert {r.doc_id: bytes(r.decoded).decode() for r in out["bpe"] if r.doc_id == 8} == {8: ROWS[8][1]}
+    assert all(r.n_tokens == 0 for r in out["bpe"] if r.doc_id in (2, 3))
+    assert all(r.base_failed and not r.kept for r in out["quality"] if r.doc_id != 7)
+    assert all(r.score == 0.0 for r in out["toxicity"])  # no toxic training rows
+    assert next(r.text for r in out["suffixes"] if r.doc_id == 7) != LONG
+    assert next(r.text for r in out["suffixes"] if r.doc_id == 1) == ROWS[0][1]
+    tokens = {}
+    for r in out["packing"]:
+        tokens[r.doc_id] = tokens.get(r.doc_id, 0) + r.length
+    assert tokens[2] == tokens[3] == 1 and tokens[4] == 2 * tokens[9] and tokens[None] == 1 + 5
+
+
+def test_empty_tables(odd, labels):
+    for name, df in run_all(odd.limit(0), labels).items():
+        assert df.count() == 0, name
+
+
+def test_queries_on_odd_tables(spark, odd, labels, tmp_path):
+    from textloom.llm import entrypoints
+
+    full = odd.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"), "spans", "score")
+    for name, docs in (("odd", full), ("none", full.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        for q, f in entrypoints.queries().items():
+            n = f(spark, f"{tmp_path}/{name}").count()
+            assert n == (len(ROWS) if name == "odd" else 0) or q == "op3_packing", q
+        corpus_pipeline.run(spark, f"{tmp_path}/{name}").count()
+
+
+def test_edited_texts_of_equal_ids(spark):
+    docs = spark.createDataFrame([(1, "abcdefgh"), (2, "12345678"), (2, "87654321"), (5, "x")], "doc_id long, text string")
+    rows = imatch.with_edited(docs).collect()
+    first = min(["12345678", "87654321"], key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert sorted((r.k, r.text, r.edited) for r in rows) == sorted([(1, "abcdefgh", "abcdef" + first[:2]), (2, "12345678", "123456x"), (2, "87654321", "876543x"), (5, "x", "x")])
