@@ -39,7 +39,7 @@ LIFT, SUPPORT = 15.0, 4
 SIZES = (5, 6, 7)
 BLOCK = 64
 _WORD = re.compile(r"\w+")
-_KNOWN: dict[str, tuple[dict, list]] = {}
+_KNOWN: dict[str, tuple[dict, list]] = {}  # by tagger: words' numbers, and [table of their weights]
 
 
 def words_of(text: str) -> list[str]:
@@ -71,7 +71,7 @@ class Tagger:
         """Known words' numbers and weights; where workers are reused they outlive a task."""
         if len(_KNOWN) > 2:
             _KNOWN.clear()
-        _KNOWN[self.key] = self.index, self.values = {}, []
+        _KNOWN[self.key] = self.index, self.values = {}, [np.zeros((1 << 12, 3))]
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("index", "values")}
@@ -91,9 +91,12 @@ class Tagger:
             pass
         for w in set(words):
             if w not in index:
-                index[w] = len(self.values)
+                at = index[w] = len(index)
+                if at >= len(self.values[0]):
+                    self.values[0] = np.concatenate([self.values[0], np.zeros_like(self.values[0])])
                 said = {g for g in grams(w) if g in own}
-                self.values.append((sum(own[g] for g in sorted(said)) if said else 0.0, self.left.get(w, 0.0), self.right.get(w, 0.0)))
+                if said or w in self.left or w in self.right:
+                    self.values[0][at] = sum(own[g] for g in sorted(said)), self.left.get(w, 0.0), self.right.get(w, 0.0)
         return [index[w] for w in words]
 
     def marginals(self, texts: list[list[str]]) -> list[np.ndarray]:
@@ -102,7 +105,7 @@ class Tagger:
             self._fresh()
         numbers = [self.numbers(ws) for ws in texts]
         n = sum(map(len, numbers)) + len(texts)
-        table = np.array(self.values or [(0.0, 0.0, 0.0)], np.float64)
+        table = self.values[0]
         flat = np.full(n, -1, np.int64)
         at, cuts = 0, []
         for x in numbers:
@@ -146,38 +149,38 @@ def chain_marginals(em: np.ndarray, first: np.ndarray, trans: np.ndarray, start:
     after = np.flatnonzero(first) + 1
     after = after[(after < n) & ~first[np.minimum(after, n - 1)]]
     steps[after] = np.exp(start) * np.stack([np.ones(len(after)), e[after]], 1)[:, None, :]
-    blocks = steps.reshape(rows, BLOCK, 2, 2)
-
-    def product(order):
-        total = np.broadcast_to(np.eye(2), (rows, 2, 2)).copy()
-        for i in order:
-            total = total @ blocks[:, i]
-            total /= total.sum((1, 2), keepdims=True)
-        return total
-
-    whole = product(range(BLOCK))
-    head, tail = np.empty((rows, 2)), np.empty((rows, 2))
-    v = np.array([0.5, 0.5])
-    for r in range(rows):
+    # (step of a block, from, to, block): every operation below runs over all blocks
+    m = np.ascontiguousarray(steps.reshape(rows, BLOCK, 2, 2).transpose(1, 2, 3, 0))
+    t00, t01, t10, t11 = np.ones(rows), np.zeros(rows), np.zeros(rows), np.ones(rows)
+    for (a, b), (c, d) in m:
+        t00, t01, t10, t11 = t00 * a + t01 * c, t00 * b + t01 * d, t10 * a + t11 * c, t10 * b + t11 * d
+        scale = 1.0 / (t00 + t01 + t10 + t11)
+        t00, t01, t10, t11 = t00 * scale, t01 * scale, t10 * scale, t11 * scale
+    whole = list(zip(t00.tolist(), t01.tolist(), t10.tolist(), t11.tolist(), strict=True))
+    head, tail = np.empty(rows), np.empty(rows)  # the first of two numbers that sum to 1
+    v = 0.5
+    for r, (a, b, c, d) in enumerate(whole):
         head[r] = v
-        v = v @ whole[r]
-        v /= v.sum()
-    v = np.array([0.5, 0.5])
+        x, y = v * a + (1 - v) * c, v * b + (1 - v) * d
+        v = x / (x + y)
+    v = 0.5
     for r in range(rows - 1, -1, -1):
         tail[r] = v
-        v = whole[r] @ v
-        v /= v.sum()
-    alpha, beta = np.empty((rows, BLOCK, 2)), np.empty((rows, BLOCK, 2))
-    for i in range(BLOCK):
-        head = np.einsum("ri,rij->rj", head, blocks[:, i])
-        head /= head.sum(1, keepdims=True)
-        alpha[:, i] = head
+        a, b, c, d = whole[r]
+        x, y = a * v + b * (1 - v), c * v + d * (1 - v)
+        v = x / (x + y)
+    alpha, beta = np.empty((BLOCK, rows)), np.empty((BLOCK, rows))
+    for i, ((a, b), (c, d)) in enumerate(m):
+        x, y = head * a + (1 - head) * c, head * b + (1 - head) * d
+        head = x / (x + y)
+        alpha[i] = head
     for i in range(BLOCK - 1, -1, -1):
-        beta[:, i] = tail
-        tail = np.einsum("rij,rj->ri", blocks[:, i], tail)
-        tail /= tail.sum(1, keepdims=True)
-    both = alpha * beta
-    return (both[..., 1] / both.sum(-1)).reshape(-1)[:n]
+        beta[i] = tail
+        (a, b), (c, d) = m[i]
+        x, y = a * tail + b * (1 - tail), c * tail + d * (1 - tail)
+        tail = x / (x + y)
+    clean, toxic = alpha * beta, (1 - alpha) * (1 - beta)
+    return (toxic / (clean + toxic)).T.reshape(-1)[:n]
 
 
 def fit(toxic: list[str], clean: list[str], *, lift: float = LIFT, support: int = SUPPORT, window: int = 8, stretches: int = 60, weights: tuple[float, float] = (1.0, 1.0)) -> Tagger | None:
