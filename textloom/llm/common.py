@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_dir, written  # noqa: F401
+
 #: Rows of one Arrow batch sent to Python; keeps a batch of long texts small.
 BATCH_ROWS = 256
 
@@ -21,29 +20,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only in local tests."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    made = tempfile.mkdtemp(prefix="textloom-")
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet in the shared folder and reads it back.
-
-    Unlike a local checkpoint, the copy outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def texts_of(batch: pa.RecordBatch, col: str = "text") -> list[str]:
     """The batch's texts with null read as the empty text."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(col)).to_pylist()]
