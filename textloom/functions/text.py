@@ -29,6 +29,9 @@ PATTERNS = (
     r"^([a-zA-Z]+)?\'[a-zA-Z]*$",
 )
 
+#: What every match of the default patterns has in it; text without it needs no search.
+HINT = r"[0-9@:'-]|\.[!-~\p{L}]"
+
 #: Letters of U+00C0 to U+017E that have no base letter in Unicode.
 _LETTERS = {"Æ": "E", "×": "*", "Ø": "O", "Ð": "D", "Þ": "T", "ß": "S", "æ": "e", "÷": "/", "ø": "o", "ð": "d", "þ": "t", "Đ": "D", "đ": "d", "Ħ": "H", "ħ": "h", "ı": "i", "Ĳ": "I", "ĳ": "i", "ĸ": "k", "Ŀ": "L", "ŀ": "l", "Ł": "L", "ł": "l", "ŉ": "n", "Ŋ": "N", "ŋ": "n", "Œ": "O", "œ": "o", "Ŧ": "T", "ŧ": "t"}
 
@@ -62,7 +65,12 @@ def has_pattern(chunk: Column, patterns: tuple[str, ...] = PATTERNS) -> Column:
     out = F.lit(False)
     for p in patterns:
         out = out | chunk.rlike(p)
-    return out
+    return may_match(chunk, patterns) & out
+
+
+def may_match(column: Column, patterns: tuple[str, ...] = PATTERNS) -> Column:
+    """A cheap condition that every chunk or text with a match meets."""
+    return column.rlike(HINT) if patterns == PATTERNS else F.lit(True)
 
 
 def chunk_tokens(chunk: Column, patterns: tuple[str, ...] = PATTERNS, *, remove_punctuation: bool = True) -> Column:

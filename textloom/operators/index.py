@@ -15,7 +15,10 @@ def tokens(docs: DataFrame, *, text_col: str = "text", patterns: tuple[str, ...]
     if patterns is None:
         return docs.select("doc_id", F.posexplode(text.standard_tokens(F.col(text_col), **how)).alias("pos", "term"))
     punct = how.pop("remove_punctuation", True)
-    parts = docs.select("doc_id", F.posexplode(text.chunks(F.col(text_col), **how)).alias("at", "chunk"))
+    # without a hint of a pattern a text's tokens are the standard ones, made in its row
+    hinted = text.may_match(text.prepared(F.col(text_col), **how), patterns)
+    plain_docs = docs.where(~hinted).select("doc_id", F.posexplode(text.standard_tokens(F.col(text_col), remove_punctuation=punct, **how)).alias("pos", "term"))
+    parts = docs.where(hinted).select("doc_id", F.posexplode(text.chunks(F.col(text_col), **how)).alias("at", "chunk"))
     word = text.WORD if punct else text.WORD_OR_MARK
     plain = F.regexp_extract_all(F.col("chunk"), F.lit(word), F.lit(0))
     hit = text.has_pattern(F.col("chunk"), patterns)
@@ -23,7 +26,7 @@ def tokens(docs: DataFrame, *, text_col: str = "text", patterns: tuple[str, ...]
     special = parts.where(hit).select("chunk").distinct().select("chunk", text.chunk_tokens(F.col("chunk"), patterns, remove_punctuation=punct).alias("found"))
     every = parts.where(~hit).select("doc_id", "at", plain.alias("found")).unionByName(parts.where(hit).join(special, "chunk").select("doc_id", "at", "found"))
     whole = every.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "found"))), lambda x: x["found"])).alias("found"))
-    return whole.select("doc_id", F.posexplode("found").alias("pos", "term"))
+    return plain_docs.unionByName(whole.select("doc_id", F.posexplode("found").alias("pos", "term")))
 
 
 def counts(toks: DataFrame) -> DataFrame:
