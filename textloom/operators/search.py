@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import strings
+from ..session import written
 from . import index
 
 #: Rows of a query batch up to which it is broadcast.
@@ -29,9 +30,16 @@ def query_sizes(q: DataFrame) -> DataFrame:
     return q.groupBy("query_id").agg(F.count("*").alias("n_terms"), F.sum("weight").alias("length"))
 
 
-def small(q: DataFrame) -> DataFrame:
-    """q with a broadcast hint, if its rows are within the bound."""
-    return F.broadcast(q) if q.limit(BATCH_ROWS + 1).count() <= BATCH_ROWS else q
+def fits(q: DataFrame) -> bool:
+    """Whether a batch's rows are within the bound for a broadcast."""
+    return q.limit(BATCH_ROWS + 1).count() <= BATCH_ROWS
+
+
+def small(df: DataFrame, few: bool | None = None) -> DataFrame:
+    """df with a broadcast hint, if its rows are within the bound.
+
+    few: what is known of a batch that df has no more rows than."""
+    return F.broadcast(df) if (fits(df) if few is None else few) else df
 
 
 def expand_wildcards(q: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -46,14 +54,15 @@ def expand_wildcards(q: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def intersection(q: DataFrame, tf: DataFrame) -> DataFrame:
     """query_id, doc_id of documents that have a term of every slot of the query (AND)."""
+    few = fits(q)
     slots = q.select("query_id", "idx", "term").distinct()
     need = q.groupBy("query_id").agg(F.count_distinct("idx").alias("need"))
-    hit = tf.select("term", "doc_id").join(small(slots), "term").groupBy("query_id", "doc_id").agg(F.count_distinct("idx").alias("n"))
-    return hit.join(small(need), "query_id").where("n = need").select("query_id", "doc_id")
+    hit = tf.select("term", "doc_id").join(small(slots, few), "term").groupBy("query_id", "doc_id").agg(F.count_distinct("idx").alias("n"))
+    return hit.join(small(need, few), "query_id").where("n = need").select("query_id", "doc_id")
 
 
 def wildcard_intersection(q: DataFrame, tf: DataFrame, vocab: DataFrame) -> DataFrame:
-    expanded = expand_wildcards(q, vocab)
+    expanded = written(expand_wildcards(q, vocab), "terms")
     need = q.groupBy("query_id").agg(F.count_distinct("idx").alias("need"))
     slots = expanded.select("query_id", "idx", "term").distinct()
     hit = tf.select("term", "doc_id").join(small(slots), "term").groupBy("query_id", "doc_id").agg(F.count_distinct("idx").alias("n"))
@@ -78,12 +87,12 @@ def phrase(q: DataFrame, toks: DataFrame, *, slots: DataFrame | None = None) ->
 
 
 def wildcard_phrase(q: DataFrame, toks: DataFrame, vocab: DataFrame) -> DataFrame:
-    return phrase(q, toks, slots=expand_wildcards(q, vocab))
+    return phrase(q, toks, slots=written(expand_wildcards(q, vocab), "terms"))
 
 
-def matching(q: DataFrame, tf: DataFrame) -> DataFrame:
+def matching(q: DataFrame, tf: DataFrame, few: bool | None = None) -> DataFrame:
     """term, doc_id, tf, query_id, weight (summed over equal terms of a query)."""
-    return tf.join(small(q.groupBy("query_id", "term").agg(F.sum("weight").alias("weight"))), "term")
+    return tf.join(small(q.groupBy("query_id", "term").agg(F.sum("weight").alias("weight")), fits(q) if few is None else few), "term")
 
 
 def tfidf(q: DataFrame, tf: DataFrame, lengths: DataFrame, n: Column, length_col: str) -> DataFrame:
@@ -91,9 +100,10 @@ def tfidf(q: DataFrame, tf: DataFrame, lengths: DataFrame, n: Column, length_col
 
     df is counted over the rows that match the queries' terms alone: those are all
     the rows of their postings."""
-    hit = matching(q, tf)
-    df = tf.join(small(q.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    part = hit.join(small(df), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("tf") * index.idf(n) * F.col("weight")).alias("w"))
+    few = fits(q)
+    hit = matching(q, tf, few)
+    df = tf.join(small(q.select("term").distinct(), few), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    part = hit.join(small(df, few), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("tf") * index.idf(n) * F.col("weight")).alias("w"))
     return part.join(lengths.select("doc_id", length_col), "doc_id").select("query_id", "doc_id", F.coalesce(F.try_divide("w", length_col), F.lit(0.0)).alias("score"))
 
 

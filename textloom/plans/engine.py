@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, search, spelling
 from ..operators.index import Index
+from ..session import written
 
 
 class QueryType(Enum):
@@ -53,7 +54,7 @@ class SearchEngine:
             return search.wildcard_intersection(q, x.postings, x.vocab)
         if kind is QueryType.PHRASE:
             return search.wildcard_phrase(q, self._tokens(), x.vocab)
-        wide = search.expand_wildcards(q, x.vocab)
+        wide = written(search.expand_wildcards(q, x.vocab), "terms")
         if kind is QueryType.UNION:
             return search.union(wide, x.postings)
         tf = x.postings.select("term", "doc_id", "tf")

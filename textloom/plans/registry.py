@@ -291,8 +291,8 @@ def ranked_combination(spark, d):
 
 @query("q_wild_ranked", f"WITH {_DF}, v AS (SELECT term FROM df), {_LEN}, {_values(WILD_PAIRS)}, {_LIKE}, {_score_sql('n_tokens', 'len_', 'x')} {_top_sql(20)}")
 def q_wild_ranked(spark, d):
-    docs, counted = _docs(spark, d), index.counts(_toks(spark, d))
-    q = search.expand_wildcards(_batch(spark, WILD_PAIRS), index.vocabulary(counted))
+    docs, counted = _docs(spark, d), written(index.counts(_toks(spark, d)), "counts")  # read four times
+    q = written(search.expand_wildcards(_batch(spark, WILD_PAIRS), index.vocabulary(counted)), "terms")
     return _top(search.tfidf(q, counted, index.doc_lengths(docs), index.n_docs(docs), "n_tokens"), 20)
 
 
@@ -304,7 +304,7 @@ def q_wild_ranked(spark, d):
     SELECT query_id, coalesce(idx, -1) AS idx, term, round(coalesce(weight, 0) + coalesce(gain, 0), 6) AS weight FROM own FULL JOIN gain USING (query_id, term, k)""",
 )
 def rocchio(spark, d):
-    q, counted = _batch(spark, RANKED), index.counts(_toks(spark, d))
+    q, counted = _batch(spark, RANKED), written(index.counts(_toks(spark, d)), "counts")
     labels = spark.read.parquet(f"{d}/labels.parquet").where("quality = 1")
     relevant = labels.select((F.col("doc_id") % 50).cast("int").alias("query_id"), "doc_id").join(F.broadcast(q.select("query_id").distinct()), "query_id", "left_semi")
     found = search.rocchio(q, relevant, counted, index.vocabulary(counted), index.n_docs(_docs(spark, d)))
