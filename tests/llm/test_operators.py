@@ -302,6 +302,22 @@ def test_suffixes_of_periodic_and_shared_strings(spark, monkeypatch, tmp_path):
     assert [(got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].kept_sha256) for k in range(len(docs))] == brute_removals([t.encode() for t in docs])
 
 
+def test_repeats_over_the_edges_of_chunks(spark):
+    """The windows of an anchor that meets a chunk's edge are two rows; both count."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    edges = [suffixes._CHUNK * i for i in range(1, 7)]
+    shared, text = [word(230) for _ in edges], ""
+    for edge, passage in zip(edges, shared, strict=True):
+        text += word(edge - 15 - len(text) - 1) + "<" + passage + ">"
+    others = [f"{word(300)}({x}){word(300)}" for x in shared]
+    docs = spark.createDataFrame(list(enumerate([text, *others])), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.text for r in suffixes.without_repeats(docs, length_col=None).collect()}
+    for x in shared:
+        text = text.replace(x, "")
+    assert [len(got[k]) for k in range(1, 7)] == [602] * 6 and got[0] == text
+
+
 def test_suffix_order():
     rng = random.Random(3)
     for _ in range(60):

@@ -320,20 +320,21 @@ def repeated_spans(keyed: DataFrame, text_col: str = "text", *, hot: int = HOT)
     lists = chosen.groupBy("k", "th").agg(F.collect_set(F.struct("g", "p", "first", "last", "classes")).alias("todo"))
 
     def cut(batches):
-        kinds = [pa.int64()] * 4 + [pa.binary()] * 2 + [pa.int64()]
+        kinds = [pa.int64()] * 6 + [pa.binary()] * 2 + [pa.int64()]
         for b in batches:
-            out = [[] for _ in range(7)]
+            out = [[] for _ in range(9)]
             for k, th, raw, todo in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for t in todo:
-                    row = (t["g"], k, th, t["p"], raw[t["first"] : t["p"]], raw[t["p"] : t["last"] + LENGTH], t["classes"])
+                    row = (t["g"], k, th, t["p"], t["first"], t["last"], raw[t["first"] : t["p"]], raw[t["p"] : t["last"] + LENGTH], t["classes"])
                     for c, v in zip(out, row, strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(out, kinds, strict=True)], names=["g", "k", "th", "p", "left", "right", "classes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(out, kinds, strict=True)], names=["g", "k", "th", "p", "first", "last", "left", "right", "classes"])
 
-    # of rows with equal id and text one is enough to read the context from
+    # of rows with equal id and text one is enough to read the context from; an anchor
+    # whose windows meet an edge of a chunk has a context on either side of it
     texts = keyed.select(F.col("_k").alias("k"), F.col("_th").alias("th"), F.encode(F.col(text_col), "UTF-8").alias("raw"))
     found = texts.join(lists, ["k", "th"]).select("k", "th", "raw", "todo")
-    contexts = written(map_arrow(found, cut, "g long, k long, th long, p long, left binary, right binary, classes long").dropDuplicates(["g", "k", "th", "p"]), "texts")
+    contexts = written(map_arrow(found, cut, "g long, k long, th long, p long, first long, last long, left binary, right binary, classes long").dropDuplicates(["g", "k", "th", "p", "first", "last"]), "texts")
     some = _compare(contexts.where(F.col("classes") <= hot))
     rest = _count_windows(contexts.where(F.col("classes") > hot))
     return settled.unionByName(some).unionByName(rest)
