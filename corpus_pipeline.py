@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before it
 kept. All but the last return the columns of `documents`; the last returns packed
-pieces. SQL has no form of SimHash components, suffix sorting, tagging or
+pieces. SQL has no form of near-copy components, suffix sorting, tagging or
 tokenisation, so ORACLE_SQL is None; tests hold the stages against brute force.
 """
 
@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import packing, quality, secrets, simhash, suffixes
+from textloom.llm import nearcopies, packing, quality, secrets, suffixes
 from textloom.llm.common import documents, written
 
 
@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, the one with the smallest id."""
-    return simhash.one_of_each(docs)
+    """One document of each component of near copies stays, the one with the smallest id."""
+    return nearcopies.one_of_each(docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

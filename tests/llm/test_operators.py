@@ -11,7 +11,7 @@ import public_tokenizers as P
 import pytest
 
 import corpus_pipeline
-from textloom.llm import bpe, crf, entrypoints, imatch, licenses, packing, pii, quality, secrets, simhash, suffixes, toxicity
+from textloom.llm import bpe, crf, entrypoints, imatch, licenses, nearcopies, packing, pii, quality, secrets, simhash, suffixes, toxicity
 from textloom.llm.common import documents
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -427,6 +427,39 @@ def test_pii_tagger():
     assert [(k, text[s:e]) for k, s, e in pii.all_spans([text], tagger)[0][1]] == [("lstm_phone", "(555) 123-4567")]
 
 
+def jaccard_components(texts, least=0.8):
+    """Root of each text by five-word shingles, all pairs."""
+    sets = {}
+    for k, t in texts.items():
+        w = t.encode().lower().split()
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    root = {k: k for k in texts}
+    for a in texts:
+        for b in texts:
+            if a < b and root[a] != root[b] and min(len(sets[a]), len(sets[b])) >= least * max(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = {k: x if r == y else r for k, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("block", [nearcopies.BLOCK, 3])
+def test_near_copies_down_to_four_fifths(spark, texts, block):
+    """Texts with some words changed, at similarities around 0.8, against all pairs."""
+    rng, docs = random.Random(21), {k: t for k, t in texts.items() if k % 4 == 0}
+    for g in range(10):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
+        for i in range(12):
+            new = list(words)
+            for at in rng.sample(range(150), rng.randint(0, 5)):
+                new[at] = f"x{rng.randint(0, 10**6)}"
+            docs[10**6 + 100 * g + i] = " ".join(new)
+    want = {k for k, r in jaccard_components(docs).items() if k == r}
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id for r in nearcopies.one_of_each(rows, block=block).collect()}
+    by_bits = {r.doc_id for r in simhash.one_of_each(rows).collect()}
+    assert got == want and len(by_bits) > len(want)
+
+
 def test_pipeline_stages(spark, tiny, texts):
     docs = documents(spark, tiny)
     first = corpus_pipeline.quality_rules(spark, docs, tiny)
