@@ -245,6 +245,22 @@ def test_toxicity_on_the_held_out_fifth(spark, tiny):
     assert auc > 0.93 and ((s >= 0.5) == (y == 1)).mean() > 0.96
 
 
+def test_toxicity_reads_words_to_their_end():
+    """What stands behind a word's 40th character, a text's 60th hot word or a token's 22nd n-gram counts."""
+    rng = random.Random(17)
+    word = lambda n=6: "".join(rng.choices("abcdefghijklmnop", k=n))
+    bad = ["zuqqavyx", "wyzzurqt", "qvvytzuw"]
+    clean = [" ".join(word() for _ in range(40)) for _ in range(60)]
+    toxic = [" ".join([*(word() for _ in range(30)), rng.choice(bad), *(word() for _ in range(10))]) for _ in range(60)]
+    tagger = toxicity.fit(toxic, clean)
+    long = [word(60) + b + word(20) for b in bad]
+    assert tagger.scores([toxicity.words_of(t) for t in long]).min() > tagger.scores([toxicity.words_of(word(80)) for _ in range(9)]).max()
+    assert all(g in toxicity.grams("a" * 50 + "zuqqavyx") for g in ("zuqqa", "qavyx$"))
+    # a neighbour of the last of 80 bad words in a text has a weight
+    far = [" ".join([*(bad[i % 3] for i in range(80)), f"last{k % 5}", word()]) for k in range(60)]
+    assert {f"last{k}" for k in range(5)} <= set(toxicity.fit(far, clean).right)
+
+
 def test_block_marginals_equal_forward_backward():
     rng = np.random.default_rng(0)
     for sizes in ([5, 130, 0, 1, 64], [200], [1]):

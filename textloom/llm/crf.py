@@ -54,9 +54,9 @@ def viterbi(em: np.ndarray, length: np.ndarray, trans: np.ndarray, start: np.nda
 
 def padded(rows: list[np.ndarray], fill=0) -> tuple[np.ndarray, np.ndarray]:
     length = np.array([len(r) for r in rows])
-    out = np.full((len(rows), max(1, length.max(initial=0)), *rows[0].shape[1:]), fill, rows[0].dtype)
+    out = np.full((len(rows), max(1, length.max(initial=0)), *(max(n) for n in zip(*(r.shape[1:] for r in rows), strict=True))), fill, rows[0].dtype)
     for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+        out[(i, *map(slice, r.shape))] = r
     return out, length
 
 

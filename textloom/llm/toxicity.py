@@ -47,7 +47,7 @@ def words_of(text: str) -> list[str]:
 
 
 def grams(word: str) -> list[str]:
-    x = f"^{word[:40]}$"
+    x = f"^{word}$"
     return [x, *(x[i : i + n] for n in SIZES for i in range(len(x) - n + 1))]
 
 
@@ -183,7 +183,7 @@ def chain_marginals(em: np.ndarray, first: np.ndarray, trans: np.ndarray, start:
     return (toxic / (clean + toxic)).T.reshape(-1)[:n]
 
 
-def fit(toxic: list[str], clean: list[str], *, lift: float = LIFT, support: int = SUPPORT, window: int = 8, stretches: int = 60, weights: tuple[float, float] = (1.0, 1.0)) -> Tagger | None:
+def fit(toxic: list[str], clean: list[str], *, lift: float = LIFT, support: int = SUPPORT, window: int = 8, weights: tuple[float, float] = (1.0, 1.0)) -> Tagger | None:
     """Learns from texts of either class; None if a class has none.
 
     weights: how many documents a toxic and a clean text stand for in the scores' scale."""
@@ -215,15 +215,18 @@ def fit(toxic: list[str], clean: list[str], *, lift: float = LIFT, support: int
         for i, w in enumerate(ws):
             if w in bad:
                 for side, j in (("l", i - 1), ("r", i + 1)):
-                    if 0 <= j < len(ws) and len(near) < 4096:
+                    if 0 <= j < len(ws):
                         near.setdefault((side, ws[j]), base + len(near))
-    most = 24
+    numbered: dict[str, list[int]] = {}
 
     def sequence(ws, a, b, toxic_text):
-        x = np.zeros((b - a, most), np.int32)
-        for r, i in enumerate(range(a, b)):
-            fs = [1, *sorted({number[g] for g in of(ws[i]) if g in number})][: most - 2]
-            fs += [near[k] for k in (("l", ws[i - 1]) if i else None, ("r", ws[i + 1]) if i + 1 < len(ws) else None) if k in near]
+        rows = []
+        for i in range(a, b):
+            if ws[i] not in numbered:
+                numbered[ws[i]] = sorted({number[g] for g in of(ws[i]) if g in number})
+            rows.append([1, *numbered[ws[i]], *(near[k] for k in (("l", ws[i - 1]) if i else None, ("r", ws[i + 1]) if i + 1 < len(ws) else None) if k in near)])
+        x = np.zeros((b - a, max(map(len, rows))), np.int32)
+        for r, fs in enumerate(rows):
             x[r, : len(fs)] = fs
         return x, np.array([toxic_text and ws[i] in bad for i in range(a, b)], np.int64)
 
@@ -231,7 +234,6 @@ def fit(toxic: list[str], clean: list[str], *, lift: float = LIFT, support: int
     for texts, is_toxic in ((tw, True), (cw, False)):
         for ws in texts:
             hot = [i for i, w in enumerate(ws) if any(g in some for g in of(w))]
-            hot = sorted([i for i in hot if is_toxic and ws[i] in bad][:stretches] + [i for i in hot if not (is_toxic and ws[i] in bad)][:stretches])
             end = 0
             for i in hot:  # stretches around words that say something, of each training text
                 if i >= end:
