@@ -38,18 +38,29 @@ def forward_backward(em: np.ndarray, length: np.ndarray, trans: np.ndarray, star
 def viterbi(em: np.ndarray, length: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
     """The best labels; ties go to the lower label. Past a sequence's end: 0."""
     b, t, k = em.shape
-    live = np.arange(t)[None, :] < length[:, None]
-    back = np.zeros((b, t, k), np.int8)
-    score = start + em[:, 0]
+    steps = np.ascontiguousarray(em.transpose(1, 0, 2))
+    live = np.arange(t)[:, None] < length[None, :]
+    whole = int(length.min(initial=t))
+    back = np.zeros((t, b, k), np.int8)
+    score = start + steps[0]
     for i in range(1, t):
-        step = score[:, :, None] + trans
-        back[:, i] = np.where(live[:, i, None], step.argmax(1), np.arange(k))
-        score = np.where(live[:, i, None], step.max(1) + em[:, i], score)
-    path = np.zeros((b, t), np.int8)
-    path[:, -1] = score.argmax(1)
+        best, at = score[:, :1] + trans[0], back[i]
+        for a in range(1, k):
+            way = score[:, a : a + 1] + trans[a]
+            np.copyto(at, a, where=way > best)
+            np.maximum(best, way, out=best)
+        best += steps[i]
+        if i < whole:
+            score = best
+        else:
+            at[~live[i]] = np.arange(k)
+            score = np.where(live[i][:, None], best, score)
+    path = np.zeros((t, b), np.int8)
+    path[-1] = score.argmax(1)
+    row = np.arange(b)
     for i in range(t - 1, 0, -1):
-        path[:, i - 1] = np.take_along_axis(back[:, i], path[:, i, None].astype(int), 1)[:, 0]
-    return np.where(live, path, 0)
+        path[i - 1] = back[i, row, path[i]]
+    return np.where(live, path, 0).T
 
 
 def padded(rows: list[np.ndarray], fill=0) -> tuple[np.ndarray, np.ndarray]:
