@@ -55,14 +55,56 @@ def test_secrets(spark, tiny, texts):
 
 
 def test_secret_tagger():
+    """Recall over all planted spans of fresh texts, and lines that the generator did not write."""
+    tagger, rng = secrets.train(), random.Random(123)
+    made = [secrets._sample(rng) for _ in range(400)]
+    got = tagger.spans([t for t, _ in made])
+    planted = [(i, s) for i, (_, spans) in enumerate(made) for s in spans]
+    exact = sum(s in got[i] for i, s in planted)
+    wrong = sum(not any(a < y and x < b for x, y in made[i][1]) for i, spans in enumerate(got) for a, b in spans)
+    assert exact > 0.9 * len(planted) and wrong < 0.03 * len(planted)
+    lines = {
+        "send the bearer ghp_16C7e42F292c6912E7710c838347Ae178B4a now": ["ghp_16C7e42F292c6912E7710c838347Ae178B4a"],
+        "passphrase is correcthorsebatterystaple": ["correcthorsebatterystaple"],
+        "Authorization: Bearer AbCdEfGhIjKlMnOp": ["AbCdEfGhIjKlMnOp"],
+        "client_secret: 'Zk9 Qp2 Lm8 Xr4'": ["Zk9 Qp2 Lm8 Xr4"],
+        "DATABASE_URL=postgres://app:s3cr3tPazz@db.internal:5432/main": ["s3cr3tPazz"],
+        "order 4845168114407329 from 10.20.30.40 on 2024-05-06": [],
+        "The password must be changed every month by all users.": [],
+        "he kept the secret garden to himself, a token of love": [],
+    }
+    for line, spans in zip(lines, tagger.spans(list(lines)), strict=True):
+        assert [line[s:e] for s, e in spans] == lines[line], line
+
+
+def test_secret_chains_are_whole_texts():
+    """Chains have several tokens, secrets have inside tokens, and steps between labels decide."""
+    xs, ys = secrets.labelled(300, 5)
+    many = np.bincount(np.concatenate(ys), minlength=3)
+    assert min(many) > 100 and np.mean([len(y) for y in ys]) > 20
     tagger = secrets.train()
-    xs, ys = secrets.labelled(300, 123)
-    found = np.concatenate(tagger.crf.decode(xs)) > 0
-    true = np.concatenate(ys) > 0
-    assert (found & true).sum() / found.sum() > 0.95 and (found & true).sum() / true.sum() > 0.95
-    (span,) = tagger.spans(["send the bearer ghp_16C7e42F292c6912E7710c838347Ae178B4a now"])[0]
-    assert span == (16, 56)
-    assert tagger.spans(["order 4845168114407329 from 10.20.30.40 on 2024-05-06"])[0] == []
+    text = "client_secret: 'Zk9 Qp2 Lm8 Xr4'"
+    em, _ = tagger.emissions([text])
+    alone = em.argmax(1)
+    path = tagger.paths(em)
+    assert path.tolist().count(secrets.INSIDE) == 3 and not ((path[1:] == secrets.INSIDE) & (path[:-1] == secrets.OUTSIDE)).any()
+    assert tagger.crf.trans[secrets.INSIDE, secrets.INSIDE] > tagger.crf.trans[secrets.BEGIN, secrets.INSIDE] + 0.1 and len(alone) == len(path)
+
+
+def test_secret_stretches_hold_the_best_path(texts):
+    """Decoding the stretches gives a path as good as Viterbi over the whole chain."""
+    tagger = secrets.train()
+    some = [t for k, t in texts.items() if k % 5 == 0] + [secrets._sample(random.Random(i))[0] for i in range(60)]
+    em, marks = tagger.emissions(some)
+    part, whole = tagger.paths(em), crf.viterbi(em[None], np.array([len(em)]), tagger.crf.trans, tagger.crf.trans[0])[0]
+    score = lambda p: em[np.arange(len(em)), p].sum() + tagger.crf.trans[p[:-1], p[1:]].sum()
+    assert score(part) == pytest.approx(score(whole), abs=1e-6) and (part == whole).mean() > 0.999
+    # emissions do not depend on what stands in the same batch
+    one = tagger.emissions([some[3]])[0]
+    assert np.allclose(one, em[marks[3] : marks[4]])
+    # and equal the sums of the features that the tagger was fitted with
+    x = secrets.chain_features(some[-1])
+    assert np.allclose(tagger.crf.emissions(x)[1:], em[marks[-1] + 1 :])
 
 
 def test_packing(spark, tiny, texts):
@@ -435,12 +477,40 @@ def test_pii(spark, tiny, texts):
 
 
 def test_pii_tagger():
+    """Recall of every label on fresh lines; no rule filters what the tagger says."""
     tagger = pii.train()
-    xs, ys = pii.labelled(200, 99)
+    xs, ys = pii.labelled(400, 99)
     a, b = np.concatenate(ys), np.concatenate(tagger.labels(xs))
-    assert (a == b).mean() > 0.95
+    for y in range(len(pii.LABELS)):
+        assert (b[a == y] == y).mean() > 0.9 and (a[b == y] == y).mean() > 0.9, pii.LABELS[y]
     text = "Please call (555) 123-4567 before noon, thank you."
     assert [(k, text[s:e]) for k, s, e in pii.all_spans([text], tagger)[0][1]] == [("lstm_phone", "(555) 123-4567")]
+    wide = "call \uff10\uff11\uff15\uff11 \uff12\uff13\uff14 \uff15\uff16\uff17\uff18 now"
+    assert [(k, wide[s:e]) for k, s, e in pii.tagged([wide], tagger)[0]] == [("phone", wide[5:18])]
+
+
+def test_pii_windows_cover_whole_texts(texts):
+    """Every character is read; windows that are skipped have no label; spans at a window's edge are whole."""
+    tagger = pii.train()
+    lengths = np.array([0, 1, pii.WINDOW, pii.WINDOW + 1, 5000])
+    text, start = pii.window_starts(lengths)
+    for i, n in enumerate(lengths):
+        seen = np.zeros(n, int)
+        for s in start[text == i]:
+            seen[s : s + pii.WINDOW] += 1
+        assert (seen > 0).all()
+    rng, some = random.Random(2), [t for k, t in texts.items() if k % 7 == 0]
+    ids, length = crf.padded([pii.codes(t)[: pii.WINDOW] for t in some + [pii._sample(rng)[0] for _ in range(100)] if t])
+    em = tagger.read(np.ascontiguousarray(ids.T))
+    path = crf.viterbi(em.transpose(1, 0, 2), length, tagger.p["t"], tagger.p["s"])
+    use = tagger.may_tag(em, length)
+    assert not path[~use].any() and path[use].any() and (~use).mean() > 0.3
+    slow = tagger.emissions(ids)
+    assert all(np.allclose(em[:n, i], slow[i, :n], atol=1e-3) for i, n in enumerate(length))
+    filler = "the small house stands on a hill and the river runs below it. " * 40
+    for at in range(pii.WINDOW - pii.OVERLAP - 40, pii.WINDOW + 10, 7):
+        line = f"{filler[:at].rsplit(' ', 1)[0]} IBAN DE89 3704 0044 0532 0130 00 please, {filler}"
+        assert [line[s:e] for _, s, e in pii.tagged([line], tagger)[0]] == ["DE89 3704 0044 0532 0130 00"], at
 
 
 def jaccard_components(texts, least=0.8):

@@ -74,12 +74,16 @@ def padded(rows: list[np.ndarray], fill=0) -> tuple[np.ndarray, np.ndarray]:
 class FeatureCrf:
     """A CRF whose emissions are sums of weights of a token's feature numbers.
 
-    Feature 0 has no weight; it fills up tokens with fewer features."""
+    Feature 0 has no weight; it fills up tokens with fewer features. Steps in `never`
+    (from, to) are ruled out in fitting and decoding alike."""
 
-    def __init__(self, features: int, labels: int):
+    def __init__(self, features: int, labels: int, never: list[tuple[int, int]] = ()):
         self.w = np.zeros((features, labels))
         self.trans = np.zeros((labels, labels))
         self.start = np.zeros(labels)
+        self.never = list(never)
+        for step in self.never:
+            self.trans[step] = -1e4
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
         return self.w[ids].sum(-2)
@@ -102,6 +106,8 @@ class FeatureCrf:
                 gw[0] = 0.0
                 gt = -pair
                 np.add.at(gt, (y[:, :-1][live[:, 1:]], y[:, 1:][live[:, 1:]]), 1.0)
+                for step in self.never:
+                    gt[step] = len(pick) * l2 * self.trans[step]
                 gs = np.bincount(y[:, 0], minlength=k) - first
                 for p, g, h in zip((self.w, self.trans, self.start), (gw, gt, gs), held, strict=True):
                     g = g / len(pick) - l2 * p
