@@ -13,16 +13,19 @@ score is the strength of the best evidence: 1 for a parsed expression, 0.9 for a
 notice phrase within eight words after a word of licensing, 0.6 for a bare
 phrase, 0 without any.
 
-Defined cases: a null text is the empty text (no words, no labels, score 0);
-repeated rows give a row each; a null id stays null; an empty table gives no
+Defined cases: a null text is the empty text (no words, no labels, score 0); a very
+long text is read whole, in time and memory proportional to it, however many hits
+it has; phrases that overlap count each; repeated rows give a row each; a null id stays null; an empty table gives no
 rows; further columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -85,16 +88,16 @@ def automaton():
     return a
 
 
-def parse(expression: str) -> tuple[list, int]:
-    """Reverse Polish form of the longest expression at the front, and its end.
+def parse(text: str, start: int = 0) -> tuple[list, int]:
+    """Reverse Polish form of the longest expression of the line from `start` on, and where it ends.
 
     Operands are lower-case identifiers; operators are ("or",) and the like."""
     out: list = []
     ops: list[str] = []
-    at, good, want = 0, (0, 0), True
-    depth = 0
-    best: list = []
-    while m := _TOKEN.match(expression, at):
+    at, want, depth = start, True, 0
+    # the longest whole expression so far: operands and operators in `out`, operators still open, end
+    best: tuple[int, list[str], int] = (0, [], start)
+    while m := _TOKEN.match(text, at):
         t = m[1].lower()
         if want and t == "(":
             ops.append(t)
@@ -116,8 +119,8 @@ def parse(expression: str) -> tuple[list, int]:
             break
         at = m.end()
         if not want and not depth:
-            best, good = [*out, *((o,) for o in reversed(ops))], (1, at)
-    return best, good[1]
+            best = (len(out), ops[::-1], at)  # at most one operator of each rank is open here
+    return [*out[: best[0]], *((o,) for o in best[1])], best[2]
 
 
 def evaluate(polish: list) -> bool:
@@ -138,7 +141,14 @@ def identifiers(polish: list) -> list[str]:
     for x in polish:
         if isinstance(x, tuple):
             b, a = stack.pop(), stack.pop()
-            stack.append([f"{a[-1]} with {b[0]}"] if x[0] == "with" else a + b)
+            if x[0] == "with":
+                stack.append([f"{a[-1]} with {b[0]}"])
+            elif len(a) >= len(b):
+                a.extend(b)
+                stack.append(a)
+            else:
+                b[:0] = a
+                stack.append(b)
         else:
             stack.append([x])
     return stack[0] if stack else []
@@ -154,31 +164,27 @@ def scan(text: str) -> dict:
     hits = [(end + 1 - n, end, what) for end, (n, what) in automaton().iter(plain)]
     if not hits:
         return row
-    index = lambda at: plain.count(" ", 0, at)  # noqa: E731  the word that starts after the space at `at`
-    base, labels, near = [], set(), []
-    for start, _, what in hits:
-        w = None
+    # the number of the word that starts after the space at a hit's start: spaces before it
+    starts = np.fromiter((h[0] for h in hits), np.int64, len(hits))
+    spaces = np.flatnonzero(np.frombuffer(plain.encode("latin-1"), np.uint8) == 0x20)
+    index = np.searchsorted(spaces, starts).tolist()
+    base, labels, base_labels = [], set(), set()
+    near = sorted(w for w, (_, _, what) in zip(index, hits, strict=True) if ("near", "") in what)
+    for w, (_, _, what) in zip(index, hits, strict=True):
         for kind, label in what:
-            w = index(start) if w is None else w
             if kind == "base":
                 base.append(w)
-                labels.add(label)
-            elif kind == "near":
-                near.append(w)
-    base_labels = set(labels)
-    for start, _, what in hits:
-        for kind, label in what:
+                base_labels.add(label)
             if kind in ("base", "notice"):
                 labels.add(label)
-                w = index(start)
-                row["score"] = max(row["score"], 0.9 if any(0 <= w - x <= _NEAR_WORDS for x in near) else 0.6)
+                k = bisect_right(near, w)
+                row["score"] = max(row["score"], 0.9 if k and w - near[k - 1] <= _NEAR_WORDS else 0.6)
     if any(kind == "tag" for _, _, what in hits for kind, _ in what):
         for m in _TAG_TEXT.finditer(text):
-            line = text[m.end() :].split("\n", 1)[0] if m.end() < len(text) else ""
-            polish, end = parse(line)
+            polish, end = parse(text, m.end())
             if polish:
                 labels.update(identifiers(polish))
-                row["expressions"].append(line[:end].strip())
+                row["expressions"].append(text[m.end() : end].strip())
                 row["permissive"] = evaluate(polish) and row["permissive"] is not False
                 row["score"] = 1.0
     row |= {"n_base": len(base), "first_word": min(base, default=None), "last_word": max(base, default=None), "base_labels": ",".join(sorted(base_labels)), "labels": ",".join(sorted(labels))}
