@@ -155,6 +155,7 @@ class SecretTagger:
         self.key = uuid.uuid4().hex
 
     def known(self) -> dict:
+        """Known tokens; begun anew, between batches alone, once there are very many."""
         held = _KNOWN.get(self.key)
         if held is None or len(held["number"]) > _MOST_KNOWN:
             if len(_KNOWN) > 2:
@@ -166,8 +167,7 @@ class SecretTagger:
             held = _KNOWN[self.key] = {"number": {}, "table": table, "kind": np.zeros(1 << 14, np.int8), "file": {}}
         return held
 
-    def numbers(self, tokens: list[str]) -> list[int]:
-        held = self.known()
+    def numbers(self, held: dict, tokens: list[str]) -> list[int]:
         number = held["number"]
         try:
             return [number[t] for t in tokens]
@@ -187,13 +187,12 @@ class SecretTagger:
 
     def emissions(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Emissions of the texts' tokens, laid end to end with a mark before each; where each text's mark stands."""
-        self.known()
+        held = self.known()
         flat, marks = [], np.zeros(len(texts) + 1, np.int64)
         for i, t in enumerate(texts):
             flat.append(0)
-            flat += self.numbers(tokens_of(t))
+            flat += self.numbers(held, tokens_of(t))
             marks[i + 1] = len(flat)
-        held = self.known() if self.key in _KNOWN else {}
         at = np.array(flat, np.int64)
         rows = held["table"][at]
         em = rows[:, :3].copy()
