@@ -99,7 +99,8 @@ def test_secret_stretches_hold_the_best_path(texts):
     part, whole = tagger.paths(em), crf.viterbi(em[None], np.array([len(em)]), tagger.crf.trans, tagger.crf.trans[0])[0]
     score = lambda p: em[np.arange(len(em)), p].sum() + tagger.crf.trans[p[:-1], p[1:]].sum()
     assert score(part) == pytest.approx(score(whole), abs=1e-6) and (part == whole).mean() > 0.999
-    # emissions do not depend on what stands in the same batch
+    # emissions do not depend on what stands in the same batch, nor on tokens that are known
+    secrets._KNOWN.clear()
     one = tagger.emissions([some[3]])[0]
     assert np.allclose(one, em[marks[3] : marks[4]])
     # and equal the sums of the features that the tagger was fitted with
@@ -157,11 +158,45 @@ def test_sum_of_squares_choice():
             open_ = [at for at in range(33 - size) if at == 0 or n[at]]
             assert squares(packer.best(size)) == min(map(squares, open_))
         packer.add(i, bytes(4 * size))
-    packer.close(last=True)
+    packer.close()
     sizes = [sum(len(p[2]) // 4 for p in w) for w in packer.done]
     assert all(s == 32 or s & (s - 1) == 0 for s in sizes)
 
 
+def test_open_windows_are_bounded():
+    """Sizes that never fit together are cut at the front, so that few windows stay open and none is padded."""
+    packer, ids = packing.SumOfSquares(64, 8), np.arange(33, dtype="<u4").tobytes()
+    for i in range(500):
+        packer.add(i, ids)
+        assert packer.n_open <= 8 and packer.level.sum() == packer.n_open
+    assert len(packer.done) >= 500 * 33 // 64 - 8 and all(packing.size_of(w) == 64 for w in packer.done)
+    packer.close()
+    parts = defaultdict(list)
+    for w in packer.done:
+        for doc, start, piece, total in w:
+            parts[doc].append((start, piece))
+            assert total == 33
+    assert all(b"".join(p for _, p in sorted(x)) == ids for x in parts.values()) and len(parts) == 500
+
+
+def test_level_array_places_nearly_all(spark, tiny):
+    """At 32 tasks all tokens but less than one window are placed by the level array."""
+    docs = documents(spark, tiny.replace("sf0.001", "sf0.1")).repartition(32)
+    rows = packing.pack_documents(docs, P.path("word_bpe_49k.json")).drop("ids").groupBy("sequence_id").sum("length").collect()
+    sizes = Counter(r[1] for r in rows)
+    rest = [s for s in sizes if s != 4096]
+    assert sum(s * sizes[s] for s in rest) < 4096 and all(s & (s - 1) == 0 and sizes[s] == 1 for s in rest)
+    rng, packer, placed = random.Random(1), packing.SumOfSquares(4096, 512), []
+    for i in range(3000):
+        packer.add(i, bytes(4 * rng.randint(1, 3000)))
+    was = packer.place
+    packer.place = lambda pieces, size: (placed.append(size), was(pieces, size))
+    n, full = packer.n_open, len(packer.done)
+    packer.close()
+    # windows that are wound down are placed again or filled; one is left, and is cut
+    assert 0 < len(placed) < n and sum(s for w in packer.done[full:] if (s := packing.size_of(w)) != 4096) < 4096
+
+
 def test_every_token_is_its_own_merge():
     """Merging by rank equals merging by pairs, as every token's bytes merge to that token."""
     import json

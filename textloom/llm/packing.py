@@ -3,17 +3,28 @@
 A window holds `capacity` tokens. A document (its ids, then the end id) that is
 longer than a window first fills whole windows. What remains is put into the
 fill level l that minimises the sum over levels of N(h)^2, N(h) being the number
-of open windows filled to h (l = 0 opens a window). N is the level array.
-
-Each task packs its own rows, so there is no shuffle, and a retried task gives
-the same windows: sequence ids are the task's partition number and a counter.
-Open windows are bounded: beyond `max_open`, and at the end of a task, the open
-windows' pieces are laid end to end and cut to full windows. The last remainder
-of a task is cut into powers of two, which need no padding.
-
-Defined cases: null and empty texts are the end id alone; repeated rows and ties
-are packed as rows of their own; a null id stays null; an empty table gives no
-rows; further columns of the input are ignored.
+of open windows filled to h (l = 0 opens a window). N is the level array. Where
+`max_open` windows are open already and the choice is to open one more, the
+piece's front fills the fullest window instead, and the rest is placed by the same
+rule; so memory is bounded whatever the sizes are, and every placement is made by
+the level array.
+
+Each task packs its own rows and hands on the windows that are still open at its
+end. These are packed by the same rule again, `FAN` tasks' windows in one task of
+the next round, until one task is left; only open windows move, a bounded number
+for each task. The last task then winds down: the emptiest window's pieces are
+placed again with one window less, until one window of the whole corpus is left,
+which is cut into powers of two and needs no padding.
+
+Every round's pieces are written, so a lost executor costs no more than its tasks;
+a retried task gives the same windows. Sequence ids are made of the round, the
+task's number and a counter.
+
+Defined cases: null and empty texts are the end id alone; a very long text is
+tokenised whole in the task that holds its row and cut into windows as any other;
+repeated rows and ties are packed as rows of their own (of equal levels the fullest
+is taken); a null id stays null; an empty table gives no rows; further columns of
+the input are ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +41,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow, texts_of
+from .common import documents, map_arrow, texts_of, written
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+#: Tasks whose open windows meet in one task of the next round.
+FAN = 64
+_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("part", pa.int64())])
 #: Pieces in an Arrow batch that goes back to Spark.
 _OUT_ROWS = 2048
 #: Texts of these characters alone take the fast path: their classes and lower case are the same in every Unicode version.
@@ -58,12 +71,12 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         self.pattern = regex.compile(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.odd = re.compile(f"[^{_PLAIN}]")
         special = {t["content"] for t in file["added_tokens"]}
+        # the strings of special tokens are theirs in a text too, as the library reads them by default
+        self.odd = re.compile("|".join([f"[^{_PLAIN}]", *map(re.escape, sorted(special))]))
         byte = byte_of_char()
         ranks = {bytes(byte[c] for c in t.removesuffix("</w>")) + b"\xff" * t.endswith("</w>"): i for t, i in file["model"]["vocab"].items() if t not in special}
         self.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
@@ -137,90 +150,181 @@ class SumOfSquares:
         full = total - total % c
         for s in range(0, full, c):
             self.done.append([(doc, s, ids[4 * s : 4 * (s + c)], total)])
-        size = total - full
-        if not size:
-            return
+        if total > full:
+            self.place([(doc, full, ids[4 * full :], total)], total - full)
+
+    def place(self, pieces: list, size: int) -> None:
+        """Puts pieces, fewer tokens than a window together, where the level array says."""
+        c = self.capacity
         at = self.best(size)
+        while not at and self.n_open >= self.max_open:
+            # as many windows are open as may be: the front of the pieces fills the fullest
+            top = int(np.flatnonzero(self.level)[-1])
+            front, pieces = split(pieces, c - top)
+            self._onto(top, front, c - top)
+            size -= c - top
+            if not size:
+                return
+            at = self.best(size)
+        self._onto(at, pieces, size)
+
+    def _onto(self, at: int, pieces: list, size: int) -> None:
         if at:
             window = self.windows[at].pop()
             self.level[at] -= 1
             self.n_open -= 1
         else:
             window = []
-        window.append((doc, full, ids[4 * full :], total))
-        if at + size == c:
+        window.extend(pieces)
+        if at + size == self.capacity:
             self.done.append(window)
             return
         self.windows[at + size].append(window)
         self.level[at + size] += 1
         self.n_open += 1
-        if self.n_open > self.max_open:
-            self.close(last=False)
 
-    def close(self, last: bool) -> None:
-        """Lays the open windows' pieces end to end and cuts them anew."""
-        pieces = [p for level in reversed(self.windows) for w in level for p in w]
+    def left(self) -> list[list]:
+        """The open windows, fullest first; none is open any more."""
+        out = [w for level in reversed(self.windows) for w in level]
         for level in self.windows:
             level.clear()
         self.level[:] = 0
         self.n_open = 0
-        left = sum(len(p[2]) // 4 for p in pieces)
-        room, window, held = 0, [], 0
-        for doc, start, ids, total in pieces:
-            at, size = 0, len(ids) // 4
-            while at < size:
-                if not room:
-                    room = self.capacity if left >= self.capacity else (1 << (left.bit_length() - 1) if last else left)
-                    window, held = [], room
-                n = min(room, size - at)
-                window.append((doc, start + at, ids[4 * at : 4 * (at + n)], total))
-                at, room, left = at + n, room - n, left - n
-                if not room:
-                    if last or held == self.capacity:
-                        self.done.append(window)
-                    else:
-                        self.windows[held].append(window)
-                        self.level[held] += 1
-                        self.n_open += 1
-
-
-def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 2, max_open: int = 1024) -> DataFrame:
+        return out
+
+    def close(self) -> None:
+        """Winds down: the emptiest window's pieces are placed anew with one window less, until one is left.
+
+        That one is cut into powers of two."""
+        while self.n_open > 1:
+            low = int(np.flatnonzero(self.level)[0])
+            window = self.windows[low].pop()
+            self.level[low] -= 1
+            self.n_open -= 1
+            self.max_open = self.n_open
+            self.place(window, low)
+        pieces = [p for w in self.left() for p in w]
+        left = size_of(pieces)
+        while left:
+            room = 1 << (left.bit_length() - 1)
+            window, pieces = split(pieces, room)
+            self.done.append(window)
+            left -= room
+
+
+def size_of(pieces: list) -> int:
+    return sum(len(p[2]) for p in pieces) // 4
+
+
+def split(pieces: list, room: int) -> tuple[list, list]:
+    """The first `room` tokens of the pieces, and the rest."""
+    front, room = [], 4 * room
+    for k, (doc, start, ids, total) in enumerate(pieces):
+        if len(ids) > room:
+            if room:
+                front.append((doc, start, ids[:room], total))
+            return front, [(doc, start + room // 4, ids[room:], total), *pieces[k + 1 :]]
+        front.append(pieces[k])
+        room -= len(ids)
+    return front, []
+
+
+class _Rows:
+    """Numbers windows and gathers their pieces as Arrow batches; part is null for closed windows."""
+
+    def __init__(self, first: int):
+        self.next, self.rows = first, []
+
+    def take(self, windows: list, part=None) -> None:
+        for window in windows:
+            at = 0
+            for doc, start, ids, total in window:
+                self.rows.append((doc, start, len(ids) // 4, ids, total, self.next, at, part))
+                at += len(ids) // 4
+            self.next += 1
+        windows.clear()
+
+    def batch(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*self.rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+        self.rows.clear()
+        return out
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 2, max_open: int = 512) -> DataFrame:
     """Packed pieces with their ids; the columns of SCHEMA."""
 
-    def work(batches):
+    def first_round(batches):
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
-        tokens, packer = WordTokenizer.held(tokenizer_path), SumOfSquares(capacity, max_open)
-        end, made = np.asarray([end_id], "<u4").tobytes(), 0
-        rows: list[tuple] = []
-
-        def taken():
-            nonlocal made
-            for window in packer.done:
-                at = 0
-                for doc, start, ids, total in window:
-                    rows.append((doc, start, len(ids) // 4, ids, total, (part << 36) | made, at))
-                    at += len(ids) // 4
-                made += 1
-            packer.done.clear()
-
-        def batch():
-            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
-            rows.clear()
-            return out
-
+        tokens, packer, out = WordTokenizer.held(tokenizer_path), SumOfSquares(capacity, max_open), _Rows(part << 34)
+        end = np.asarray([end_id], "<u4").tobytes()
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), texts_of(b), strict=True):
                 packer.add(doc, tokens.encode(text) + end)
-                if packer.done:
-                    taken()
-                    if len(rows) >= _OUT_ROWS:
-                        yield batch()
-        packer.close(last=True)
-        taken()
-        if rows:
-            yield batch()
-
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), work, SCHEMA)
+                out.take(packer.done)
+                if len(out.rows) >= _OUT_ROWS:
+                    yield out.batch()
+        out.take(packer.left(), part)
+        if out.rows:
+            yield out.batch()
+
+    def next_round(number: int, last: bool):
+        def work(batches):
+            """Rows stand sorted by the group of tasks, then by window, fullest first within a task."""
+            group, packer, out = None, None, None
+            window, now = [], None
+
+            def end_group():
+                if packer is None:
+                    return
+                if window:
+                    packer.place(list(window), size_of(window))
+                    window.clear()
+                if last:
+                    packer.close()
+                out.take(packer.done)
+                out.take(packer.left(), group)
+
+            for b in batches:
+                cols = [c.to_pylist() for c in b.columns]
+                for g, doc, start, ids, total, sequence in zip(*cols, strict=True):
+                    if sequence != now or g != group:
+                        if g != group:
+                            end_group()
+                            if out is not None and out.rows:
+                                yield out.batch()
+                            group, packer, out = g, SumOfSquares(capacity, max_open), _Rows((number << 58) | (g << 34))
+                        elif window:
+                            packer.place(list(window), size_of(window))
+                            window.clear()
+                            out.take(packer.done)
+                            if len(out.rows) >= _OUT_ROWS:
+                                yield out.batch()
+                        now = sequence
+                    window.append((doc, start, ids, total))
+            end_group()
+            if out is not None and out.rows:
+                yield out.batch()
+
+        return work
+
+    names = [f.name for f in _ARROW][:-1]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    made = written(map_arrow(rows, first_round, SCHEMA + ", part long"), "packed")
+    done, number = made.where("part is null").select(*names), 0
+    while True:
+        still = made.where("part is not null")
+        most = still.agg(F.max("part")).first()[0]
+        if most is None:
+            return done
+        number += 1
+        groups = most // FAN + 1
+        dealt = still.select((F.col("part") / FAN).cast("long").alias("g"), "doc_id", "start", "ids", "doc_tokens", "sequence_id", "offset")
+        dealt = dealt.repartition(min(groups, 4096), "g").sortWithinPartitions("g", "sequence_id", "offset").drop("offset")
+        made = map_arrow(dealt, next_round(number, groups == 1), SCHEMA + ", part long")
+        if groups == 1:
+            return done.unionByName(made.select(*names))
+        made = written(made, "packed")
+        done = done.unionByName(made.where("part is null").select(*names))
 
 
 def digest(pieces: DataFrame) -> DataFrame:
