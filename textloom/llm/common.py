@@ -2,22 +2,43 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import shared_dir, written  # noqa: F401
 
-#: Rows of one Arrow batch sent to Python; keeps a batch of long texts small.
-BATCH_ROWS = 256
+#: Rows, and bytes of texts unless one row has more, that Python objects are made of at once.
+PART_ROWS, PART_BYTES = 256, 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker holds at once, whatever the texts' length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def _bytes_of(column: pa.Array) -> np.ndarray:
+    """Bytes of each row's texts, those of structs too."""
+    if pa.types.is_struct(column.type):
+        return sum((_bytes_of(c) for c in column.flatten()), np.zeros(len(column), np.int64))
+    if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+        return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.zeros(len(column), np.int64)
+
+
+def in_parts(batches, rows: int = PART_ROWS, size: int = PART_BYTES):
+    """Batches cut into slices that are small in rows and in bytes.
+
+    Spark itself bounds a batch's bytes (spark.sql.execution.arrow.maxBytesPerBatch);
+    no setting of the session is changed here."""
+    for b in batches:
+        total, at = np.cumsum(sum(map(_bytes_of, b.columns), np.zeros(b.num_rows, np.int64))), 0
+        while at < b.num_rows:
+            before = total[at - 1] if at else 0
+            end = max(at + 1, min(at + rows, int(np.searchsorted(total, before + size, "right"))))
+            yield b.slice(at, end - at)
+            at = end
 
 
 def texts_of(batch: pa.RecordBatch, col: str = "text") -> list[str]:
@@ -25,6 +46,16 @@ def texts_of(batch: pa.RecordBatch, col: str = "text") -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(col)).to_pylist()]
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
+    """mapInArrow over small slices of the batches."""
+    return df.mapInArrow(lambda batches: fn(in_parts(batches)), schema)
+
+
+def name(col: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + col.replace("`", "``") + "`")
+
+
+def with_row(docs: DataFrame, **cols: Column) -> DataFrame:
+    """The given columns, and `row`: all of the input's columns in one struct, where no name can clash with ours."""
+    return docs.select(F.struct(*map(name, docs.columns)).alias("row"), *(c.alias(n) for n, c in cols.items()))
