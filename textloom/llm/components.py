@@ -1,9 +1,11 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is a join-free group by one end, done with windows over sorted rows,
-so a node with very many links is never gathered in memory. Each step's result is
+A step takes the least neighbour of every node (an aggregate with partial sums) and
+joins it back to the node's links. The least neighbours are written first, so both
+sides of the join are plain shuffles, and adaptive execution splits a node with
+very many links over tasks; nothing gathers a node's links. Each step's result is
 written to the shared folder: lineage stays short, and a lost executor costs no
-more than the step at hand."""
+more than the step at hand. Tables of steps that are done with are deleted."""
 
 from __future__ import annotations
 
@@ -19,7 +21,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         both = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     moved = both.join(least, "u")
     if large:
         out = moved.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))

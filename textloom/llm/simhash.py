@@ -8,16 +8,18 @@ fingerprint is zero and links like any other.
 Fingerprints that differ in `radius` bits at most link. Equal fingerprints are
 one class before anything else is done. Two that differ in three bits agree in
 two of five parts of their bits at least, so each class goes to ten buckets, one
-for each pair of parts. A bucket is compared bit-sliced: bit planes stand
-vertically, so one machine word holds one bit of 64 fingerprints; the differing
-planes are added by carry-save counters, and a block of 64 is abandoned as soon
-as all its counters exceed the radius. A bucket with more classes than `block`
-is cut into blocks by hash; each pair of blocks is a task of its own, so no
-bucket meets in one task. Of a pair of blocks only links that join what was not
-joined yet are kept; they hold the same components as all links.
+for each pair of parts. Buckets are compared bit-sliced, many at once: the
+fingerprints of all buckets that a task holds lie in shared bit planes, so one
+machine word holds one bit of 64 fingerprints. Each is compared with the one d
+places on, for every d that stays in a bucket: the planes are shifted by d and
+their differences added by carry-save counters, and a word is abandoned as soon as
+all its counters exceed the radius. Pairs that are joined already are left out. A
+bucket with more classes than `block` is cut into blocks by hash; each pair of
+blocks is a task of its own, so no bucket meets in one task. Only links that join
+what was not joined yet are kept; they hold the same components as all links.
 
 Component ids are the smallest document ids reachable. Defined cases: a null
-text is the empty text; repeated rows and rows with equal ids each give a row;
+text is the empty text; a very long text is read whole; repeated rows and rows with equal ids each give a row;
 rows with a null id have no component id but their own (null) and link nothing;
 an empty table gives no rows; further columns are ignored.
 """
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow, texts_of, written
+from .common import documents, map_arrow, name, texts_of, with_row, written
 from .components import connected_components
 
 #: Bits of the five parts, and the most classes in a block.
@@ -52,6 +54,11 @@ def simhash(text: str, size: int = 3) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     h = np.array([xxh64_intdigest(line[a:b], 42) for a, b in zip(starts[: n - size + 1].tolist(), ends[size - 1 :].tolist())], np.uint64)
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """The number whose bits are those that more than half of h have."""
     set_bits = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         set_bits += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -79,20 +86,24 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits.T).reshape(64, n // 64, 64), axis=2, bitorder="little")).view("<u8").reshape(64, n // 64)
 
 
-def within(fp: int, vertical: np.ndarray, radius: int) -> np.ndarray:
-    """Numbers of the fingerprints that differ from fp in `radius` bits at most.
+_ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def sliced(differ, over: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words with lanes whose differing bits are `radius` at most, and those lanes as bits.
 
-    Carry-save: eight differing planes are summed by full adders before they meet
-    the running counters; `over` holds the lanes that are beyond the radius."""
+    differ(p, words) gives plane p of the differences; `over` holds the lanes that do
+    not count from the start. Carry-save: eight differing planes are summed by full
+    adders before they meet the running counters; `over` gains the lanes beyond the
+    radius, and words that are over throughout are abandoned."""
     width = max(1, radius.bit_length())
-    live = np.arange(vertical.shape[1])
+    live = np.flatnonzero(over != _ONES)
+    over = over[live]
     counters = np.zeros((width, len(live)), np.uint64)
-    over = np.zeros(len(live), np.uint64)
-    ones = np.uint64(0xFFFFFFFFFFFFFFFF)
     for p in range(0, 64, 8):
-        flip = [ones if fp >> (p + k) & 1 else np.uint64(0) for k in range(8)]
-        d = [vertical[p + k, live] ^ flip[k] for k in range(8)]
-        columns: list[list[np.ndarray]] = [d]
+        if not len(live):
+            break
+        columns: list[list[np.ndarray]] = [[differ(p + k, live) for k in range(8)]]
         level = 0
         while level < len(columns):
             column = columns[level]
@@ -117,7 +128,7 @@ def within(fp: int, vertical: np.ndarray, radius: int) -> np.ndarray:
                 over = over | column[0]
             level += 1
         # of the counters' values, those above the radius are over too
-        above, equal = np.zeros(len(live), np.uint64), np.full(len(live), ones)
+        above, equal = np.zeros(len(live), np.uint64), np.full(len(live), _ONES)
         for k in range(width - 1, -1, -1):
             if radius >> k & 1:
                 equal = equal & counters[k]
@@ -125,45 +136,114 @@ def within(fp: int, vertical: np.ndarray, radius: int) -> np.ndarray:
                 above = above | equal & counters[k]
                 equal = equal & ~counters[k]
         over = over | above
-        keep = over != ones
+        keep = over != _ONES
         if not keep.all():
             live, over, counters = live[keep], over[keep], counters[:, keep]
-            if not len(live):
-                return np.zeros(0, np.int64)
-    near = np.unpackbits(np.ascontiguousarray(~over).view(np.uint8).reshape(len(live), 8), axis=1, bitorder="little")
-    at, lane = np.nonzero(near)
-    return live[at] * 64 + lane
+    return live, ~over
 
 
-def block_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within a, or between a and b, as pairs of numbers into a + b."""
-    other = a if b is None else b
-    shift = 0 if b is None else len(a)
-    root = list(range(len(a) + (0 if b is None else len(b))))
+def _lanes(words: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at, lane = np.nonzero(np.unpackbits(np.ascontiguousarray(bits).view(np.uint8).reshape(len(words), 8), axis=1, bitorder="little"))
+    return words[at] * 64 + lane
 
-    def top(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
+def within(fp: int, vertical: np.ndarray, radius: int) -> np.ndarray:
+    """Numbers of the fingerprints that differ from fp in `radius` bits at most."""
+    return _lanes(*sliced(lambda p, w: vertical[p, w] ^ (_ONES if fp >> p & 1 else np.uint64(0)), np.zeros(vertical.shape[1], np.uint64), radius))
+
+
+def close_pairs(fps: np.ndarray, end: np.ndarray, whole: np.ndarray, left: np.ndarray, root: np.ndarray, radius: int):
+    """Pairs (i, j) of fingerprints of one bucket that differ in `radius` bits at most, i < j, as arrays.
+
+    end: where i's bucket ends; whole: whether all its pairs count, or only those of a
+    left and a right one; root: what i is joined to, read anew for every distance."""
+    n = len(fps)
+    p = np.pad(planes(fps), ((0, 0), (0, n // 64 + 2)))
+    here = np.arange(n)
+    for d in range(1, int((end - here).max(initial=1))):
+        here = here[here + d < end[here]]  # what has no partner at this distance has none beyond
+        i = here[(root[here] != root[here + d]) & (whole[here] | (left[here] != left[here + d]))]
+        if not len(i):
+            continue
+        words, at = np.unique(i >> 6, return_inverse=True)
+        valid = np.zeros(len(words), np.uint64)
+        np.bitwise_or.at(valid, at, np.uint64(1) << (i & 63).astype(np.uint64))
+        q, s = d >> 6, np.uint64(d & 63)
+        up = np.uint64(64) - s
+
+        def differ(k, live, words=words, q=q, s=s, up=up):
+            w = words[live]
+            far = p[k, w + q]
+            if s:
+                far = far >> s | p[k, w + q + 1] << up
+            return p[k, w] ^ far
+
+        live, near = sliced(differ, ~valid, radius)
+        if len(live):
+            i = _lanes(words[live], near)
+            yield i, i + d
+
+
+def forest(pairs, root: np.ndarray, accept=None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that join what was not joined yet; root is kept up to date. accept(i, j) may turn a pair down."""
     out = []
-    if len(other) < 24:  # too few for bit planes to pay
-        bits = np.bitwise_count(a[:, None] ^ other[None, :])
-        pairs = zip(*np.nonzero(bits <= radius), strict=True)
-    else:
-        vertical = planes(other)
-        pairs = ((i, j) for i in range(len(a)) for j in within(int(a[i]), vertical, radius).tolist() if j < len(other))
     for i, j in pairs:
-        if b is None and j <= i:
+        if accept is not None:
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                a, b = sorted((root[x], root[y]))
+                if a != b and accept(x, y):
+                    root[root == b] = a
+                    out.append((np.array([x]), np.array([y])))
             continue
-        x, y = top(int(i)), top(int(j) + shift)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((int(i), int(j) + shift))
+        while True:
+            a, b = root[i], root[j]
+            apart = a != b
+            if not apart.any():
+                break
+            i, j = i[apart], j[apart]
+            low, high = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+            _, first = np.unique(high, return_index=True)  # each root moves once, to a lower one
+            root[high[first]] = low[first]
+            out.append((i[first], j[first]))
+            while (root[root] != root).any():
+                root[:] = root[root]
     return out
 
 
+#: Rows whose buckets are compared in the same planes.
+_HELD_ROWS = 1 << 15
+
+
+def keep_runs(batches, keys: int, most: int = _HELD_ROWS, size=None):
+    """Columns of rows that stand sorted by their first `keys` columns, in pieces that hold whole runs.
+
+    size(columns) may say how large a piece is already, where rows alone do not tell."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        if (sum(x.num_rows for x in held) if size is None else size(held)) < most:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        k = [table.column(c).to_numpy() for c in range(keys)]
+        new = np.flatnonzero(np.any([np.diff(c) != 0 for c in k], axis=0))
+        if not len(new):
+            continue
+        cut = int(new[-1]) + 1  # the last run may go on
+        yield table.slice(0, cut)
+        held = table.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def runs_of(table: pa.Table, keys: int) -> np.ndarray:
+    """Where the run of each row ends."""
+    k = [table.column(c).to_numpy() for c in range(keys)]
+    ends = np.r_[np.flatnonzero(np.any([np.diff(c) != 0 for c in k], axis=0)) + 1, len(k[0])]
+    return np.repeat(ends, np.diff(np.r_[0, ends]))
+
+
 def near_links(classes: DataFrame, *, radius: int = 3, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between distinct fingerprints fp that hold all components within the radius."""
     if radius > 3:
@@ -184,47 +264,16 @@ def near_links(classes: DataFrame, *, radius: int = 3, block: int = BLOCK) -> Da
     rows = rows.select("bucket", "fp", own.alias("own"), F.explode(pair).alias("p")).select("bucket", "p.x", "p.y", (F.col("own") == F.col("p.x")).alias("left"), "fp")
 
     def work(batches):
-        """Rows of a task stand sorted by block pair; one pair is held at a time."""
-        key, left, right = None, [], []
-        made: list[tuple[int, int]] = []
-
-        def flush():
-            if key is None or not left:
-                return
-            if key[1] == key[2]:
-                a = np.concatenate(left).view(np.uint64)
-                made.extend((int(a[i]), int(a[j])) for i, j in block_links(a, None, radius))
-            elif right:
-                a, b = np.concatenate(left).view(np.uint64), np.concatenate(right).view(np.uint64)
-                both = np.concatenate([a, b])
-                made.extend((int(both[i]), int(both[j])) for i, j in block_links(a, b, radius))
-
-        def batch():
-            x = np.array(made, np.uint64).reshape(-1, 2).view(np.int64)
-            made.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))], names=["a", "b"])
-
-        for b in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            if not len(cols[0]):
-                continue
-            change = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
-            for s, e in zip([0, *change.tolist()], [*change.tolist(), len(cols[0])], strict=True):
-                k = (cols[0][s], cols[1][s], cols[2][s])
-                if k != key:
-                    flush()
-                    key, left, right = k, [], []
-                side = cols[3][s:e].astype(bool)
-                left.append(cols[4][s:e][side])
-                right.append(cols[4][s:e][~side])
-            if len(made) > 20_000:
-                yield batch()
-        flush()
-        if made:
-            yield batch()
+        """Rows of a task stand sorted by block pair."""
+        for table in keep_runs(batches, 3):
+            x, y, left, fp = (table.column(c).to_numpy() for c in ("x", "y", "left", "fp"))
+            fps, root = fp.view(np.uint64), np.arange(len(fp))
+            found = forest(close_pairs(fps, runs_of(table, 3), x == y, left, root, radius), root)
+            if found:
+                i, j = (np.concatenate(c) for c in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[j])], names=["a", "b"])
 
     spread = rows.repartition(F.col("bucket"), F.col("x"), F.col("y")).sortWithinPartitions("bucket", "x", "y")
-    spread.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     return spread.mapInArrow(work, "a long, b long").distinct()
 
 
@@ -244,12 +293,12 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """docs with one row of each component: the smallest id's, of equal ids the smallest text hash's.
 
     Rows without an id link nothing and stay. Of rows that repeat id and text one stays."""
-    keyed = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    named = keyed.where(F.col(id_col).isNotNull())
-    found = near_components(named, id_col=id_col, text_col=text_col, also="_th", **how)
-    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "_th")).alias("w")).select(F.col("w.doc_id").alias(id_col), "w._th")
-    kept = named.join(first, [id_col, "_th"], "left_semi").dropDuplicates([id_col, "_th"])
-    return kept.unionByName(keyed.where(F.col(id_col).isNull())).select(*docs.columns)
+    keyed = with_row(docs, k=name(id_col).cast("long"), text=name(text_col), th=F.xxhash64(F.coalesce(name(text_col), F.lit(""))))
+    named = keyed.where("k is not null")
+    found = near_components(named, id_col="k", text_col="text", also="th", **how)
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("w")).select(F.col("w.doc_id").alias("k"), "w.th")
+    kept = named.join(first, ["k", "th"], "left_semi").dropDuplicates(["k", "th"])
+    return kept.select("row.*").unionByName(keyed.where("k is null").select("row.*"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
