@@ -1,20 +1,28 @@
-r"""Near copies: texts whose sets of five-word shingles have a Jaccard index of 0.8 or more.
+r"""SimHash near copies down to a Jaccard index of 0.8 of five-word shingles.
 
 A text's set holds the XXH64 values (UTF-8, seed 42) of its lower-cased word
 shingles; a text with fewer words than a shingle has one, all its words, and
-texts without words are alike. Equal sets are one class before anything else.
-
-Candidates share one of `BANDS` bands of `ROWS` MinHash values each. Two sets at
-0.8 share none with a probability of (1 - 0.8^4)^32, 5 in 100 million; closer ones
-miss less. Every link is settled by the Jaccard index of the whole sets, so
-nothing that is less alike links. Bands with the same members are compared once.
-In a bucket a set is compared with the members of each component found so far,
-until one links: of a large group of copies no pairs are listed. A bucket with
-more classes than `block` is cut into blocks by hash, and each pair of blocks is a
-task of its own; the links kept hold the same components as all links.
-
-Defined cases: a null text is the empty text; rows without an id link nothing and
-stay; of rows that repeat id and text one stays; an empty table gives no rows.
+texts without words are alike. Equal sets are one class before anything else. A
+class's fingerprint is the SimHash of its set (see `simhash`).
+
+At 0.8 two fingerprints differ in some ten bits of 64, beyond what buckets of equal
+parts can find, so buckets are made of bands of MinHash values: sets at 0.8 share
+none of `BANDS` bands of `ROWS` values with a probability of (1 - 0.8^4)^32, 5 in
+100 million; closer ones miss less. Bands with the same members are compared once.
+Within buckets fingerprints are compared bit-sliced, many buckets in the same
+planes, and pairs beyond `RADIUS` bits are abandoned. A bit of sets at 0.8 differs
+with a probability of 0.15 (0.19 for sets of four and five), so that a pair has more
+than 26 differing ones with one of less than 1 in 100,000. What is left is settled
+by the Jaccard index of the whole sets, so nothing that is less alike links. Pairs
+that are joined already are left out, so of a large group of copies no pairs are
+listed. A bucket with more classes than `block` is cut into blocks by hash, and
+each pair of blocks is a task of its own; the links kept hold the same components
+as all links.
+
+Defined cases: a null text is the empty text; a very long text is read whole; rows
+without an id link nothing and stay; of rows that repeat id and text one stays, of
+rows with one id the smallest text hash's; an empty table gives no rows; further
+columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,11 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, texts_of, written
+from .common import map_arrow, name, texts_of, with_row, written
 from .components import connected_components
+from .simhash import close_pairs, forest, keep_runs, majority, runs_of
 
 SIZE, LEAST = 5, 0.8
-BANDS, ROWS, BLOCK = 32, 4, 1024
+BANDS, ROWS, BLOCK, RADIUS = 32, 4, 1024, 26
+#: Bytes of sets whose buckets are compared in the same planes.
+_HELD_BYTES = 32 << 20
 _RNG = np.random.default_rng(31)
 _FLIP = _RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), dtype=np.uint64)
 _TIMES = _RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)
@@ -68,26 +79,8 @@ def alike(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
-def forest(sets: list[np.ndarray], split: int | None, least: float = LEAST) -> list[tuple[int, int]]:
-    """Links that hold all components: within sets, or only across the two sides if split is given."""
-    out = []
-    members: dict[int, list[int]] = {}
-    for i in range(len(sets)):
-        if split is not None and i < split:
-            members[i] = [i]
-            continue
-        mine = [i]
-        for r in list(members):
-            hit = next((j for j in members[r] if (split is None or j < split) and alike(sets[i], sets[j], least)), None)
-            if hit is not None:
-                out.append((hit, i))
-                mine = mine + members.pop(r)
-        members[i] = mine
-    return out
-
-
 def marks_of(docs: DataFrame) -> DataFrame:
-    """doc_id, th, the class of the text's set, its bands (none for the empty set)."""
+    """doc_id, th, the class of the text's set, its fingerprint and bands (none for the empty set)."""
 
     def work(batches):
         from xxhash import xxh64_intdigest
@@ -95,14 +88,15 @@ def marks_of(docs: DataFrame) -> DataFrame:
         for b in batches:
             sets = [shingles(t) for t in texts_of(b)]
             cls = np.array([xxh64_intdigest(x.tobytes(), 7) for x in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cls), pa.array([bands(x) if len(x) else [] for x in sets], pa.list_(pa.int64()))], names=["doc_id", "th", "cls", "bands"])
+            fp = np.array([majority(x) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cls), pa.array(fp), pa.array([bands(x) if len(x) else [] for x in sets], pa.list_(pa.int64()))], names=["doc_id", "th", "cls", "fp", "bands"])
 
-    return map_arrow(docs, work, "doc_id long, th long, cls long, bands array<long>")
+    return map_arrow(docs, work, "doc_id long, th long, cls long, fp long, bands array<long>")
 
 
-def links_of(docs: DataFrame, classes: DataFrame, *, least: float = LEAST, block: int = BLOCK) -> DataFrame:
+def links_of(docs: DataFrame, classes: DataFrame, *, least: float = LEAST, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) between classes that hold all components; docs has doc_id, th, text."""
-    rows = classes.select("cls", F.posexplode("bands").alias("band", "value")).select("cls", F.xxhash64("band", "value").alias("bucket"))
+    rows = classes.select("cls", "fp", F.posexplode("bands").alias("band", "value")).select("cls", "fp", F.xxhash64("band", "value").alias("bucket"))
     mark = lambda seed: F.sum(F.xxhash64("cls", F.lit(seed)).cast("decimal(38,0)"))
     size = rows.groupBy("bucket").agg(F.count("*").alias("n"), mark(1).alias("m1"), mark(2).alias("m2")).where("n > 1")
     once = size.groupBy("n", "m1", "m2").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("cuts"))
@@ -118,39 +112,31 @@ def links_of(docs: DataFrame, classes: DataFrame, *, least: float = LEAST, block
     sets = written(map_arrow(texts, work, "cls long, x binary").dropDuplicates(["cls"]), "sets")
     own = F.pmod(F.xxhash64("cls"), F.col("cuts")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda k: F.struct(F.least(k, own).alias("x"), F.greatest(k, own).alias("y")))
-    dealt = rows.select("bucket", "cls", own.alias("own"), F.explode(pair).alias("p")).select("bucket", "p.x", "p.y", (F.col("own") != F.col("p.x")).alias("right"), "cls")
+    dealt = rows.select("bucket", "cls", "fp", own.alias("own"), F.explode(pair).alias("p")).select("bucket", "p.x", "p.y", (F.col("own") == F.col("p.x")).alias("left"), "cls", "fp")
 
     def compare(batches):
-        key, held = None, []
-
-        def solve():
-            split = sum(not r for r, _, _ in held) if key[1] != key[2] else None
-            found = forest([np.frombuffer(x, np.uint64) for _, _, x in held], split, least)
-            ends = np.array([(held[i][1], held[j][1]) for i, j in found], np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(ends[:, k].copy()) for k in (0, 1)], names=["a", "b"])
-
-        for b in batches:
-            for *k, right, cls, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if k != key:
-                    if len(held) > 1:
-                        yield solve()
-                    key, held = k, []
-                held.append((right, cls, x))
-        if len(held) > 1:
-            yield solve()
+        """Rows of a task stand sorted by block pair."""
+        for table in keep_runs(batches, 3, _HELD_BYTES, lambda held: sum(b.nbytes for b in held)):
+            x, y, left, cls, fp = (table.column(c).to_numpy() for c in ("x", "y", "left", "cls", "fp"))
+            sets, root = table.column("set"), np.arange(len(fp))
+            read = lambda i: np.frombuffer(sets[i].as_buffer(), np.uint64)
+            found = forest(close_pairs(fp.view(np.uint64), runs_of(table, 3), x == y, left, root, radius), root, lambda i, j: alike(read(i), read(j), least))
+            if found:
+                i, j = (np.concatenate(c) for c in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cls[i]), pa.array(cls[j])], names=["a", "b"])
 
-    ready = dealt.join(sets.withColumnRenamed("x", "set"), "cls").select("bucket", "x", "y", "right", "cls", "set")
-    return map_arrow(ready.repartition(F.col("bucket"), F.col("x"), F.col("y")).sortWithinPartitions("bucket", "x", "y", "right"), compare, "a long, b long").distinct()
+    ready = dealt.join(sets.withColumnRenamed("x", "set"), "cls").select("bucket", "x", "y", "left", "cls", "fp", "set")
+    return ready.repartition(F.col("bucket"), F.col("x"), F.col("y")).sortWithinPartitions("bucket", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """docs with one row of each component: the smallest id's, of equal ids the smallest text hash's."""
-    keyed = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    named = keyed.where(F.col(id_col).isNotNull())
-    texts = named.select(F.col(id_col).cast("long").alias("doc_id"), F.col("_th").alias("th"), F.col(text_col).alias("text"))
-    classes = written(marks_of(texts).groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("at"), F.first("bands").alias("bands")), "classes")
+    keyed = with_row(docs, k=name(id_col).cast("long"), text=name(text_col), th=F.xxhash64(F.coalesce(name(text_col), F.lit(""))))
+    named = keyed.where("k is not null")
+    texts = named.select(F.col("k").alias("doc_id"), "th", "text")
+    classes = written(marks_of(texts).groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("at"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "classes")
     parts = connected_components(links_of(texts, classes, least=least, block=block))
     whole = classes.join(parts, F.col("cls") == F.col("node"), "left").select(F.coalesce("root", "cls").alias("root"), "at")
-    first = whole.groupBy("root").agg(F.min("at").alias("w")).select(F.col("w.doc_id").alias(id_col), F.col("w.th").alias("_th"))
-    kept = named.join(first, [id_col, "_th"], "left_semi").dropDuplicates([id_col, "_th"])
-    return kept.unionByName(keyed.where(F.col(id_col).isNull())).select(*docs.columns)
+    first = whole.groupBy("root").agg(F.min("at").alias("w")).select(F.col("w.doc_id").alias("k"), "w.th")
+    kept = named.join(first, ["k", "th"], "left_semi").dropDuplicates(["k", "th"])
+    return kept.select("row.*").unionByName(keyed.where("k is null").select("row.*"))
