@@ -16,8 +16,9 @@ most `TRUSTED_ROWS` of them, those with the smallest hash of their id, whose ids
 n-grams, divided by their number; it is kept at `THRESHOLD` or more. The table
 that scores read is `BUCKETS` numbers, whatever the corpus.
 
-Defined cases: a null text is the empty text, which fails the fixed rule;
-repeated rows give a row each; a null id stays null and is never trusted; without
+Defined cases: a null text is the empty text, which fails the fixed rule; a very
+long text is read whole; ties do not arise, as every text is held against the
+threshold by itself (of labels of one id the smallest counts); repeated rows give a row each; a null id stays null and is never trusted; without
 trusted documents every score is 0; an empty table gives no rows; further
 columns are ignored by the scores and kept by `keep_good`.
 """
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, name, with_row
 
 BUCKETS = 1 << 14
 TRUSTED_ROWS = 20_000
@@ -101,8 +102,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, text: str = "text", thr
     return ruled.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold) & (F.col("_row") >= 0)).drop("_row")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    return quality_rules(docs, labels, **how).where("kept").select(*docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """docs without the rows that are not kept; the same columns, whatever their names."""
+    rows = with_row(docs, doc_id=name(id_col), text=name(text))
+    return quality_rules(rows, labels, **how).where("kept").select("row.*")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow, written
+from .common import documents, map_arrow, name, with_row, written
 
 LENGTH, GRAM, HOT = 200, 64, 2048
 _REACH = LENGTH - GRAM
@@ -370,18 +370,19 @@ def kept_bytes(text: str | None, spans) -> tuple[bytes, bytes, list[tuple[int, i
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs without repeated strings; same columns and rows. Characters cut in two go whole."""
     names = docs.columns
+    rows = with_row(docs, doc_id=name(id_col).cast("long"), text=name(text_col))
 
     def work(batches):
         for b in batches:
-            cols = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+            cols = dict(zip(names, b.column(b.schema.get_field_index("row")).flatten(), strict=True))
             was = cols[text_col].to_pylist()
-            new = [t if not s else kept_bytes(t, s)[1].decode("utf-8", "ignore") for t, s in zip(was, cols["_spans"].to_pylist(), strict=True)]
-            cols[text_col] = pa.array(new, pa.string())
+            new = [t if not s else kept_bytes(t, s)[1].decode("utf-8", "ignore") for t, s in zip(was, b.column(b.schema.get_field_index("_spans")).to_pylist(), strict=True)]
+            cols[text_col] = pa.array(new, cols[text_col].type)
             if length_col in names:
                 cols[length_col] = pa.array([None if t is None else len(t) for t in new], cols[length_col].type)
             yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
 
-    return map_arrow(removals(docs, id_col=id_col, text_col=text_col), work, docs.schema)
+    return map_arrow(removals(rows).select("row", "_spans"), work, docs.schema)
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
