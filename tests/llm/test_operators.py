@@ -338,6 +338,19 @@ def test_toxicity_reads_words_to_their_end():
     assert {f"last{k}" for k in range(5)} <= set(toxicity.fit(far, clean).right)
 
 
+def test_toxic_spans():
+    """Offsets are those of the text as given, also where lower-casing lengthens it, and agree with the marginals."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    clean = [" ".join(word() for _ in range(40)) for _ in range(60)]
+    toxic = [" ".join([*(word() for _ in range(30)), "zuqqavyx", *(word() for _ in range(10))]) for _ in range(60)]
+    tagger = toxicity.fit(toxic, clean)
+    text = "İİ abcdef ZUQQAVYX zuqqavyx, lmnopa ghijkl zuqqavyx."
+    (m,) = tagger.marginals([toxicity.words_of(text)])
+    spans = toxicity.toxic_runs(text, m >= 0.5)
+    assert [text[s["start"] : s["end"]] for s in spans] == ["ZUQQAVYX zuqqavyx", "zuqqavyx"]
+
+
 def test_block_marginals_equal_forward_backward():
     rng = np.random.default_rng(0)
     for sizes in ([5, 130, 0, 1, 64], [200], [1]):
@@ -588,7 +601,7 @@ def test_pipeline_stages(spark, tiny, texts):
     kept = sorted(k for k in texts if judged[k].kept)
     assert sorted(r.doc_id for r in first.collect()) == kept and first.columns == docs.columns
     second = corpus_pipeline.near_dedup(spark, first, tiny)
-    roots = components(kept, {k: fingerprint(texts[k]) for k in kept})
+    roots = jaccard_components({k: texts[k] for k in kept})
     left = sorted(k for k in kept if roots[k] == k)
     assert sorted(r.doc_id for r in second.collect()) == left and second.columns == docs.columns
     third = corpus_pipeline.repeated_strings(spark, second, tiny)
