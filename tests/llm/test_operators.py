@@ -252,15 +252,26 @@ def test_bpe(spark, tiny, texts):
     for k, t in texts.items():
         ids = enc.encode_ordinary(t)
         assert (got[k].n_tokens, got[k].ids_sha256, got[k].decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(t))
-    rng = random.Random(6)
-    for _ in range(1500):
-        t = "".join(rng.choice(["a", "b ", "  ", "\n", "'s", "12", "é", "!!", "   \n ", "　", "xxxxx", "don't"]) for _ in range(rng.randint(0, 120)))
-        cut = bpe.ChunkedBpe.__new__(bpe.ChunkedBpe)
-        cut.encoding, cut.pattern, cut.bytes_of = enc, re.compile("x"), {}
-        import regex
-
-        cut.pattern, cut.chunk_chars, cut.overlap, cut.lookahead, cut.threads = regex.compile(P.PATTERN), rng.choice([7, 20, 50]), rng.choice([5, 30]), 12, 2
-        assert cut.encode(t) == enc.encode_ordinary(t)
+    cut, rng = bpe.ChunkedBpe(ranks, P.PATTERN), random.Random(6)
+    for _ in range(3000):
+        cut.chunk_chars, cut.overlap, cut.lookahead = rng.choice([7, 20, 50]), rng.choice([5, 30]), 5
+        t = "".join(rng.choice(["a", "b ", "  ", "\n", "'s", "12", "é", "!!", "   \n ", "　", "xxxxx", "don't", "x" * 200, " " * 90]) for _ in range(rng.randint(0, 120)))
+        assert np.frombuffer(cut.encode(t), "<u4").tolist() == enc.encode_ordinary(t)
+
+
+def test_bpe_of_long_texts():
+    """Time in proportion to the length, also where no chunk agrees with the next for long."""
+    import time
+
+    import tiktoken
+
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    enc, cut = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), bpe.ChunkedBpe(ranks, P.PATTERN)
+    text = ("A rather long text, with words. " * 3000 + "=" * 30_000 + " " * 30_000 + "\n" + "ab" * 20_000) * 6
+    assert np.frombuffer(cut.encode(text), "<u4").tolist() == enc.encode_ordinary(text)
+    began = time.perf_counter()
+    assert len(cut.split(" " * 6_000_000 + "x")) == 2 and cut.split("y" * 6_000_000) == ["y" * 6_000_000]
+    assert time.perf_counter() - began < 10
 
 
 def test_quality(spark, tiny, texts):
