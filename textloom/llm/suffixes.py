@@ -8,28 +8,38 @@ together. Every window has an anchor: of the `GRAM`-byte strings in it the first
 whose hash is least. Equal windows have equal anchors at the same distance, and
 neighbouring windows mostly share theirs, so anchors are some 70 times fewer than
 bytes. Only anchors whose string occurs twice or more are kept. An anchor's
-context is what its windows cover. Where two contexts are equal, all their windows
-repeat (a class). Where a string has several classes, one context of each is
-compared with the others:
-
+context is what its windows cover. Contexts that are equal (by a 128-bit BLAKE2b
+digest of their bytes) are a class. Of a class with several members two stand for
+it, of one with a single member that one, and these are compared:
+
+* the window that starts d bytes left of the anchor repeats if another context
+  shares d bytes to the left and LENGTH - d to the right. For d of `_HALF` or more
+  that takes `_HALF` equal bytes on the left, for smaller d LENGTH - `_HALF` + 1 on
+  the right, so contexts meet in two groups, by either string, which decide half of
+  the distances each. A string that is common, in contexts that differ, thus falls
+  apart into small groups;
 * right of the anchors and, read backwards, left of them, the contexts are
   suffixes; they are sorted by a merge sort that compares two suffixes by a binary
   search over prefix polynomial hashes for their common extension, in logarithmic
   time, and then one byte;
 * neighbours' extensions are verified byte by byte; should a hash have collided,
   the block is sorted again by its bytes;
-* the window at distance d left of the anchor repeats if another context of the
-  string shares d bytes to the left and LENGTH - d to the right: contexts that
-  share r bytes are neighbours in sorted order.
+* contexts that share r bytes are neighbours in sorted order, so every distance is
+  settled by the neighbours' extensions of both orders.
 
-A string with more than `HOT` classes does not meet in one task: each of its
-windows is counted by its hash (128 bits), with partial sums first, and counts are
-joined back. Nothing is dropped in either way.
+What is found for a class holds for all its members. A group with more than `HOT`
+contexts does not meet in one task: each of its windows is counted by a 128-bit
+digest, with partial sums first, and counts are joined back. Nothing is dropped in
+either way. Keys that may have very many rows (a string, a class, a window, a text
+that repeats) are aggregated with partial sums, and joined to tables that are
+written first, so that adaptive execution can split them over tasks.
 
 Defined cases: a null text is the empty text; texts shorter than a window keep all
-bytes; rows that repeat an id and its text are documents of their own, so what is
-long enough in them goes; a null id stays null; an empty table gives no rows;
-further columns are ignored by op8 and kept by `without_repeats`.
+bytes; a very long text is read in blocks of a megabyte that overlap by a window;
+ties between equal hashes go to the first string of a window; rows that repeat an
+id and its text are documents of their own, so what is long enough in them goes; a
+null id stays null and is told from every other; an empty table gives no rows;
+further columns are ignored by op8 and kept by `without_repeats`, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,14 +52,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, map_arrow, name, with_row, written
+from .simhash import keep_runs
 
-LENGTH, GRAM, HOT = 200, 64, 2048
+LENGTH, GRAM, HOT = 200, 64, 4096
 _REACH = LENGTH - GRAM
+#: Distances from here on are settled by contexts that are equal on the left, smaller ones by those equal on the right.
+_HALF = _REACH // 2
 _CHUNK = (1 << 20) - LENGTH
 _BLOCK = 6144
 _LOW = np.uint64((1 << 20) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_NULL_ID = -(1 << 63)
 _TABLES: list = []
 
 
@@ -85,7 +97,7 @@ def anchors(raw: bytes, ends: np.ndarray):
     """Anchors of texts laid end to end (ends: where each text ends).
 
     Gives arrays: text number, anchor, first and last window start (in the text),
-    hash of the anchor's string, hash of its context."""
+    hash of the anchor's string, and two halves of its context's digest."""
     values, power, inverse = _tables()
     starts = np.concatenate([[0], ends[:-1]])
     data = np.frombuffer(raw, np.uint8)
@@ -106,16 +118,19 @@ def anchors(raw: bytes, ends: np.ndarray):
         new = np.flatnonzero(np.concatenate([[True], (np.diff(where) != 0) | (np.diff(s) != 1) | (np.diff(text) != 0)]))
         first, last = s[new], s[np.concatenate([new[1:] - 1, [len(s) - 1]])]
         p, text = where[new], text[new]
-        context = (total[last + LENGTH] - total[first]) * inverse[first]
-        context = mixed(mixed(context) ^ ((p - first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + (last - first).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)))
+        block, digest = part.tobytes(), hashlib.blake2b
+        found = b"".join([digest(block[x:y], digest_size=16).digest() for x, y in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)])
+        c, e = np.frombuffer(found, np.int64).reshape(-1, 2).T
+        # equal bytes are one class only with the anchor in the same place
+        e = e ^ mixed((p - first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)).view(np.int64)
         shift = at - starts[text]
-        out.append((text, p + shift, first + shift, last + shift, gram[p].view(np.int64), context.view(np.int64)))
-    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 6
+        out.append((text, p + shift, first + shift, last + shift, gram[p].view(np.int64), c, e))
+    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 7
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with k and th, which name a text of a document."""
-    return docs.withColumns({"_k": F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)), "_th": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    """docs with _k and _th, which name a text of a document; _k of a null id is no number."""
+    return docs.withColumns({"_k": F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), "_th": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
 
 
 def all_anchors(keyed: DataFrame, text_col: str = "text") -> DataFrame:
@@ -125,12 +140,12 @@ def all_anchors(keyed: DataFrame, text_col: str = "text") -> DataFrame:
             ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
             if not len(ends):
                 continue
-            text, p, first, last, g, c = anchors(b"".join(texts), ends)
+            text, *found = anchors(b"".join(texts), ends)
             at = pa.array(text)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(x) for x in (p, first, last, g, c))], names=["k", "th", "p", "first", "last", "g", "c"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(x) for x in found)], names=["k", "th", "p", "first", "last", "g", "c", "e"])
 
     long_enough = keyed.select(F.col("_k").alias("k"), F.col("_th").alias("th"), F.encode(F.col(text_col), "UTF-8").alias("b")).where(F.length("b") >= LENGTH)
-    return map_arrow(long_enough, work, "k long, th long, p long, first long, last long, g long, c long")
+    return map_arrow(long_enough, work, "k string, th long, p long, first long, last long, g long, c long, e long")
 
 
 class Suffixes:
@@ -217,19 +232,19 @@ class Suffixes:
         return bool((inner & ((n >= self.length[b]) | (self.data[a, at] >= self.data[b, at]))).any())
 
 
-def repeated_windows(group: np.ndarray, left: list[bytes], right: list[bytes]) -> np.ndarray:
+def repeated_windows(group: np.ndarray, left: list[bytes], right: list[bytes], distances=range(_REACH + 1)) -> np.ndarray:
     """(rows, distances): whether the window that starts d bytes left of the anchor repeats in the group."""
     n = len(group)
-    found = np.zeros((n, _REACH + 1), bool)
+    found = np.zeros((n, len(distances)), bool)
     sides = []
-    for rows, width in ((right, LENGTH), ([x[::-1] for x in left], max(1, _REACH))):
-        order, share = Suffixes(rows, width).sorted_groups(group)
+    for rows in (right, [x[::-1] for x in left]):
+        order, share = Suffixes(rows, max(1, max(map(len, rows), default=1))).sorted_groups(group)
         fresh = np.concatenate([[True], group[order[1:]] != group[order[:-1]]])
         sides.append((order, share, fresh))
     (ro, rs, rf), (lo, ls, lf) = sides
     a, b = np.empty(n, np.int64), np.empty(n, np.int64)
     nl, nr = np.fromiter(map(len, left), np.int64, n), np.fromiter(map(len, right), np.int64, n)
-    for d in range(_REACH + 1):
+    for col, d in enumerate(distances):
         a[ro] = np.cumsum(rf | (rs < LENGTH - d))
         b[lo] = np.cumsum(lf | (ls < d))
         use = np.flatnonzero((nl >= d) & (nr >= LENGTH - d))
@@ -241,103 +256,107 @@ def repeated_windows(group: np.ndarray, left: list[bytes], right: list[bytes]) -
         hit = np.zeros(len(use), bool)
         hit[by[1:]] |= same
         hit[by[:-1]] |= same
-        found[use, d] = hit
+        found[use, col] = hit
     return found
 
 
 def _windows_to_spans(found: np.ndarray):
-    """Runs of distances as (row, least, largest)."""
+    """Runs of columns as (row, least, largest)."""
     edge = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     row, low = np.nonzero(edge == 1)
     _, high = np.nonzero(edge == -1)
     return row, low, high - 1
 
 
-def _compare(contexts: DataFrame) -> DataFrame:
-    """Spans of repeated windows of contexts (g, k, th, p, left, right), each string within one task."""
+_NEAR, _FAR = range(_HALF), range(_HALF, _REACH + 1)
+_CONTEXT = "key long, far boolean, c long, e long, left binary, right binary"
 
-    def work(batches):
-        held: list[list] = [[] for _ in range(6)]
 
-        def solve(upto):
-            rows = [c[:upto] for c in held]
-            for c in held:
-                del c[:upto]
-            group = np.unique(np.array(rows[0], np.int64), return_inverse=True)[1]
-            row, low, high = _windows_to_spans(repeated_windows(group, rows[4], rows[5]))
-            k, th, p = (np.array(c, np.int64)[row] for c in rows[1:4])
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (k, th, p - high, p - low + LENGTH)], names=["k", "th", "s", "e"])
+def _compare(contexts: DataFrame) -> DataFrame:
+    """Repeated windows of classes, as (c, e, low, high) distances; each group within one task."""
 
-        for b in batches:
-            for c, col in zip(held, b.columns, strict=True):
-                c.extend(col.to_pylist())
-            if len(held[0]) >= _BLOCK:
-                at = len(held[0])
-                while at and held[0][at - 1] == held[0][-1]:
-                    at -= 1
-                if at:  # the last string may go on
-                    yield solve(at)
-        if held[0]:
-            yield solve(len(held[0]))
+    def work(batches):
+        for table in keep_runs(batches, 1, _BLOCK):
+            far = table.column("far").to_numpy()
+            for side, distances in ((False, _NEAR), (True, _FAR)):
+                rows = np.flatnonzero(far == side)
+                if not len(rows):
+                    continue
+                part = table.take(pa.array(rows))
+                group = np.unique(part.column("key").to_numpy(), return_inverse=True)[1]
+                row, low, high = _windows_to_spans(repeated_windows(group, part.column("left").to_pylist(), part.column("right").to_pylist(), distances))
+                c, e = (part.column(x).to_numpy()[row] for x in ("c", "e"))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c, e, low + distances[0], high + distances[0])], names=["c", "e", "low", "high"])
 
-    ready = contexts.select("g", "k", "th", "p", "left", "right").repartition(F.col("g")).sortWithinPartitions("g")
-    return map_arrow(ready, work, "k long, th long, s long, e long")
+    return contexts.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(work, "c long, e long, low long, high long")
 
 
 def _count_windows(contexts: DataFrame) -> DataFrame:
-    """The same for strings of very many classes: every window is counted by its hash."""
+    """The same for groups of very many contexts: every window is counted by its digest."""
 
     def work(batches):
         for b in batches:
-            out = [[] for _ in range(6)]
-            for g, k, th, p, left, right in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                both = left + right
-                for s in range(len(both) - LENGTH + 1):
-                    h = hashlib.blake2b(both[s : s + LENGTH], digest_size=16).digest()
-                    for c, v in zip(out, (g, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), k, th, p - len(left) + s), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["g", "h1", "h2", "k", "th", "s"])
+            found, rows = [], []
+            for far, c, e, left, right in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
+                for d in _FAR if far else _NEAR:
+                    if d <= len(left) and LENGTH - d <= len(right):
+                        found.append(hashlib.blake2b(left[len(left) - d :] + right[: LENGTH - d], digest_size=16).digest())
+                        rows.append((c, e, d))
+            h = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+            at = np.array(rows, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (*h.T, *at.T)], names=["h1", "h2", "c", "e", "d"])
 
-    rows = map_arrow(contexts.select("g", "k", "th", "p", "left", "right"), work, "g long, h1 long, h2 long, k long, th long, s long")
-    many = rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    return rows.join(many, ["h1", "h2"]).select("k", "th", "s", (F.col("s") + LENGTH).alias("e"))
+    rows = written(map_arrow(contexts, work, "h1 long, h2 long, c long, e long, d long"), "windows")
+    many = written(rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "many")
+    return rows.join(many, ["h1", "h2"]).select("c", "e", F.col("d").alias("low"), F.col("d").alias("high"))
 
 
 def repeated_spans(keyed: DataFrame, text_col: str = "text", *, hot: int = HOT) -> DataFrame:
     """Spans [s, e) of bytes that go, as (k, th, s, e); they may overlap."""
     every = all_anchors(keyed, text_col)
-    strings = every.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    strings = written(every.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "strings")
     known = written(every.join(strings, "g"), "anchors")
-    classes = known.groupBy("g", "c").agg(F.count("*").alias("n"))
-    wide = classes.groupBy("g").agg(F.count("*").alias("classes")).where("classes > 1")
-    classes = classes.join(wide, "g", "left").where("n > 1 or classes > 1")
-    marked = known.join(classes, ["g", "c"])
-    settled = marked.where("n > 1").select("k", "th", F.col("first").alias("s"), (F.col("last") + LENGTH).alias("e"))
-    # one context of each class of a string with several
-    at = F.struct("k", "th", "p", "first", "last", "classes")
-    chosen = marked.where("classes > 1").groupBy("g", "c").agg(F.min(at).alias("at")).select("g", "at.*")
-    chosen = written(chosen, "contexts")
-    lists = chosen.groupBy("k", "th").agg(F.collect_set(F.struct("g", "p", "first", "last", "classes")).alias("todo"))
+    # two members stand for a class, one if it has no more
+    at = F.struct("k", "th", "p", "first", "last")
+    classes = known.groupBy("c", "e").agg(F.first("g").alias("g"), F.count("*").alias("n"), F.min(at).alias("one"), F.max(at).alias("two"))
+    classes = classes.select("c", "e", "g", F.explode(F.when(F.col("n") > 1, F.array(F.struct("one.*", F.lit(1).alias("m")), F.struct("two.*", F.lit(2).alias("m")))).otherwise(F.array(F.struct("one.*", F.lit(1).alias("m"))))).alias("at"))
+    lists = classes.groupBy("at.k", "at.th").agg(F.collect_list(F.struct("g", "c", "e", "at.p", "at.first", "at.last", "at.m")).alias("todo"))
 
     def cut(batches):
-        kinds = [pa.int64()] * 6 + [pa.binary()] * 2 + [pa.int64()]
+        from xxhash import xxh64_intdigest
+
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32()]
         for b in batches:
-            out = [[] for _ in range(9)]
-            for k, th, raw, todo in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            out = [[] for _ in kinds]
+            for raw, todo in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for t in todo:
-                    row = (t["g"], k, th, t["p"], t["first"], t["last"], raw[t["first"] : t["p"]], raw[t["p"] : t["last"] + LENGTH], t["classes"])
-                    for c, v in zip(out, row, strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(out, kinds, strict=True)], names=["g", "k", "th", "p", "first", "last", "left", "right", "classes"])
-
-    # of rows with equal id and text one is enough to read the context from; an anchor
-    # whose windows meet an edge of a chunk has a context on either side of it
+                    p, first, last = t["p"], t["first"], t["last"]
+                    rows = []
+                    if p - last < _HALF:
+                        right = raw[p : last + LENGTH]
+                        rows.append((False, raw[max(first, p - _HALF + 1) : p], right, right[: LENGTH - _HALF + 1]))
+                    if p - first >= _HALF:
+                        left = raw[first:p]
+                        rows.append((True, left, raw[p : min(last, p - _HALF) + LENGTH], left[-_HALF:] + t["g"].to_bytes(8, "little", signed=True)))
+                    for far, left, right, common in rows:
+                        key = xxh64_intdigest(common, 1 + far)
+                        for c, v in zip(out, (key - (1 << 64) if key >> 63 else key, far, t["c"], t["e"], left, right, t["m"]), strict=True):
+                            c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(out, kinds, strict=True)], names=["key", "far", "c", "e", "left", "right", "m"])
+
+    # of rows with equal id and text one is enough to read a context from; an anchor
+    # whose windows meet an edge of a block has a context on either side of it
     texts = keyed.select(F.col("_k").alias("k"), F.col("_th").alias("th"), F.encode(F.col(text_col), "UTF-8").alias("raw"))
-    found = texts.join(lists, ["k", "th"]).select("k", "th", "raw", "todo")
-    contexts = written(map_arrow(found, cut, "g long, k long, th long, p long, first long, last long, left binary, right binary, classes long").dropDuplicates(["g", "k", "th", "p", "first", "last"]), "texts")
-    some = _compare(contexts.where(F.col("classes") <= hot))
-    rest = _count_windows(contexts.where(F.col("classes") > hot))
-    return settled.unionByName(some).unionByName(rest)
+    found = texts.join(lists, ["k", "th"]).select("raw", "todo")
+    contexts = written(map_arrow(found, cut, _CONTEXT + ", m int").dropDuplicates(["key", "far", "c", "e", "m"]), "contexts")
+    many = written(contexts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "groups")
+    met = contexts.join(many, "key")
+    some = _compare(met.where(F.col("n") <= hot).select("key", "far", "c", "e", "left", "right"))
+    rest = _count_windows(met.where(F.col("n") > hot).select("key", "far", "c", "e", "left", "right"))
+    # what holds for a class holds for its members
+    said = written(some.unionByName(rest).groupBy("c", "e").agg(F.collect_set(F.struct("low", "high")).alias("d")), "said")
+    spans = known.join(said, ["c", "e"]).select("k", "th", "p", F.explode("d").alias("d"))
+    return spans.select("k", "th", (F.col("p") - F.col("d.high")).alias("s"), (F.col("p") - F.col("d.low") + LENGTH).alias("e"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -353,7 +372,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """docs with _spans: per row the byte spans that go (null if none), not yet merged."""
     keyed = _keyed(docs, id_col, text_col)
-    spans = repeated_spans(keyed, text_col, hot=hot).groupBy("k", "th").agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
+    spans = repeated_spans(keyed, text_col, hot=hot).groupBy("k", "th").agg(F.collect_set(F.struct("s", "e")).alias("_spans"))
+    spans = written(spans, "spans")
     return keyed.join(spans.select(F.col("k").alias("_k"), F.col("th").alias("_th"), "_spans"), ["_k", "_th"], "left").drop("_k", "_th")
 
 
