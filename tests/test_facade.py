@@ -52,6 +52,11 @@ def test_command_line(spark, tmp_path, capsys):
     assert capsys.readouterr().out.split("\t")[:3] == ["0", "1", "2"]
     cli.main(["kgrams", "--index", f"{tmp_path}/i", "--kgram", "at"])
     assert capsys.readouterr().out.split() == ["3", "terms", "cat", "mat", "sat"]
+    cli.main(["kgrams", "--corpus", f"{tmp_path}/c", "--kgram", "at$"])
+    assert capsys.readouterr().out.split() == ["3", "terms", "cat", "sat", "mat"]
+    with pytest.raises(SystemExit):
+        cli.main(["kgrams", "--corpus", f"{tmp_path}/c", "--kgram", "at"])
+    capsys.readouterr()
     (tmp_path / "links").write_text("1;2,3\n2;3\n")
     cli.main(["pagerank", "--links", f"{tmp_path}/links"])
     assert capsys.readouterr().out.startswith("3\t0.")

@@ -24,10 +24,10 @@ def arguments() -> argparse.ArgumentParser:
 
     pattern, one, yes = ("--patterns", {}), {"required": True}, {"action": "store_true"}
     command("tokens", ("--corpus", one), pattern, ("--case-folding", yes), ("--remove-diacritics", yes), ("--remove-punctuation", yes))
-    command("index", ("--corpus", one), ("--out", one), pattern, ("--k", {"type": int, "default": 2}))
+    command("index", ("--corpus", one), ("--out", one), pattern, ("--no-patterns", yes), ("--k", {"type": int, "default": 2}))
     command("search", ("--index", one), ("--query", one | {"action": "append"}), ("--kind", {"default": "ranked"}), ("--ranking", {"default": "tf_idf"}), ("--normalization", {"default": "n_tokens"}), ("--links", {}), ("--pagerank", {}), ("--top", {"type": int, "default": 10}))
     command("suggest", ("--index", one), ("--query", one | {"action": "append"}), ("--top", {"type": int, "default": 10}))
-    command("kgrams", ("--index", one), ("--kgram", one | {"action": "append"}), ("--top", {"type": int, "default": 10}))
+    command("kgrams", ("--index", {}), ("--corpus", {}), pattern, ("--k", {"type": int, "default": 3}), ("--kgram", one | {"action": "append"}), ("--top", {"type": int, "default": 10}))
     command("pagerank", ("--links", one), ("--titles", {}), ("--out", {}), ("--top", {"type": int, "default": 30}))
     command("walks", ("--links", one), ("--start", {"default": "random"}), ("--path", {"default": "endpoint"}), ("--walks", {"type": int, "required": True}), ("--trials", {"type": int, "default": 1}), ("--top", {"type": int, "default": 30}))
     command("hits", ("--links", one), ("--titles", {}), ("--top", {"type": int, "default": 30}))
@@ -43,7 +43,7 @@ def main(argv: list[str] | None = None) -> None:
         toks = index.tokens(files.corpus(spark, a.corpus), patterns=pick(), case_folding=a.case_folding, remove_diacritics=a.remove_diacritics, remove_punctuation=a.remove_punctuation)
         show(toks.orderBy("doc_id", "pos"), "term")
     elif a.command == "index":
-        index.Index.build(files.corpus(spark, a.corpus), k=a.k, patterns=pick()).save(a.out)
+        index.Index.build(files.corpus(spark, a.corpus), k=a.k, patterns=None if a.no_patterns else pick() or text.PATTERNS).save(a.out)
     elif a.command == "search":
         loaded = index.Index.load(spark, a.index)
         engine = SearchEngine(loaded, pagerank=spark.read.parquet(a.pagerank) if a.pagerank else None, links=files.links_by_number(spark, a.links) if a.links else None)
@@ -54,9 +54,19 @@ def main(argv: list[str] | None = None) -> None:
         engine = SearchEngine(index.Index.load(spark, a.index))
         show(engine.suggest(a.query, engine.search(a.query, QueryType.INTERSECTION), a.top).orderBy("query_id", "rank"), "query_id", "phrase", "score")
     elif a.command == "kgrams":
-        terms = index.kgram_intersect(index.Index.load(spark, a.index).kgrams, a.kgram)
+        if a.corpus:  # terms in the order in which they are first seen
+            toks = index.tokens(files.corpus(spark, a.corpus), patterns=pick() or text.PATTERNS)
+            order, k = toks.groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("at")), a.k
+            grams = index.kgram_index(order, k)
+        else:
+            loaded = index.Index.load(spark, a.index)
+            grams, order = loaded.kgrams, loaded.vocab.select("term", F.col("term").alias("at"))
+            k = (loaded.kgrams.agg(F.max(F.length("kgram"))).first()[0]) or a.k
+        if wrong := [x for x in a.kgram if len(x) != k]:
+            raise SystemExit(f"k-grams of {k} characters are asked for, not {', '.join(wrong)}")
+        terms = index.kgram_intersect(grams, a.kgram)
         print(terms.count(), "terms")
-        show(terms.orderBy("term").limit(a.top), "term")
+        show(terms.join(order, "term").orderBy("at").limit(a.top), "term")
     elif a.command in ("pagerank", "walks"):
         links = files.links_by_name(spark, a.links)
         if a.command == "pagerank":

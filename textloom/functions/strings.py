@@ -38,3 +38,10 @@ def like_pattern(term: Column) -> Column:
     """LIKE pattern of a wildcard term: `*` is any run; a lone `*` matches nothing (null)."""
     escaped = F.regexp_replace(term, r"([\\%_])", r"\\$1")
     return F.when(term != "*", F.regexp_replace(escaped, r"\*", "%"))
+
+
+def longest_gram(term: Column) -> Column:
+    """Two neighbouring characters of the longest literal run of ^term$ between its `*`; one letter if no run has two."""
+    runs = F.filter(F.split(F.concat(F.lit("^"), term, F.lit("$")), r"\*"), lambda x: ~x.isin("", "^", "$"))
+    best = F.array_max(F.transform(runs, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    return F.substring(best, F.lit(1), F.least(F.length(best), F.lit(2)))

@@ -1,27 +1,30 @@
 """Link analysis: PageRank, HITS and Monte Carlo walks.
 
-Iterations are joins and sums. Each round's vector is small beside the links; it is
-written to the shared folder, which cuts lineage. Only the largest
-change comes to the driver."""
+Iterations are joins and sums. Links are written once as a table bucketed by the
+end that a round joins on, and a round's vector is bucketed by node, so that a
+round shuffles sums of contributions and the vector, never the links. The
+vector's copy cuts lineage; the one before it is deleted. What decides about
+stopping is observed while a vector is written, and only such scalars reach the
+driver."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import bucketed, dropped, written
 
 #: Steps of walks between two sums of their visits.
 CUT = 5
 
 
-def dense_ids(df: DataFrame, key: str) -> DataFrame:
+def dense_ids(df: DataFrame, *key: str) -> DataFrame:
     """df with idx = 0, 1, ... by ascending key, from counts of range partitions."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = written(df.repartitionByRange(parts, key).withColumn("_p", F.spark_partition_id()), "ids")
+    held = written(df.repartitionByRange(parts, *key).withColumn("_p", F.spark_partition_id()), "ids")
     sizes = held.groupBy("_p").agg(F.count("*").alias("n"))  # one row a partition
     before = sizes.select("_p", (F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*key)) - 1
     return held.withColumn("_own", own).join(F.broadcast(before), "_p").withColumn("idx", F.col("_before") + F.col("_own")).drop("_p", "_own", "_before")
 
 
@@ -30,73 +33,94 @@ def nodes_of(links: DataFrame) -> DataFrame:
 
 
 def sinks(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes without a link of their own."""
     return nodes.join(links.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
 
 
 def pagerank(links: DataFrame, nodes: DataFrame | None = None, *, damping: float = 0.85, tolerance: float = 1e-7, rounds: int = 1000) -> DataFrame:
-    """node, pr by power iteration; links count once however often they are given."""
+    """node, pr by power iteration, until no score changes by `tolerance`; links count once however often they are given."""
     links = links.select("src", "dst").distinct()
     out = links.groupBy("src").agg(F.count("*").alias("deg"))
-    edges = written(links.join(out, "src").select("src", "dst", (F.lit(1.0) / F.col("deg")).alias("share")), "edges")
-    nodes = (nodes if nodes is not None else nodes_of(links)).select("node").distinct()
-    nodes = written(nodes.join(out.select(F.col("src").alias("node"), F.lit(False).alias("sink")), "node", "left").select("node", F.coalesce("sink", F.lit(True)).alias("sink")), "nodes")
+    edges = bucketed(links.join(out, "src").select("src", "dst", (F.lit(1.0) / F.col("deg")).alias("share")), "edges", "src")
+    nodes = written((nodes if nodes is not None else nodes_of(links)).select("node").distinct(), "nodes")
     n = nodes.count()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("pr"))
-    ranks = nodes.select("node", "sink", F.lit(1.0 / n).alias("pr"))
-    for i in range(1, rounds + 1):
-        lost = ranks.where("sink").agg(F.coalesce(F.sum("pr"), F.lit(0.0)).alias("m")).scalar()
+    sink = sinks(edges, nodes).select("node", F.lit(True).alias("s"))
+    lost = Observation()
+    start = nodes.join(sink, "node", "left").select("node", F.coalesce("s", F.lit(False)).alias("sink"), F.lit(1.0 / n).alias("pr"), F.lit(1.0).alias("was"))
+    ranks = bucketed(start.observe(lost, F.sum(F.when(F.col("sink"), F.col("pr"))).alias("lost"), F.sum("pr").alias("total")), "ranks", "node")
+    said = lost.get
+    for _ in range(rounds):
         flow = edges.join(ranks.select(F.col("node").alias("src"), "pr"), "src").groupBy("dst").agg(F.sum(F.col("pr") * F.col("share")).alias("f"))
-        new = ranks.join(flow.select(F.col("dst").alias("node"), "f"), "node", "left").select("node", "sink", F.col("pr").alias("was"), (F.lit((1 - damping) / n) + damping * lost / n + damping * F.coalesce("f", F.lit(0.0))).alias("pr"))
-        # a round reads the vector three times, so it is written before the next one
-        new = written(new, "ranks")
-        ranks = new.select("node", "sink", "pr")
-        if i < rounds and tolerance > 0 and new.agg(F.max(F.abs(F.col("pr") - F.col("was")))).first()[0] < tolerance:
+        base = (1 - damping) / n + damping * (said["lost"] or 0.0) / n
+        new = ranks.join(flow.select(F.col("dst").alias("node"), "f"), "node", "left").select("node", "sink", (F.lit(base) + damping * F.coalesce("f", F.lit(0.0))).alias("pr"), F.col("pr").alias("was"))
+        seen = Observation()
+        watched = new.observe(seen, F.sum(F.when(F.col("sink"), F.col("pr"))).alias("lost"), F.sum("pr").alias("total"), F.max(F.abs(F.col("pr") - F.col("was"))).alias("change"))
+        before, ranks = ranks, bucketed(watched, "ranks", "node")
+        said = seen.get
+        dropped(before)
+        if said["change"] < tolerance:
             break
+    dropped(edges)
     # each round keeps the sum at 1 but for rounding
-    total = ranks.agg(F.sum("pr").alias("t")).scalar()
-    return ranks.select("node", (F.col("pr") / total).alias("pr"))
-
-
-def _normal(v: DataFrame, col: str) -> DataFrame:
-    norm = v.agg(F.sqrt(F.sum(F.col(col) * F.col(col))).alias("n")).scalar()
-    return v.withColumn(col, F.col(col) / F.when(norm == 0, 1.0).otherwise(norm))
-
-
-def hits(links: DataFrame, base: DataFrame | None = None, *, tolerance: float = 1e-6, rounds: int = 1000) -> DataFrame:
-    """node, hub, auth. Both vectors come from the round before; repeated links count as often as given."""
-    base = (base if base is not None else nodes_of(links)).select("node").distinct()
-    inside = links.join(base.select(F.col("node").alias("src")), "src", "left_semi").join(base.select(F.col("node").alias("dst")), "dst", "left_semi")
-    edges = written(inside.groupBy("src", "dst").agg(F.count("*").cast("double").alias("m")), "links")
-    base = written(base, "base")
-    v = base.select("node", F.lit(1.0).alias("hub"), F.lit(1.0).alias("auth"))
-    for i in range(1, rounds + 1):
-        auth = edges.join(v.select(F.col("node").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("m") * F.col("hub")).alias("auth"))
-        hub = edges.join(v.select(F.col("node").alias("dst"), "auth"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("m") * F.col("auth")).alias("hub"))
-        new = base.join(auth, "node", "left").join(hub, "node", "left").select("node", F.coalesce("hub", F.lit(0.0)).alias("hub"), F.coalesce("auth", F.lit(0.0)).alias("auth"))
-        new = written(_normal(_normal(written(new, "step"), "hub"), "auth"), "hits")
-        if tolerance > 0:
-            change = new.join(v.select("node", F.col("hub").alias("h"), F.col("auth").alias("a")), "node").agg(F.max(F.greatest(F.abs(F.col("hub") - F.col("h")), F.abs(F.col("auth") - F.col("a"))))).first()[0]
-            v = new
-            if change is None or change <= tolerance:
-                break
-        v = new
-    return v
+    return ranks.select("node", (F.col("pr") / F.lit(said["total"])).alias("pr"))
+
+
+def hits(links: DataFrame, base: DataFrame | None = None, *, tolerance: float = 1e-6, rounds: int = 1000, by: tuple[str, ...] = ()) -> DataFrame:
+    """node, hub, auth. Both vectors come from the round before; repeated links count as often as given.
+
+    by: columns of `base` that tell graphs apart (queries, say); each is scaled and
+    stops by itself, and all are iterated together."""
+    kept = [*by, "node"]
+    base = base if base is not None else nodes_of(links)
+    by = list(by) or ["_one"]  # all nodes are one graph
+    key = [*by, "node"]
+    base = written((base if by != ["_one"] else base.withColumn("_one", F.lit(0))).select(*key).distinct(), "base")
+    inside = links.select("src", "dst").join(base.select(*by, F.col("node").alias("src")), "src").join(base.select(*by, F.col("node").alias("dst")), [*by, "dst"], "left_semi")
+    counted = written(inside.groupBy(*by, "src", "dst").agg(F.count("*").cast("double").alias("m")), "links")
+    out, into = bucketed(counted, "out", *by, "src"), bucketed(counted, "into", *by, "dst")
+    v = bucketed(base.select(*key, F.lit(1.0).alias("hub"), F.lit(1.0).alias("auth"), F.lit(False).alias("done")), "hits", *key)
+    for _ in range(rounds):
+        auth = out.join(v.select(*by, F.col("node").alias("src"), "hub"), [*by, "src"]).groupBy(*by, F.col("dst").alias("node")).agg(F.sum(F.col("m") * F.col("hub")).alias("a"))
+        hub = into.join(v.select(*by, F.col("node").alias("dst"), "auth"), [*by, "dst"]).groupBy(*by, F.col("src").alias("node")).agg(F.sum(F.col("m") * F.col("auth")).alias("h"))
+        raw = written(v.join(auth, key, "left").join(hub, key, "left").select(*key, "hub", "auth", "done", F.coalesce("h", F.lit(0.0)).alias("h"), F.coalesce("a", F.lit(0.0)).alias("a")), "step")
+        # one row for each graph
+        size = raw.groupBy(*by).agg(*(F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"n{c}") for c in "ha"))
+        scaled = raw.join(size, by).select(*key, "hub", "auth", "done", *((F.col(c) / F.when(F.col(f"n{c}") == 0, 1.0).otherwise(F.col(f"n{c}"))).alias(c) for c in "ha"))
+        gap = F.max(F.greatest(F.abs(F.col("h") - F.col("hub")), F.abs(F.col("a") - F.col("auth")))) <= tolerance
+        still = scaled.groupBy(*by).agg(gap.alias("stop"))
+        moved = scaled.join(still, by)
+        pick = lambda new, old: F.when(F.col("done"), F.col(old)).otherwise(F.col(new)).alias(old)
+        seen = Observation()
+        new = moved.select(*key, pick("h", "hub"), pick("a", "auth"), (F.col("done") | F.col("stop")).alias("done")).observe(seen, F.min("done").alias("done"))
+        before, v = v, bucketed(new, "hits", *key)
+        dropped(before, raw)
+        if seen.get["done"] in (True, None):
+            break
+    dropped(out, into, counted)
+    return v.select(*kept, "hub", "auth")
 
 
-def base_set(links: DataFrame, root: DataFrame, titled: DataFrame | None = None) -> DataFrame:
-    """Root nodes, what they link to, and what links to them; nodes without a title go."""
-    r = root.select("node").distinct()
-    out = links.join(r.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node"))
-    into = links.join(r.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"))
+def base_set(links: DataFrame, root: DataFrame, titled: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Root nodes, what they link to, and what links to them; nodes without a title go. by: as for `hits`."""
+    r = root.select(*by, "node").distinct()
+    out = links.join(r.withColumnRenamed("node", "src"), "src").select(*by, F.col("dst").alias("node"))
+    into = links.join(r.withColumnRenamed("node", "dst"), "dst").select(*by, F.col("src").alias("node"))
     every = r.union(out).union(into).distinct()
-    return every.join(titled.select("node").distinct(), "node", "left_semi") if titled is not None else every
+    return every.join(titled.select("node").distinct(), "node", "left_semi").select(*by, "node") if titled is not None else every
 
 
-def hits_ranking(links: DataFrame, root: DataFrame, titled: DataFrame | None = None, *, hub_weight: float = 0.5, auth_weight: float = 0.5, **how) -> DataFrame:
+def hits_ranking(links: DataFrame, root: DataFrame, titled: DataFrame | None = None, *, hub_weight: float = 0.5, auth_weight: float = 0.5, by: tuple[str, ...] = (), **how) -> DataFrame:
     """node, score of the root's base set."""
-    v = hits(links, base_set(links, root, titled), **how)
-    return v.select("node", (hub_weight * F.col("hub") + auth_weight * F.col("auth")).alias("score"))
+    v = hits(links, base_set(links, root, titled, by), by=by, **how)
+    return v.select(*by, "node", (hub_weight * F.col("hub") + auth_weight * F.col("auth")).alias("score"))
+
+
+def document_nodes(docs: DataFrame, titles: DataFrame) -> DataFrame:
+    """doc_id, node: documents whose file name without its folders is a node's title; of equal titles the least node."""
+    named = titles.groupBy("title").agg(F.min("node").alias("node"))
+    return docs.select("doc_id", basename(F.col("name")).alias("title")).join(named, "title").select("doc_id", "node")
 
 
 def basename(name: Column) -> Column:
@@ -132,10 +156,12 @@ def monte_carlo(links: DataFrame, nodes: DataFrame, *, start: str = "random", pa
     ids = written(dense_ids(nodes.select("node").distinct(), "node"), "nodes")
     n = ids.count()
     pair = links.select("src", "dst").distinct().join(ids.select(F.col("node").alias("src"), F.col("idx").alias("s")), "src").join(ids.select(F.col("node").alias("dst"), F.col("idx").alias("d")), "dst")
-    # link numbers: (s, k) for k = 0, 1, ... so that a walk picks one without gathering a node's links
-    numbered = pair.select("s", "d", (F.row_number().over(Window.partitionBy("s").orderBy("d")) - 1).alias("k"), F.count("*").over(Window.partitionBy("s")).alias("deg"))
-    edges = written(numbered, "walks")
-    degree = written(ids.select("idx").join(edges.select(F.col("s").alias("idx"), "deg").distinct(), "idx", "left").select("idx", F.coalesce("deg", F.lit(0)).alias("deg")), "degrees")
+    # link numbers: (s, k) for k = 0, 1, ... so that a walk picks one without gathering a node's links;
+    # links are numbered by range partitions, so a node with very many does not stand in one task either
+    numbered = written(dense_ids(pair.select("s", "d"), "s", "d"), "numbered")
+    first = numbered.groupBy("s").agg(F.min("idx").alias("first"), F.count("*").alias("deg"))
+    edges = written(numbered.join(first, "s").select("s", "d", (F.col("idx") - F.col("first")).alias("k")), "walks")
+    degree = written(ids.select("idx").join(first.select(F.col("s").alias("idx"), "deg"), "idx", "left").select("idx", F.coalesce("deg", F.lit(0)).alias("deg")), "degrees")
     going = written(_walkers(ids, n, start, walks, seed), "going")
     visits, ends = None, None
     add = lambda a, b: b if a is None else a.unionByName(b)
@@ -148,7 +174,7 @@ def monte_carlo(links: DataFrame, nodes: DataFrame, *, start: str = "random", pa
         else:
             ends = add(ends, at.where(stop).groupBy("idx").agg(F.count("*").alias("c")))
             live = at.where(~stop)
-        picked = live.withColumn("k", F.floor(chance(F.col("walk"), step, 2, seed) * F.col("deg")).cast("int"))
+        picked = live.withColumn("k", F.floor(chance(F.col("walk"), step, 2, seed) * F.col("deg")).cast("long"))
         moved = picked.where("deg > 0").join(edges.select(F.col("s").alias("idx"), "k", "d"), ["idx", "k"]).select("walk", F.col("d").alias("idx"))
         if path == "endpoint":
             moved = moved.unionByName(live.where("deg = 0").select("walk", F.floor(chance(F.col("walk"), step, 3, seed) * n).cast("long").alias("idx")))

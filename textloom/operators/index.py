@@ -86,11 +86,18 @@ def term_ids(vocab: DataFrame) -> DataFrame:
     return dense_ids(vocab.select("term"), "term").select(F.col("idx").alias("term_id"), "term")
 
 
-def encode_postings(posts: DataFrame) -> DataFrame:
-    """term, line: `doc:o1,o2-doc:...` by ascending document."""
+#: Width of the range of document ids that one encoded line covers.
+LINE_SPAN = 1 << 20
+
+
+def encode_postings(posts: DataFrame, span: int = LINE_SPAN) -> DataFrame:
+    """term, part, line: `doc:o1,o2-doc:...` by ascending document.
+
+    A line covers the document ids of one range (part = doc_id div span), so no line and
+    no task holds all of a frequent term's postings."""
     item = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.array_join(F.transform("offsets", lambda o: o.cast("string")), ","))
-    rows = posts.select("term", F.struct("doc_id", item.alias("item")).alias("x"))
-    return rows.groupBy("term").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["item"]), "-").alias("line"))
+    rows = posts.select("term", F.floor(F.col("doc_id") / span).cast("long").alias("part"), F.struct("doc_id", item.alias("item")).alias("x"))
+    return rows.groupBy("term", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["item"]), "-").alias("line"))
 
 
 def decode_postings(lines: DataFrame) -> DataFrame:
@@ -118,29 +125,44 @@ class Index:
     doc_stats: DataFrame
     kgrams: DataFrame
     n: object
+    lengths: DataFrame
+    k: int = 2
 
     @classmethod
-    def build(cls, docs: DataFrame, *, k: int = 2, **how) -> Index:
-        posts = postings(tokens(docs, **how))
+    def build(cls, docs: DataFrame, *, k: int = 2, patterns: tuple[str, ...] | None = text.PATTERNS, **how) -> Index:
+        """Non-standard words are tokens of their own by default; patterns=None has standard tokens alone."""
+        toks = tokens(docs, patterns=patterns, **how)
+        posts = postings(toks)
         n = n_docs(docs)
         vocab = vocabulary(posts)
-        stats = doc_lengths(docs).join(euclidean_lengths(posts, vocab, n), "doc_id", "left")
-        return cls(docs, posts, vocab, stats, kgram_index(vocab, k), n)
+        names = [c for c in ("doc_id", "name") if c in docs.columns]
+        # without patterns a text's tokens are counted in its row
+        counted = doc_lengths(docs, **how) if patterns is None else toks.groupBy("doc_id").agg(F.count("*").alias("n_tokens"))
+        lengths = docs.select(*names).join(counted, "doc_id", "left").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)).cast("long"))
+        stats = lengths.join(euclidean_lengths(posts, vocab, n), "doc_id", "left")
+        return cls(docs, posts, vocab, stats, kgram_index(vocab, k), n, lengths, k)
 
     def save(self, path: str, partitions: int | None = None) -> None:
-        """Parquet, postings sorted by term within range partitions, so that a term's row groups are found by their statistics."""
-        parts = partitions or int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.docs.select("doc_id").write.mode("overwrite").parquet(f"{path}/docs")
+        """Parquet, postings sorted by term within range partitions, so that a term's row groups are found by their statistics.
+
+        Documents are read for the postings and once more for ids and lengths; vocabulary,
+        Euclidean lengths and k-grams come from the postings and vocabulary written first."""
+        spark = self.docs.sparkSession
+        parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        read = lambda t: spark.read.parquet(f"{path}/{t}")
         self.postings.repartitionByRange(parts, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.vocab.repartitionByRange(parts, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocab")
-        self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
-        self.kgrams.repartitionByRange(parts, "kgram").sortWithinPartitions("kgram").write.mode("overwrite").parquet(f"{path}/kgrams")
+        vocabulary(read("postings").select("term", "doc_id")).repartitionByRange(parts, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocab")
+        self.lengths.write.mode("overwrite").parquet(f"{path}/docs")
+        n = n_docs(read("docs"))
+        euclid = euclidean_lengths(read("postings").select("term", "doc_id", "tf"), read("vocab"), n)
+        read("docs").join(euclid, "doc_id", "left").write.mode("overwrite").parquet(f"{path}/doc_stats")
+        kgram_index(read("vocab"), self.k).repartitionByRange(parts, "kgram").sortWithinPartitions("kgram").write.mode("overwrite").parquet(f"{path}/kgrams")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
         read = lambda t: spark.read.parquet(f"{path}/{t}")
         docs = read("docs")
-        return cls(docs, read("postings"), read("vocab"), read("doc_stats"), read("kgrams"), n_docs(docs))
+        return cls(docs, read("postings"), read("vocab"), read("doc_stats"), read("kgrams"), n_docs(docs), docs)
 
     def lookup(self, term: str) -> DataFrame:
         """Postings of one term: the filter reaches the Parquet scan."""

@@ -42,14 +42,23 @@ def small(df: DataFrame, few: bool | None = None) -> DataFrame:
     return F.broadcast(df) if (fits(df) if few is None else few) else df
 
 
-def expand_wildcards(q: DataFrame, vocab: DataFrame) -> DataFrame:
+def expand_wildcards(q: DataFrame, vocab: DataFrame, grams: DataFrame | None = None) -> DataFrame:
     """Each wildcard term becomes all terms it matches, each with its full weight; idx stays (the slot).
 
-    `pre*` is a range of the sorted vocabulary; the match itself is a LIKE."""
+    A pattern meets the terms that have one of its k-grams, by an equi-join with the
+    k-gram index (`grams`, of two characters; made from the vocabulary if not given);
+    the match itself is a LIKE. A pattern of single inner letters alone (`*a*`) has no
+    such k-gram and meets the terms by its letter."""
     wild = q.where(F.contains("term", F.lit("*"))).withColumn("pattern", strings.like_pattern(F.col("term"))).where("pattern is not null")
-    plain = q.where(~F.contains("term", F.lit("*")))
-    found = vocab.select(F.col("term").alias("found")).join(small(wild), F.expr(r"found like pattern"))
-    return plain.unionByName(found.select("query_id", "idx", F.col("found").alias("term"), "weight"))
+    wild = wild.withColumn("gram", strings.longest_gram(F.col("term")))
+    plain = q.where(~F.contains("term", F.lit("*"))).select("query_id", "idx", "term", "weight")
+    few = fits(wild)
+    letter = F.length("gram") == 1
+    out = plain
+    for rows, index_ in ((wild.where(~letter), grams if grams is not None else index.kgram_index(vocab, 2)), (wild.where(letter), index.kgram_index(vocab, 1))):
+        found = index_.select("kgram", F.col("term").alias("found")).join(small(rows.withColumnRenamed("gram", "kgram"), few), "kgram").where(F.expr("found like pattern"))
+        out = out.unionByName(found.select("query_id", "idx", F.col("found").alias("term"), "weight"))
+    return out
 
 
 def intersection(q: DataFrame, tf: DataFrame) -> DataFrame:
@@ -61,8 +70,8 @@ def intersection(q: DataFrame, tf: DataFrame) -> DataFrame:
     return hit.join(small(need, few), "query_id").where("n = need").select("query_id", "doc_id")
 
 
-def wildcard_intersection(q: DataFrame, tf: DataFrame, vocab: DataFrame) -> DataFrame:
-    expanded = written(expand_wildcards(q, vocab), "terms")
+def wildcard_intersection(q: DataFrame, tf: DataFrame, vocab: DataFrame, grams: DataFrame | None = None) -> DataFrame:
+    expanded = written(expand_wildcards(q, vocab, grams), "terms")
     need = q.groupBy("query_id").agg(F.count_distinct("idx").alias("need"))
     slots = expanded.select("query_id", "idx", "term").distinct()
     hit = tf.select("term", "doc_id").join(small(slots), "term").groupBy("query_id", "doc_id").agg(F.count_distinct("idx").alias("n"))
@@ -86,8 +95,8 @@ def phrase(q: DataFrame, toks: DataFrame, *, slots: DataFrame | None = None) ->
     return whole.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list((F.col("start") + F.col("need") - 1).cast("int"))).alias("offsets"))
 
 
-def wildcard_phrase(q: DataFrame, toks: DataFrame, vocab: DataFrame) -> DataFrame:
-    return phrase(q, toks, slots=written(expand_wildcards(q, vocab), "terms"))
+def wildcard_phrase(q: DataFrame, toks: DataFrame, vocab: DataFrame, grams: DataFrame | None = None) -> DataFrame:
+    return phrase(q, toks, slots=written(expand_wildcards(q, vocab, grams), "terms"))
 
 
 def matching(q: DataFrame, tf: DataFrame, few: bool | None = None) -> DataFrame:

@@ -11,16 +11,23 @@ from .search import small
 JACCARD, DISTANCE = 0.4, 2
 
 
-def candidates(words: DataFrame, vocab: DataFrame, *, k: int = 2, least: float = JACCARD, most: int = DISTANCE) -> DataFrame:
-    """word, term, jaccard, distance, score for each word's corrections.
+def overlaps(words: DataFrame, vocab: DataFrame, *, k: int = 2, most: int | None = DISTANCE) -> DataFrame:
+    """word, term, df, jaccard of all pairs that share a k-gram.
 
-    Words meet terms by shared k-grams. A term within distance 2 differs in length by
-    2 at most, so lengths cut the join before anything is counted."""
+    most: a term within that distance differs in length by as much at most, so lengths
+    cut the join before anything is counted."""
     gram = lambda df, c: df.select("*", F.explode(strings.kgrams(F.col(c), k)).alias("kgram"), F.size(strings.kgrams(F.col(c), k)).alias(f"n_{c}"))
     w = gram(words.select("word").distinct(), "word")
-    near = F.abs(F.length("word") - F.length("term")) <= most
-    shared = gram(vocab.select("term", "df"), "term").join(small(w), "kgram").where(near).groupBy("word", "term", "df", "n_word", "n_term").agg(F.count("*").alias("both"))
-    scored = shared.withColumn("jaccard", strings.jaccard(F.col("n_word"), F.col("n_term"), F.col("both"))).where(F.col("jaccard") >= least)
+    met = gram(vocab.select("term", "df"), "term").join(small(w), "kgram")
+    if most is not None:
+        met = met.where(F.abs(F.length("word") - F.length("term")) <= most)
+    shared = met.groupBy("word", "term", "df", "n_word", "n_term").agg(F.count("*").alias("both"))
+    return shared.select("word", "term", "df", strings.jaccard(F.col("n_word"), F.col("n_term"), F.col("both")).alias("jaccard"))
+
+
+def candidates(words: DataFrame, vocab: DataFrame, *, k: int = 2, least: float = JACCARD, most: int = DISTANCE) -> DataFrame:
+    """word, term, jaccard, distance, score for each word's corrections."""
+    scored = overlaps(words, vocab, k=k, most=most).where(F.col("jaccard") >= least)
     found = scored.withColumn("distance", strings.indel_distance(F.col("word"), F.col("term"))).where(F.col("distance") <= most)
     return found.select("word", "term", "jaccard", "distance", (F.col("jaccard") / (F.col("distance") + 1) * (1 + F.ln(F.col("df") + 1))).alias("score"))
 

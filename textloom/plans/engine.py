@@ -34,16 +34,20 @@ class Normalization(Enum):
 class SearchEngine:
     """Searches an index for batches of queries.
 
-    pagerank: (doc_id, pr) for PAGERANK and COMBINATION. links: (src, dst) between
-    document ids for HITS."""
+    pagerank: (doc_id, pr) for PAGERANK and COMBINATION. links: (src, dst) for HITS,
+    between document ids, or between nodes of titles (node, title) if these are given."""
 
-    def __init__(self, index: Index, *, pagerank: DataFrame | None = None, links: DataFrame | None = None):
-        self.index, self.pagerank, self.links = index, pagerank, links
+    def __init__(self, index: Index, *, pagerank: DataFrame | None = None, links: DataFrame | None = None, titles: DataFrame | None = None):
+        self.index, self.pagerank, self.links, self.titles = index, pagerank, links, titles
         self.spark: SparkSession = index.docs.sparkSession
 
     def _tokens(self) -> DataFrame:
         return self.index.postings.select("doc_id", F.explode("offsets").alias("pos"), "term")
 
+    def _grams(self) -> DataFrame | None:
+        """The saved k-gram index, if it is of the two characters that wildcards ask for."""
+        return self.index.kgrams if self.index.k == 2 else None
+
     def search(self, queries: list[str] | DataFrame, kind: QueryType = QueryType.RANKED, ranking: Ranking = Ranking.TF_IDF, normalization: Normalization = Normalization.WORDS) -> DataFrame:
         """query_id, doc_id, and score (ranked, union) or offsets (phrase, union).
 
@@ -51,10 +55,10 @@ class SearchEngine:
         q = search.parse_queries(self.spark, queries) if isinstance(queries, list) else queries
         x = self.index
         if kind is QueryType.INTERSECTION:
-            return search.wildcard_intersection(q, x.postings, x.vocab)
+            return search.wildcard_intersection(q, x.postings, x.vocab, self._grams())
         if kind is QueryType.PHRASE:
-            return search.wildcard_phrase(q, self._tokens(), x.vocab)
-        wide = written(search.expand_wildcards(q, x.vocab), "terms")
+            return search.wildcard_phrase(q, self._tokens(), x.vocab, self._grams())
+        wide = written(search.expand_wildcards(q, x.vocab, self._grams()), "terms")
         if kind is QueryType.UNION:
             return search.union(wide, x.postings)
         tf = x.postings.select("term", "doc_id", "tf")
@@ -71,14 +75,19 @@ class SearchEngine:
         return df
 
     def _hits(self, q: DataFrame, tf: DataFrame) -> DataFrame:
-        """Each query has a root set, and so a graph, of its own; a batch is a loop over its few queries."""
-        links, out = self._given(self.links, "links"), None
-        for row in q.select("query_id").distinct().orderBy("query_id").collect():
-            root = search.matching(q.where(F.col("query_id") == row.query_id), tf).select(F.col("doc_id").alias("node")).distinct()
-            titled = self.index.docs.select(F.col("doc_id").alias("node"))
-            part = graph.hits_ranking(links, root, titled).select(F.lit(row.query_id).alias("query_id"), F.col("node").alias("doc_id"), "score")
-            out = part if out is None else out.unionByName(part)
-        return out if out is not None else self.spark.createDataFrame([], "query_id int, doc_id long, score double")
+        """Each query has a root set, and so a graph, of its own; all are iterated at once.
+
+        With titles, documents are nodes by their file names (see `graph.document_nodes`);
+        without, nodes are document ids. Nodes that are no documents fall out at the end."""
+        links, found = self._given(self.links, "links"), search.matching(q, tf).select("query_id", "doc_id").distinct()
+        if self.titles is None:
+            known = self.index.docs.select("doc_id", F.col("doc_id").alias("node"))
+            titled = known.select("node")
+        else:
+            known, titled = written(graph.document_nodes(self.index.docs, self.titles), "nodes"), self.titles.select("node")
+        root = found.join(known, "doc_id").select("query_id", "node")
+        scores = graph.hits_ranking(links, root, titled, by=("query_id",))
+        return scores.join(known, "node").select("query_id", "doc_id", "score")
 
     def feedback(self, queries: list[str] | DataFrame, relevant: DataFrame) -> DataFrame:
         """Query terms with Rocchio weights from (query_id, doc_id) marked relevant; search() takes them."""

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import strings, text
 from ..operators import graph, index, search, spelling
-from ..session import written
+from ..plans.engine import QueryType, SearchEngine
+from ..session import scratch, written
+from ..sources import files
+from ..streaming import ingest
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -16,8 +19,8 @@ BOOLEAN = ["of the", "the and der", "la de", "the the thing", "nosuchword", "the
 RANKED = ["the thing", "der und", "ciónes la", "of of nosuchword"]
 WILD = ["then*", "*ation", "th*er", "*", "a%*"]
 WILD_PAIRS = ["the th*n", "de* la", "*tion of"]
-#: Rounds of registered iterations, so that both engines stop at the same place.
-ROUNDS, STEPS = 15, 15
+#: Steps beyond which no walk goes; of a million walks none is expected to reach it.
+STEPS = 200
 _WORDS = r"[\p{L}0-9]+"
 
 
@@ -131,7 +134,7 @@ def euclid_len(spark, d):
     return index.euclidean_lengths(counted, index.vocabulary(counted), index.n_docs(_docs(spark, d))).select("doc_id", F.round("euclid_len", 6).alias("euclid_len"))
 
 
-@query("posting_codec", f"WITH {_TOK}, p AS (SELECT term, doc_id, doc_id || ':' || string_agg(pos::VARCHAR, ',' ORDER BY pos) AS item FROM tok GROUP BY term, doc_id) SELECT term, string_agg(item, '-' ORDER BY doc_id) AS line FROM p GROUP BY ALL")
+@query("posting_codec", f"WITH {_TOK}, p AS (SELECT term, doc_id, doc_id || ':' || string_agg(pos::VARCHAR, ',' ORDER BY pos) AS item FROM tok GROUP BY term, doc_id) SELECT term, doc_id // {index.LINE_SPAN} AS part, string_agg(item, '-' ORDER BY doc_id) AS line FROM p GROUP BY ALL")
 def posting_codec(spark, d):
     lines = index.encode_postings(index.postings(_toks(spark, d)))
     return index.encode_postings(index.decode_postings(lines))
@@ -188,7 +191,7 @@ def q_phrase_offsets(spark, d):
 
 # k-grams and wildcards
 
-_GRAM = "g AS (SELECT DISTINCT term, substr('^' || term || '$', i, 2) AS kgram FROM (SELECT term, unnest(range(1, length(term) + 2)) AS i FROM v))"
+_GRAM = "g AS MATERIALIZED (SELECT DISTINCT term, substr('^' || term || '$', i, 2) AS kgram FROM (SELECT term, unnest(range(1, length(term) + 2)) AS i FROM v))"
 _V = _TOK + ", v AS (SELECT term, count(DISTINCT doc_id) AS df FROM tok GROUP BY ALL)"
 
 
@@ -306,7 +309,7 @@ def q_wild_ranked(spark, d):
 def rocchio(spark, d):
     q, counted = _batch(spark, RANKED), written(index.counts(_toks(spark, d)), "counts")
     labels = spark.read.parquet(f"{d}/labels.parquet").where("quality = 1")
-    relevant = labels.select((F.col("doc_id") % 50).cast("int").alias("query_id"), "doc_id").join(F.broadcast(q.select("query_id").distinct()), "query_id", "left_semi")
+    relevant = labels.select((F.col("doc_id") % 50).cast("int").alias("query_id"), "doc_id").join(search.small(q.select("query_id").distinct()), "query_id", "left_semi")
     found = search.rocchio(q, relevant, counted, index.vocabulary(counted), index.n_docs(_docs(spark, d)))
     return found.withColumns({"weight": F.round("weight", 6), "idx": F.coalesce("idx", F.lit(-1))})
 
@@ -315,36 +318,38 @@ def rocchio(spark, d):
 
 WRONG = ["thingg ofr the", "teh und", "ationx", "qqqqzzzz the"]
 _SPELL = (
-    _V
-    + f""", {_values(WRONG)}, u AS (SELECT DISTINCT term AS word FROM q WHERE term NOT IN (SELECT term FROM v)), {_GRAM}, gn AS (SELECT term, count(*) AS n FROM g GROUP BY ALL),
-    w AS (SELECT DISTINCT word, substr('^' || word || '$', i, 2) AS kgram FROM (SELECT word, unnest(range(1, length(word) + 2)) AS i FROM u)), wn AS (SELECT word, count(*) AS n FROM w GROUP BY ALL),
-    j AS (SELECT word, term, count(*)::DOUBLE / (any_value(wn.n) + any_value(gn.n) - count(*)) AS jaccard FROM w JOIN g USING (kgram) JOIN wn USING (word) JOIN gn USING (term) GROUP BY ALL),
-    jd AS (SELECT *, CASE WHEN word = term THEN 0 WHEN levenshtein(word, term) = 1 AND abs(length(word) - length(term)) = 1 THEN 1 WHEN levenshtein(word, term) = 1 THEN 2 WHEN levenshtein(word, term) = 2 AND abs(length(word) - length(term)) = 2 THEN 2
+    _V.replace("v AS (", "v AS MATERIALIZED (")
+    + f""", {_values(WRONG)}, u AS MATERIALIZED (SELECT DISTINCT term AS word FROM q WHERE term NOT IN (SELECT term FROM v)), {_GRAM}, gn AS MATERIALIZED (SELECT term, count(*) AS n FROM g GROUP BY ALL),
+    w AS MATERIALIZED (SELECT DISTINCT word, substr('^' || word || '$', i, 2) AS kgram FROM (SELECT word, unnest(range(1, length(word) + 2)) AS i FROM u)), wn AS (SELECT word, count(*) AS n FROM w GROUP BY ALL),
+    j AS MATERIALIZED (SELECT word, term, count(*)::DOUBLE / (any_value(wn.n) + any_value(gn.n) - count(*)) AS jaccard FROM w JOIN g USING (kgram) JOIN wn USING (word) JOIN gn USING (term) GROUP BY ALL),
+    jd AS MATERIALIZED (SELECT *, CASE WHEN word = term THEN 0 WHEN levenshtein(word, term) = 1 AND abs(length(word) - length(term)) = 1 THEN 1 WHEN levenshtein(word, term) = 1 THEN 2 WHEN levenshtein(word, term) = 2 AND abs(length(word) - length(term)) = 2 THEN 2
       WHEN levenshtein(word, term) = 2 AND length(word) = length(term) AND len(list_intersect([substr(word, 1, i - 1) || substr(word, i + 1) for i in range(1, length(word) + 1)], [substr(term, 1, i - 1) || substr(term, i + 1) for i in range(1, length(term) + 1)])) > 0 THEN 2 END AS distance FROM j WHERE jaccard >= 0.4),
-    cand AS (SELECT word, term, jaccard, distance, jaccard / (distance + 1) * (1 + ln(df + 1)) AS score FROM jd JOIN v USING (term) WHERE distance <= 2)"""
+    cand AS MATERIALIZED (SELECT word, term, jaccard, distance, jaccard / (distance + 1) * (1 + ln(df + 1)) AS score FROM jd JOIN v USING (term) WHERE distance <= 2)"""
 )
 
 
-@query("spell_jaccard", f"WITH {_SPELL} SELECT word, term, round(jaccard, 6) AS jaccard FROM cand")
+@query("spell_jaccard", f"WITH {_SPELL} SELECT word, term, round(jaccard, 6) AS jaccard FROM j")
 def spell_jaccard(spark, d):
+    """Overlap of every unknown word with every term that shares a k-gram, before any filter."""
     vocab = written(_vocab(spark, d), "vocab")
     unknown = _batch(spark, WRONG).join(vocab, "term", "left_anti").select(F.col("term").alias("word"))
-    return spelling.candidates(unknown, vocab).select("word", "term", F.round("jaccard", 6).alias("jaccard"))
+    return spelling.overlaps(unknown, vocab, most=None).select("word", "term", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query(
-    "spell_edit",
-    """WITH p AS (SELECT a.p_partkey, w.w AS a, regexp_replace(w.w, '[aeiou]', '') AS b, replace(w.w, 'e', 'a') AS c FROM part a, (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part) w WHERE a.p_partkey = w.p_partkey)
-    SELECT a, b, c, count(*) AS n, min(CASE WHEN a = b THEN 0 WHEN abs(length(a) - length(b)) = 1 AND levenshtein(a, b) = 1 THEN 1 END) AS ab,
-    min(CASE length(a) - length(replace(a, 'e', '')) WHEN 0 THEN 0 WHEN 1 THEN 2 END) AS ac FROM p GROUP BY ALL""",
-)
+_WORD_PAIRS = "wd AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS w FROM part), two AS (SELECT a.w AS a, b.w AS b FROM wd a, wd b UNION SELECT w, substr(w, 2) FROM wd UNION SELECT w, substr(w, 3) FROM wd UNION SELECT w, 'x' || substr(w, 2) FROM wd UNION SELECT w, 'xy' || substr(w, 3) FROM wd UNION SELECT w, substr(w, 2) || 'z' FROM wd UNION SELECT w, reverse(w) FROM wd)"
+#: The longest common subsequence by a row of the table for each character of a, built from list folds.
+_LCS = "list_reduce(list_prepend([0 for x in range(length(b) + 1)], [[i] for i in range(1, length(a) + 1)]), lambda row, i: list_reduce(list_prepend([0], [[j] for j in range(1, length(b) + 1)]), lambda acc, j: list_append(acc, CASE WHEN substr(a, i[1]::INT, 1) = substr(b, j[1]::INT, 1) THEN row[j[1]] + 1 ELSE greatest(row[j[1] + 1], acc[j[1]]) END)))"
+
+
+@query("spell_edit", f"WITH {_WORD_PAIRS}, x AS (SELECT a, b, (length(a) + length(b) - 2 * {_LCS}[-1])::INT AS distance FROM two) SELECT a, b, CASE WHEN distance <= 2 THEN distance END AS distance FROM x")
 def spell_edit(spark, d):
-    w = spark.read.parquet(f"{d}/part.parquet").select(F.explode(F.split(F.lower("p_name"), " ")).alias("a"))
-    p = w.select("a", F.expr("regexp_replace(a, '[aeiou]', '', 1)").alias("all_gone"), F.translate("a", "e", "a").alias("c"))
-    first = F.regexp_extract("a", "^([^aeiou]*)[aeiou]", 1)
-    p = p.withColumn("b", F.when(F.col("a").rlike("[aeiou]"), F.concat(first, F.expr("substring(a, length(regexp_extract(a, '^([^aeiou]*)[aeiou]', 1)) + 2)"))).otherwise(F.col("a")))
-    p = p.groupBy("a", "b", "c").agg(F.count("*").alias("n"))
-    return p.select("a", "b", "c", "n", strings.indel_distance(F.col("a"), F.col("b")).alias("ab"), strings.indel_distance(F.col("a"), F.col("c")).alias("ac"))
+    """The distance of all pairs of words of part names, and of words and their near variants, against a table of common subsequences."""
+    words = spark.read.parquet(f"{d}/part.parquet").select(F.explode(F.split(F.lower("p_name"), " ")).alias("a")).distinct()
+    rest = lambda k: F.substring(F.col("a"), F.lit(k), F.length("a"))
+    variants = F.array(rest(2), rest(3), F.concat(F.lit("x"), rest(2)), F.concat(F.lit("xy"), rest(3)), F.concat(rest(2), F.lit("z")), F.reverse("a"))
+    # part names have a fixed list of some dozens of words
+    pairs = words.join(search.small(words.withColumnRenamed("a", "b")), F.lit(True)).unionByName(words.select("a", F.explode(variants).alias("b"))).distinct()
+    return pairs.select("a", "b", strings.indel_distance(F.col("a"), F.col("b")).alias("distance"))
 
 
 @query("spell_candidates", f"WITH {_SPELL} SELECT word, term, distance, round(score, 6) AS score FROM cand")
@@ -409,19 +414,25 @@ def _doc_links(spark, d):
 _DOC_LINKS = "n AS (SELECT count(*) AS n FROM documents), lk AS (SELECT doc_id AS src, (doc_id * (2 * j + 1) + j * j + 1) % n AS dst FROM documents, n, (VALUES (1), (2), (3)) t(j) WHERE doc_id % 5 <> 0)"
 
 
-def _pagerank_sql(nodes: str, rounds: int = ROUNDS) -> str:
-    parts = [f"nd AS MATERIALIZED ({nodes})", "nn AS (SELECT count(*) AS c FROM nd)", "ed AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS w FROM (SELECT DISTINCT src, dst FROM lk))", "p0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / c AS pr FROM nd, nn)"]
-    for i in range(1, rounds + 1):
-        parts.append(f"p{i} AS MATERIALIZED (SELECT node, 0.15::DOUBLE / c + 0.85::DOUBLE * coalesce(lost, 0) / c + 0.85::DOUBLE * coalesce(f, 0) AS pr FROM nd LEFT JOIN (SELECT dst AS node, sum(pr * w) AS f FROM ed JOIN p{i - 1} ON src = node GROUP BY ALL) USING (node), nn, (SELECT sum(pr) AS lost FROM p{i - 1} WHERE node NOT IN (SELECT src FROM ed)))")
-    return ", ".join(parts)
+def _pagerank_sql(nodes: str) -> str:
+    """pk(node, pr): a recursion that stops when no score changes by 1e-7."""
+    return f"""nd AS MATERIALIZED ({nodes}), nn AS (SELECT count(*) AS c FROM nd), ed AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS w FROM (SELECT DISTINCT src, dst FROM lk)),
+    pr(i, node, pr, was) AS (SELECT 0, node, 1.0::DOUBLE / c, 2.0::DOUBLE FROM nd, nn UNION ALL
+      SELECT p.i + 1, p.node, 0.15::DOUBLE / c + 0.85::DOUBLE * coalesce(lost, 0) / c + 0.85::DOUBLE * coalesce(f, 0), p.pr
+      FROM pr p LEFT JOIN (SELECT dst AS node, sum(pr * w) AS f FROM ed JOIN pr ON src = node GROUP BY ALL) x ON x.node = p.node, nn, (SELECT sum(pr) AS lost FROM pr WHERE node NOT IN (SELECT src FROM ed)), (SELECT max(abs(pr - was)) AS change FROM pr)
+      WHERE change >= 1e-7 AND p.i < 1000),
+    pk AS MATERIALIZED (SELECT node, pr FROM pr WHERE i = (SELECT max(i) FROM pr))"""
 
 
-@query("pagerank", f"WITH {_TRADE}, {_pagerank_sql('SELECT src AS node FROM lk UNION SELECT dst FROM lk')} SELECT node, round(pr, 9) AS pr FROM p{ROUNDS}")
+_TRADE_RANKS = f"{_TRADE}, {_pagerank_sql('SELECT src AS node FROM lk UNION SELECT dst FROM lk')}"
+
+
+@query("pagerank", f"WITH RECURSIVE {_TRADE_RANKS} SELECT node, round(pr, 9) AS pr FROM pk")
 def pagerank(spark, d):
-    return graph.pagerank(_trade_links(spark, d), tolerance=0, rounds=ROUNDS).select("node", F.round("pr", 9).alias("pr"))
+    return graph.pagerank(_trade_links(spark, d)).select("node", F.round("pr", 9).alias("pr"))
 
 
-@query("pagerank_topk", f"WITH {_TRADE}, {_pagerank_sql('SELECT src AS node FROM lk UNION SELECT dst FROM lk')} SELECT row_number() OVER (ORDER BY round(pr, 9) DESC, node) AS rank, node, round(pr, 6) AS pr FROM p{ROUNDS} ORDER BY 1 LIMIT 30")
+@query("pagerank_topk", f"WITH RECURSIVE {_TRADE_RANKS} SELECT row_number() OVER (ORDER BY round(pr, 9) DESC, node) AS rank, node, round(pr, 6) AS pr FROM pk ORDER BY 1 LIMIT 30")
 def pagerank_topk(spark, d):
     from pyspark.sql import Window
 
@@ -501,8 +512,216 @@ _mc("mc_path_cyclic", "cyclic", "complete")
 _mc("mc_path_random", "random", "complete")
 
 
-@query("mc_ssd", f"WITH RECURSIVE {_walk_sql('cyclic', 'complete')}, {_pagerank_sql('SELECT doc_id AS node FROM documents')}, best AS (SELECT node, pr FROM p{ROUNDS} ORDER BY round(pr, 12) DESC, node LIMIT 30) SELECT round(sum((best.pr - mc.pr) ** 2), 10) AS ssd FROM best JOIN mc USING (node)")
+@query("mc_ssd", f"WITH RECURSIVE {_walk_sql('cyclic', 'complete')}, {_pagerank_sql('SELECT doc_id AS node FROM documents')}, best AS (SELECT node, pr FROM pk ORDER BY round(pr, 12) DESC, node LIMIT 30) SELECT round(sum((best.pr - mc.pr) ** 2), 10) AS ssd FROM best JOIN mc USING (node)")
 def mc_ssd(spark, d):
     nodes = _docs(spark, d).select(F.col("doc_id").alias("node"))
-    exact = graph.pagerank(_doc_links(spark, d), nodes, tolerance=0, rounds=ROUNDS).withColumn("pr", F.round("pr", 12))
+    exact = graph.pagerank(_doc_links(spark, d), nodes).withColumn("pr", F.round("pr", 12))
     return graph.goodness(exact, _walks(spark, d, "cyclic", "complete")).select(F.round("ssd", 10).alias("ssd"))
+
+
+@query(
+    "hits_trade",
+    f"""WITH RECURSIVE {_TRADE}, bs AS MATERIALIZED (SELECT src AS node FROM lk UNION SELECT dst FROM lk),
+    h(i, node, hub, auth, was_hub, was_auth) AS (SELECT 0, node, 1.0::DOUBLE, 1.0::DOUBLE, 9.0::DOUBLE, 9.0::DOUBLE FROM bs UNION ALL
+      SELECT i + 1, node, nh / CASE WHEN hn = 0 THEN 1 ELSE hn END, na / CASE WHEN an = 0 THEN 1 ELSE an END, hub, auth FROM (
+        SELECT *, sqrt(sum(nh * nh) OVER ()) AS hn, sqrt(sum(na * na) OVER ()) AS an FROM (
+          SELECT h.i, h.node, h.hub, h.auth, coalesce(x.a, 0) AS na, coalesce(y.b, 0) AS nh FROM h LEFT JOIN (SELECT dst AS node, sum(hub) AS a FROM lk JOIN h ON src = node GROUP BY ALL) x ON x.node = h.node LEFT JOIN (SELECT src AS node, sum(auth) AS b FROM lk JOIN h ON dst = node GROUP BY ALL) y ON y.node = h.node))
+      , (SELECT max(greatest(abs(hub - was_hub), abs(auth - was_auth))) AS change FROM h) WHERE change > 1e-6 AND i < 1000)
+    SELECT node, round(hub, 6) AS hub, round(auth, 6) AS auth FROM h WHERE i = (SELECT max(i) FROM h)""",
+)
+def hits_trade(spark, d):
+    """HITS until no score changes by more than 1e-6."""
+    return graph.hits(_trade_links(spark, d)).select("node", F.round("hub", 6).alias("hub"), F.round("auth", 6).alias("auth"))
+
+
+_ROOTS = f"""root AS (SELECT DISTINCT query_id, doc_id AS node FROM q JOIN (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{_WORDS}')) AS term FROM documents) USING (term)),
+    bs AS MATERIALIZED (SELECT query_id, node FROM root UNION SELECT query_id, dst FROM lk JOIN root ON src = node UNION SELECT query_id, src FROM lk JOIN root ON dst = node)"""
+HITS_QUERIES = ["thing", "ciónes", "nosuchword"]
+
+
+def _batch_hits_sql(rounds: int) -> str:
+    parts = ["ed AS MATERIALIZED (SELECT a.query_id, src, dst, count(*)::DOUBLE AS m FROM lk JOIN bs a ON a.node = src JOIN bs b ON b.node = dst AND a.query_id = b.query_id GROUP BY ALL)", "h0 AS MATERIALIZED (SELECT query_id, node, 1.0::DOUBLE AS hub, 1.0::DOUBLE AS auth FROM bs)"]
+    for i in range(1, rounds + 1):
+        parts.append(f"r{i} AS MATERIALIZED (SELECT query_id, node, coalesce(h, 0) AS hub, coalesce(a, 0) AS auth FROM bs LEFT JOIN (SELECT ed.query_id, dst AS node, sum(m * hub) AS a FROM ed JOIN h{i - 1} x ON src = node AND x.query_id = ed.query_id GROUP BY ALL) USING (query_id, node) LEFT JOIN (SELECT ed.query_id, src AS node, sum(m * auth) AS h FROM ed JOIN h{i - 1} x ON dst = node AND x.query_id = ed.query_id GROUP BY ALL) USING (query_id, node))")
+        parts.append(f"h{i} AS MATERIALIZED (SELECT query_id, node, hub / coalesce(nullif(sqrt(sum(hub * hub) OVER w), 0), 1) AS hub, auth / coalesce(nullif(sqrt(sum(auth * auth) OVER w), 0), 1) AS auth FROM r{i} WINDOW w AS (PARTITION BY query_id))")
+    return ", ".join(parts)
+
+
+@query("ranked_hits_batch", f"WITH {_DOC_LINKS}, {_values(HITS_QUERIES)}, {_ROOTS}, {_batch_hits_sql(4)} SELECT query_id, node AS doc_id, round(0.5 * hub + 0.5 * auth, 6) AS score FROM h4")
+def ranked_hits_batch(spark, d):
+    """Several queries' graphs, iterated at once and scaled each by itself."""
+    q = _batch(spark, HITS_QUERIES)
+    root = search.matching(q, _tf(spark, d, q)).select("query_id", F.col("doc_id").alias("node"))
+    return graph.hits_ranking(_doc_links(spark, d), root, by=("query_id",), tolerance=0, rounds=4).select("query_id", F.col("node").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query("document_nodes", "SELECT doc_id, n_nationkey AS node FROM documents JOIN nation ON doc_id % 40 = n_nationkey")
+def document_nodes(spark, d):
+    """Documents are nodes by their file names without folders, of either kind of slash."""
+    nation = spark.read.parquet(f"{d}/nation.parquet")
+    slash = F.when(F.col("doc_id") % 2 == 0, F.lit("/")).otherwise(F.lit("\\"))
+    docs = _docs(spark, d).join(nation, F.col("doc_id") % 40 == F.col("n_nationkey"), "left").select("doc_id", F.concat(F.lit("corpus"), slash, F.lit("a b"), slash, F.coalesce("n_name", F.lit("untitled"))).alias("name"))
+    return graph.document_nodes(docs, nation.select(F.col("n_nationkey").alias("node"), F.col("n_name").alias("title")))
+
+
+# readers and writers: what is written and read again
+
+
+def _link_lines(spark, d) -> str:
+    path = scratch(spark, "links")
+    lines = _doc_links(spark, d).groupBy("src").agg(F.concat_ws(";", F.col("src").cast("string"), F.array_join(F.collect_list(F.col("dst").cast("string")), ",")).alias("value"))
+    files.write_lines(lines.select("value").unionByName(spark.createDataFrame([("no line",), ("7x;1,2",), ("",)], "value string")), F.col("value"), path)
+    return path
+
+
+@query("link_file_names", f"WITH {_DOC_LINKS} SELECT DISTINCT src::VARCHAR AS src, dst::VARCHAR AS dst FROM lk UNION ALL VALUES ('7x', '1'), ('7x', '2')")
+def link_file_names(spark, d):
+    return files.links_by_name(spark, _link_lines(spark, d))
+
+
+@query("link_file_numbers", f"WITH {_DOC_LINKS} SELECT src, dst, count(*) AS n FROM lk GROUP BY ALL")
+def link_file_numbers(spark, d):
+    return files.links_by_number(spark, _link_lines(spark, d)).groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+@query("titles_file", "SELECT n_nationkey::BIGINT AS node, n_name || ';' || n_regionkey AS title, n_name AS short FROM nation")
+def titles_file(spark, d):
+    path = scratch(spark, "titles")
+    files.write_lines(spark.read.parquet(f"{d}/nation.parquet"), F.concat_ws(";", F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string")), path)
+    return files.titles(spark, path).join(files.titles(spark, path, whole=False).withColumnRenamed("title", "short"), "node").select("node", "title", "short")
+
+
+@query("titled_scores", "SELECT n_nationkey AS node, n_nationkey / 100.0::DOUBLE AS pr, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey::VARCHAR ELSE n_name END AS name FROM nation")
+def titled_scores(spark, d):
+    nation = spark.read.parquet(f"{d}/nation.parquet")
+    scores = nation.select(F.col("n_nationkey").alias("node"), (F.col("n_nationkey") / F.lit(100.0)).alias("pr"))
+    return graph.with_titles(scores, nation.where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("node"), F.col("n_name").alias("title")))
+
+
+def _named(spark, d):
+    return _docs(spark, d).withColumn("name", F.concat(F.lit("/corpus/d"), F.col("doc_id").cast("string"), F.lit(".txt")))
+
+
+@query("score_file", f"WITH {_PR} SELECT doc_id, round(pr, 6) AS pr FROM pr")
+def score_file(spark, d):
+    path, docs = scratch(spark, "scores"), _named(spark, d)
+    files.write_pagerank(_given_pr(spark, d).join(docs.select("doc_id", "name"), "doc_id").select("name", "pr"), path)
+    return files.pagerank_scores(spark, path, docs).select("doc_id", F.round("pr", 6).alias("pr"))
+
+
+@query("doc_info_file", f"WITH {_LEN} SELECT doc_id, '/corpus/d' || doc_id || ';x.txt' AS name, n_tokens FROM len_")
+def doc_info_file(spark, d):
+    path = scratch(spark, "info")
+    files.write_doc_info(index.doc_lengths(_docs(spark, d)).withColumn("name", F.concat(F.lit("/corpus/d"), F.col("doc_id").cast("string"), F.lit(";x.txt"))), path)
+    return files.doc_info(spark, path)
+
+
+@query("lengths_file", f"WITH {_DF}, {_EUC} SELECT doc_id, round(euclid_len, 6) AS euclid_len FROM euc")
+def lengths_file(spark, d):
+    path = scratch(spark, "lengths")
+    counted = index.counts(_toks(spark, d))
+    files.write_lengths(index.euclidean_lengths(counted, index.vocabulary(counted), index.n_docs(_docs(spark, d))), path)
+    return files.lengths(spark, path).select("doc_id", F.round("euclid_len", 6).alias("euclid_len"))
+
+
+@query("posting_file", f"WITH {_TOK}, p AS (SELECT term, doc_id, doc_id || ':' || string_agg(pos::VARCHAR, ',' ORDER BY pos) AS item FROM tok GROUP BY term, doc_id) SELECT term || '<' || string_agg(item, '-' ORDER BY doc_id) AS value FROM p GROUP BY term, doc_id // {index.LINE_SPAN}")
+def posting_file(spark, d):
+    path = scratch(spark, "lines")
+    files.write_postings(index.encode_postings(index.postings(_toks(spark, d))), path)
+    return spark.read.text(path)
+
+
+@query("view_document", "SELECT doc_id, length(text) AS n FROM documents WHERE doc_id = 17")
+def view_document(spark, d):
+    return files.view_document(_named(spark, d), "/corpus/d17.txt").select(F.lit(17).cast("long").alias("doc_id"), F.length("text").cast("long").alias("n"))
+
+
+@query("score_lines", f"WITH {_PR} SELECT rank, line FROM (SELECT row_number() OVER (ORDER BY pr DESC, doc_id) AS rank, printf('%d: %.7f', doc_id, pr) AS line FROM pr) WHERE rank <= 30")
+def score_lines(spark, d):
+    return files.top_lines(_given_pr(spark, d).withColumnRenamed("doc_id", "node"), "pr", fmt="%d: %.7f")
+
+
+# the saved index, and what reads it
+
+
+def _saved(spark, d, **how) -> index.Index:
+    path = scratch(spark, "index")
+    index.Index.build(_named(spark, d), **how).save(path)
+    return index.Index.load(spark, path)
+
+
+@query("index_lookup", f"WITH {_TOK} SELECT doc_id, count(*) AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS offsets FROM tok WHERE term = 'thing' GROUP BY ALL")
+def index_lookup(spark, d):
+    return _saved(spark, d, patterns=None).lookup("thing").select("doc_id", "tf", F.array_join(F.transform("offsets", lambda x: x.cast("string")), ",").alias("offsets"))
+
+
+@query("index_stats", f"WITH {_DF}, {_LEN}, {_EUC} SELECT doc_id, n_tokens, round(euclid_len, 6) AS euclid_len FROM len_ LEFT JOIN euc USING (doc_id)")
+def index_stats(spark, d):
+    return _saved(spark, d, patterns=None).doc_stats.select("doc_id", "n_tokens", F.round("euclid_len", 6).alias("euclid_len"))
+
+
+@query("index_kgrams", f"WITH {_V}, g AS (SELECT DISTINCT term, substr('^' || term || '$', i, 3) AS kgram FROM (SELECT term, unnest(range(1, length(term) + 1)) AS i FROM v)) SELECT kgram, count(*) AS n FROM g GROUP BY ALL")
+def index_kgrams(spark, d):
+    return _saved(spark, d, patterns=None, k=3).kgrams.groupBy("kgram").agg(F.count("*").alias("n"))
+
+
+@query(
+    "index_profile",
+    rf"""WITH RECURSIVE a AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}!-~]+')) AS chunk FROM documents), c AS (SELECT DISTINCT chunk FROM a),
+    s(chunk, rest, toks) AS (SELECT chunk, chunk, []::VARCHAR[] FROM c UNION ALL
+      SELECT chunk, substr(rest, CASE WHEN m = '' THEN length(rest) + 1 ELSE instr(rest, m) + length(m) END),
+        toks || regexp_extract_all(CASE WHEN m = '' THEN rest ELSE substr(rest, 1, instr(rest, m) - 1) END, '{_WORDS}') || CASE WHEN m = '' THEN []::VARCHAR[] ELSE [m] END
+      FROM (SELECT *, {_MATCH} AS m FROM s WHERE rest <> ''))
+    SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(toks) AS term FROM a JOIN s USING (chunk) WHERE rest = '') GROUP BY ALL""",
+)
+def index_profile(spark, d):
+    """The vocabulary of an index as it is built by default: non-standard words are terms."""
+    return _saved(spark, d).vocab
+
+
+@query("index_and", f"WITH {_TOK}, {_values(BOOLEAN)}, need AS (SELECT query_id, count(DISTINCT idx) AS need FROM q GROUP BY ALL) SELECT query_id, doc_id FROM q JOIN tok USING (term) JOIN need USING (query_id) GROUP BY query_id, doc_id, need HAVING count(DISTINCT idx) = need")
+def index_and(spark, d):
+    """The same AND queries through the façade over a saved index."""
+    return SearchEngine(_saved(spark, d, patterns=None)).search(BOOLEAN, QueryType.INTERSECTION)
+
+
+@query("ingest_segments", f"WITH {_TOK} SELECT term, doc_id, count(*) AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS offsets FROM tok GROUP BY ALL")
+def ingest_segments(spark, d):
+    """Streamed into segments, merged and published."""
+    root = scratch(spark, "ingest")
+    _docs(spark, d).repartition(3).write.parquet(f"{root}/arrived")  # a stream reads folders
+    ingest.ingest(spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{root}/arrived"), f"{root}/segments", f"{root}/state").awaitTermination()
+    ingest.publish(spark, f"{root}/segments", f"{root}/index")
+    return spark.read.parquet(f"{root}/index").select("term", "doc_id", "tf", F.array_join(F.transform("offsets", lambda x: x.cast("string")), ",").alias("offsets"))
+
+
+# what a user sees
+
+
+@query("query_sizes", "WITH {} SELECT query_id, count(*) AS n_terms, count(*)::DOUBLE AS length FROM q GROUP BY ALL".format(_values(RANKED)))
+def query_sizes(spark, d):
+    return search.query_sizes(_batch(spark, RANKED))
+
+
+@query("result_page", f"WITH {_DF}, {_LEN}, {_values(RANKED)}, {_score_sql('n_tokens', 'len_')} SELECT query_id, rank, printf('%d. %s   %.5f', rank, '/corpus/d' || doc_id || '.txt', score) AS line FROM (SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM hit) WHERE rank > 10 AND rank <= 20")
+def result_page(spark, d):
+    """The second ten results of each query, as lines."""
+    q, docs = _batch(spark, RANKED), _docs(spark, d)
+    scores = search.tfidf(q, _tf(spark, d, q), index.doc_lengths(docs), index.n_docs(docs), "n_tokens").withColumn("score", F.round("score", 9))
+    return files.result_lines(search.top(scores, 10, offset=10).join(_named(spark, d).select("doc_id", "name"), "doc_id"))
+
+
+@query("shown_phrase", "SELECT p_partkey, CASE WHEN length(p_name) > 12 THEN substr(p_name, 1, 12) || '...' ELSE p_name END AS phrase FROM part")
+def shown_phrase(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", spelling.shown(F.col("p_name"), 12).alias("phrase"))
+
+
+@query("mc_average", f"WITH {_PR} SELECT doc_id AS node, round((pr + 3 * pr) / 2, 9) AS pr FROM pr")
+def mc_average(spark, d):
+    one = _given_pr(spark, d).withColumnRenamed("doc_id", "node")
+    return graph.averaged(one, one.withColumn("pr", 3 * F.col("pr"))).select("node", F.round("pr", 9).alias("pr"))
+
+
+@query("sinks", f"WITH {_DOC_LINKS} SELECT doc_id AS node FROM documents WHERE doc_id NOT IN (SELECT src FROM lk)")
+def sinks(spark, d):
+    return graph.sinks(_doc_links(spark, d), _docs(spark, d).select(F.col("doc_id").alias("node")))
