@@ -44,7 +44,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class ChunkedBpe:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, lookahead: int = LOOKAHEAD_CHARS, cached: int = 500_000, cached_chars: int = 40):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, lookahead: int = LOOKAHEAD_CHARS, cached: int = 300_000, cached_chars: int = 40):
         import regex
         import tiktoken
 

@@ -64,7 +64,7 @@ class WordTokenizer:
     has, and the pairs with it have the lowest ranks, so they merge first. Texts
     with rarer characters go to the tokenizers library whole."""
 
-    def __init__(self, path: str, cached: int = 1_000_000, cached_bytes: int = 40):
+    def __init__(self, path: str, cached: int = 300_000, cached_bytes: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         import tiktoken

@@ -30,9 +30,9 @@ import hashlib
 import random
 import re
 import uuid
-import zlib
 from functools import lru_cache
 from operator import ne
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -70,19 +70,15 @@ OUTSIDE, BEGIN, INSIDE = range(3)
 _NEVER = -1e4
 #: Known tokens' numbers and what they add to emissions, by tagger; where Python workers are reused they outlive a task.
 _KNOWN: dict[str, dict] = {}
-_MOST_KNOWN = 400_000
+_MOST_KNOWN = 250_000
 #: Characters that are tagged at once, unless one text has more.
-_PART_CHARS = 1 << 21
+_PART_CHARS = 1 << 19
 
 
 def tokens_of(text: str) -> list[str]:
     return _TOKEN.findall(text)
 
 
-def _number(feature: str) -> int:
-    return 1 + zlib.crc32(feature.encode("utf-8", "replace")) % (_BUCKETS - 1)
-
-
 #: Lower-case letters as a, capitals as A, digits as 0.
 _CLASSES = str.maketrans({chr(c): "a" if chr(c).islower() else "A" if chr(c).isupper() else "0" for c in range(0x250) if chr(c).isalnum()})
 _RUNS = re.compile(r"(.)\1+", re.DOTALL)
@@ -101,24 +97,38 @@ def kind_of(token: str) -> int:
 
 
 _OWN = 11
+#: Feature numbers: 0 is none, then counted features (which, value, kind), then the few named ones, then hashed ones.
+_COUNTED, _NAMED = 64 * 5, 8 * 64 * 5 + 1
+_HASHED = _NAMED + 64
+_SALTS = tuple(0x9E3779B1 * (2 * k + 1) & 0xFFFFFFFF for k in range(7))
+
+
+def _hashed(crc: int, which: int) -> int:
+    return _HASHED + ((crc ^ _SALTS[which]) * 0x85EBCA6B >> 7) % (_BUCKETS - _HASHED)
 
 
 def token_features(token: str) -> tuple[list[int], int]:
-    """Feature numbers: `_OWN` of the token itself, then two each for the next token, the one after and the one before; its kind."""
+    """Feature numbers: `_OWN` of the token itself, then two each for the next token, the one after and the one before; its kind.
+
+    Its own are its kind, length, shares of digits, capitals and vowels, changes of
+    class, variety, first characters, signs, shape and name."""
     n, kind, low = len(token), kind_of(token), token.lower().rstrip("=")
     classes = token.translate(_CLASSES)
-    digits, upper = classes.count("0"), classes.count("A")
     switches = sum(map(ne, classes, classes[1:]))
     vowels = sum(map(low.count, "aeiouy"))
     # whole words of up to 16 characters are known by name, others by their kind and length
-    name = low if kind < 2 and n <= 16 else f"<{kind}{min(n // 8, 4)}>"
+    name = crc32((low if kind < 2 and n <= 16 else f"<{kind}{min(n // 8, 4)}>").encode("utf-8", "replace"))
     shape = _RUNS.sub(r"\1+", classes) if kind > 1 else ""
-    own = (
-        f"k{kind}", f"n{min(n // 4, 12)}k{kind}", f"d{digits * 4 // n}k{kind}", f"u{upper * 4 // n}k{kind}", f"s{min(switches * 8 // n, 8)}k{kind}", f"v{vowels * 6 // n}k{kind}", f"o{len(set(token)) * 8 // min(n, 32)}k{kind}",
-        f"h{token[:4]}", f"p{''.join(sorted({c for c in token if not c.isalnum()})) if kind != 1 else ''}", f"f{shape if len(shape) < 12 else 'long'}", f"w{name}",
-        f"b:{name}", f"b~{kind}", f"bb:{name}", f"bb~{kind}", f"a:{name}", f"a~{kind}",
-    )
-    return [_number(f) for f in own], kind
+    signs = "".join(sorted({c for c in token if not c.isalnum()})) if kind != 1 else ""
+    counted = (1, min(n // 4, 12), classes.count("0") * 4 // n, classes.count("A") * 4 // n, min(switches * 8 // n, 8), vowels * 6 // n, min(len(set(token)) * 8 // min(n, 32), 8))
+    own = [1 + _COUNTED * k + 5 * v + kind for k, v in enumerate(counted)]
+    own += (_hashed(crc32(token[:4].encode("utf-8", "replace")), 0), _hashed(crc32(signs.encode("utf-8", "replace")), 1), _hashed(crc32(shape.encode("utf-8", "replace")) if len(shape) < 12 else 7, 2), _hashed(name, 3))
+    own += (_hashed(name, 4), _NAMED + kind, _hashed(name, 5), _NAMED + 5 + kind, _hashed(name, 6), _NAMED + 10 + kind)
+    return own, kind
+
+
+#: The mark that parts texts, and what it gives to its neighbours.
+_EDGE = (_NAMED + 15, _NAMED + 16, _NAMED + 17, _NAMED + 18)
 
 
 def file_features(text: str) -> tuple[int, int]:
@@ -127,13 +137,13 @@ def file_features(text: str) -> tuple[int, int]:
 
 
 def _of_file(file: tuple[int, int], kind: int) -> list[int]:
-    return [_number(f"code{file[0]}k{kind}"), _number(f"lines{file[1]}k{kind}")]
+    return [1 + _COUNTED * 7 + 5 * file[0] + kind, 1 + _COUNTED * 7 + 5 * (8 + file[1]) + kind]
 
 
 def chain_features(text: str) -> np.ndarray:
     """(1 + tokens, features): a mark before the text, then its tokens."""
     file, o = file_features(text), _OWN
-    edge = ([_number("edge"), *[0] * (o - 1), _number("b^"), 0, _number("bb^"), 0, _number("a^"), 0], 0)
+    edge = ([_EDGE[0], *[0] * (o - 1), _EDGE[1], 0, _EDGE[2], 0, _EDGE[3], 0], 0)
     each = [edge, *map(token_features, tokens_of(text)), edge]
     rows = []
     for i in range(len(each) - 1):
@@ -161,9 +171,9 @@ class SecretTagger:
             if len(_KNOWN) > 2:
                 _KNOWN.clear()
             w = self.crf.w
-            table = np.zeros((1 << 14, 12))
+            table = np.zeros((1 << 14, 12), np.float32)
             # number 0 is the mark that parts texts; it is outside, so that nothing passes through it
-            table[0] = np.concatenate([[0.0, _NEVER, _NEVER], *(w[_number(f)] for f in ("b^", "bb^", "a^"))])
+            table[0] = np.concatenate([[0.0, _NEVER, _NEVER], *w[list(_EDGE[1:])]])
             held = _KNOWN[self.key] = {"number": {}, "table": table, "kind": np.zeros(1 << 14, np.int8), "file": {}}
         return held
 
@@ -195,7 +205,7 @@ class SecretTagger:
             marks[i + 1] = len(flat)
         at = np.array(flat, np.int64)
         rows = held["table"][at]
-        em = rows[:, :3].copy()
+        em = rows[:, :3].astype(float)
         em[1:] += rows[:-1, 3:6]
         em[2:][at[1:-1] != 0] += rows[:-2, 6:9][at[1:-1] != 0]
         em[:-1] += rows[1:, 9:12]

@@ -112,7 +112,7 @@ class Tagger:
 
     def marginals(self, texts: list[list[str]]) -> list[np.ndarray]:
         """P(word is toxic) of each word of each text."""
-        if len(self.index) > 1_000_000:
+        if len(self.index) > 300_000:
             self._fresh()
         numbers = [self.numbers(ws) for ws in texts]
         n = sum(map(len, numbers)) + len(texts)
