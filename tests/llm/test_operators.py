@@ -456,6 +456,26 @@ def test_hash_collisions_are_found(monkeypatch):
     assert [rows[i] for i in order] == sorted(rows) and share.tolist() == [0, 1, 1, 0]
 
 
+def test_members_of_a_class_are_compared(spark, monkeypatch):
+    """With digests that all collide the job stops; slices hold every window of a run once or twice."""
+    rng = random.Random(5)
+    text = "".join(rng.choices("abcdefgh ", k=5000))
+    todo = [{"runs": [{"first": 0, "last": 90}, {"first": 91, "last": 3000}, {"first": 4000, "last": 4001}], "g": 7, "p": 0}]
+    batch = suffixes.pa.RecordBatch.from_pydict({"k": [1], "th": [2], "raw": [text.encode()], "todo": [todo]})
+    (out,) = suffixes._cut(iter([batch]))
+    pieces = [text.encode().find(x) for x in out.column("right").to_pylist()]
+    assert pieces[0] == 0 and all(b - a == suffixes._SLICE - 199 for a, b in zip(pieces[:3], pieces[1:3], strict=False)) and pieces[-1] == 4000
+    windows = {a + i for a, x in zip(pieces, out.column("right").to_pylist(), strict=True) for i in range(len(x) - 199)}
+    assert windows == set(range(3001)) | {4000, 4001}
+    other = suffixes.pa.Table.from_batches([out]).to_pylist()
+    wrong = [r | {"right": r["right"][:-1] + b"#"} if i == 2 else r for i, r in enumerate(other)]
+    same = spark.createDataFrame([tuple(r.values()) for r in other + other], suffixes._CONTEXT)
+    differ = spark.createDataFrame([tuple(r.values()) for r in other + wrong], suffixes._CONTEXT)
+    assert suffixes._compare(same).count() == 0
+    with pytest.raises(Exception, match="contexts with one digest differ"):
+        suffixes._compare(differ).count()
+
+
 def fingerprint(text):
     import xxhash
 

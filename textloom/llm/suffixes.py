@@ -8,31 +8,38 @@ together. Every window has an anchor: of the `GRAM`-byte strings in it the first
 whose hash is least. Equal windows have equal anchors at the same distance, and
 neighbouring windows mostly share theirs, so anchors are some 70 times fewer than
 bytes. Only anchors whose string occurs twice or more are kept. An anchor's
-context is what its windows cover. Contexts that are equal (by a 128-bit BLAKE2b
-digest of their bytes) are a class. Of a class with several members two stand for
-it, of one with a single member that one, and these are compared:
-
-* the window that starts d bytes left of the anchor repeats if another context
-  shares d bytes to the left and LENGTH - d to the right. For d of `_HALF` or more
-  that takes `_HALF` equal bytes on the left, for smaller d LENGTH - `_HALF` + 1 on
-  the right, so contexts meet in two groups, by either string, which decide half of
-  the distances each. A string that is common, in contexts that differ, thus falls
-  apart into small groups;
+context is what its windows cover. Contexts of one string that are equal (by a
+64-bit BLAKE2b digest of their bytes, beside the string's own hash) are a class.
+
+* All windows of a class with several members repeat. That is not left to the
+  digest: of each class two members are compared, with those of neighbouring classes
+  laid together to runs, in slices of `_SLICE` bytes.
+* Where a string has several classes, one context of each is compared with the
+  others. The window that starts d bytes left of the anchor repeats if another
+  context shares d bytes to the left and LENGTH - d to the right. For d of `_HALF`
+  or more that takes `_HALF` equal bytes on the left, for smaller d LENGTH - `_HALF`
+  + 1 on the right, so contexts meet in two groups, by either string, which decide
+  half of the distances each. A string that is common, in contexts that differ, thus
+  falls apart into small groups.
+
+Slices and contexts are compared by the suffix sort:
+
 * right of the anchors and, read backwards, left of them, the contexts are
   suffixes; they are sorted by a merge sort that compares two suffixes by a binary
   search over prefix polynomial hashes for their common extension, in logarithmic
   time, and then one byte;
 * neighbours' extensions are verified byte by byte; should a hash have collided,
-  the block is sorted again by its bytes;
+  the block is sorted again by its bytes. Members of a class whose bytes differ stop
+  the job, rather than that bytes go wrongly;
 * contexts that share r bytes are neighbours in sorted order, so every distance is
   settled by the neighbours' extensions of both orders.
 
-What is found for a class holds for all its members. A group with more than `HOT`
-contexts does not meet in one task: each of its windows is counted by a 128-bit
-digest, with partial sums first, and counts are joined back. Nothing is dropped in
-either way. Keys that may have very many rows (a string, a class, a window, a text
-that repeats) are aggregated with partial sums, and joined to tables that are
-written first, so that adaptive execution can split them over tasks.
+A group with more than `HOT` contexts does not meet in one task: each of its
+windows is counted by a 128-bit digest, with partial sums first, and counts are
+joined back. Nothing is dropped in either way. Keys that may have very many rows (a
+string, a class, a window, a text that repeats) are aggregated with partial sums,
+and joined to tables that are written first, so that adaptive execution can split
+them over tasks.
 
 Defined cases: a null text is the empty text; texts shorter than a window keep all
 bytes; a very long text is read in blocks of a megabyte that overlap by a window;
@@ -55,6 +62,7 @@ from .common import documents, map_arrow, name, with_row, written
 from .simhash import keep_runs
 
 LENGTH, GRAM, HOT = 200, 64, 4096
+_SLICE = 1024
 _REACH = LENGTH - GRAM
 #: Distances from here on are settled by contexts that are equal on the left, smaller ones by those equal on the right.
 _HALF = _REACH // 2
@@ -97,7 +105,7 @@ def anchors(raw: bytes, ends: np.ndarray):
     """Anchors of texts laid end to end (ends: where each text ends).
 
     Gives arrays: text number, anchor, first and last window start (in the text),
-    hash of the anchor's string, and two halves of its context's digest."""
+    hash of the anchor's string, and its context's digest."""
     values, power, inverse = _tables()
     starts = np.concatenate([[0], ends[:-1]])
     data = np.frombuffer(raw, np.uint8)
@@ -119,18 +127,17 @@ def anchors(raw: bytes, ends: np.ndarray):
         first, last = s[new], s[np.concatenate([new[1:] - 1, [len(s) - 1]])]
         p, text = where[new], text[new]
         block, digest = part.tobytes(), hashlib.blake2b
-        found = b"".join([digest(block[x:y], digest_size=16).digest() for x, y in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)])
-        c, e = np.frombuffer(found, np.int64).reshape(-1, 2).T
+        found = b"".join([digest(block[x:y], digest_size=8).digest() for x, y in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)])
         # equal bytes are one class only with the anchor in the same place
-        e = e ^ mixed((p - first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)).view(np.int64)
+        c = np.frombuffer(found, np.int64) ^ mixed((p - first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)).view(np.int64)
         shift = at - starts[text]
-        out.append((text, p + shift, first + shift, last + shift, gram[p].view(np.int64), c, e))
-    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 7
+        out.append((text, p + shift, first + shift, last + shift, gram[p].view(np.int64), c))
+    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 6
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with _k and _th, which name a text of a document; _k of a null id is no number."""
-    return docs.withColumns({"_k": F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), "_th": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    """docs with _k and _th, which name a text of a document; a null id is told apart in _th."""
+    return docs.withColumns({"_k": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "_th": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).isNull())})
 
 
 def all_anchors(keyed: DataFrame, text_col: str = "text") -> DataFrame:
@@ -142,10 +149,10 @@ def all_anchors(keyed: DataFrame, text_col: str = "text") -> DataFrame:
                 continue
             text, *found = anchors(b"".join(texts), ends)
             at = pa.array(text)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(x) for x in found)], names=["k", "th", "p", "first", "last", "g", "c", "e"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(x) for x in found)], names=["k", "th", "p", "first", "last", "g", "c"])
 
     long_enough = keyed.select(F.col("_k").alias("k"), F.col("_th").alias("th"), F.encode(F.col(text_col), "UTF-8").alias("b")).where(F.length("b") >= LENGTH)
-    return map_arrow(long_enough, work, "k string, th long, p long, first long, last long, g long, c long, e long")
+    return map_arrow(long_enough, work, "k long, th long, p long, first long, last long, g long, c long")
 
 
 class Suffixes:
@@ -269,26 +276,38 @@ def _windows_to_spans(found: np.ndarray):
 
 
 _NEAR, _FAR = range(_HALF), range(_HALF, _REACH + 1)
-_CONTEXT = "key long, far boolean, c long, e long, left binary, right binary"
+#: kind: 0 a slice of a run, 1 a context that meets others by its right side, 2 one by its left side.
+#: single: the class has one member, (k, th, p), whose windows are asked for.
+_CONTEXT = "key long, kind int, k long, th long, p long, single boolean, left binary, right binary"
+_SPAN = "k long, th long, s long, e long"
 
 
 def _compare(contexts: DataFrame) -> DataFrame:
-    """Repeated windows of classes, as (c, e, low, high) distances; each group within one task."""
+    """Spans of repeated windows of single members; each group within one task. Slices must be equal."""
 
     def work(batches):
         for table in keep_runs(batches, 1, _BLOCK):
-            far = table.column("far").to_numpy()
-            for side, distances in ((False, _NEAR), (True, _FAR)):
-                rows = np.flatnonzero(far == side)
+            kinds = table.column("kind").to_numpy()
+            for kind, distances in ((0, None), (1, range(_HALF)), (2, range(_HALF, _REACH + 1))):
+                rows = np.flatnonzero(kinds == kind)
                 if not len(rows):
                     continue
                 part = table.take(pa.array(rows))
                 group = np.unique(part.column("key").to_numpy(), return_inverse=True)[1]
-                row, low, high = _windows_to_spans(repeated_windows(group, part.column("left").to_pylist(), part.column("right").to_pylist(), distances))
-                c, e = (part.column(x).to_numpy()[row] for x in ("c", "e"))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c, e, low + distances[0], high + distances[0])], names=["c", "e", "low", "high"])
+                right = part.column("right").to_pylist()
+                if distances is None:
+                    order, share = Suffixes(right, max(map(len, right))).sorted_groups(group)
+                    same = group[order[1:]] == group[order[:-1]]
+                    size = np.fromiter(map(len, right), np.int64, len(right))[order]
+                    if (same & ((share[1:] != size[1:]) | (size[1:] != size[:-1]))).any():
+                        raise RuntimeError("contexts with one digest differ")
+                    continue
+                row, low, high = _windows_to_spans(repeated_windows(group, part.column("left").to_pylist(), right, distances))
+                k, th, p, single = (part.column(x).to_numpy()[row] for x in ("k", "th", "p", "single"))
+                s, e = p - high - distances[0], p - low - distances[0] + LENGTH
+                yield pa.RecordBatch.from_arrays([pa.array(x[single]) for x in (k, th, s, e)], names=["k", "th", "s", "e"])
 
-    return contexts.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(work, "c long, e long, low long, high long")
+    return contexts.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(work, _SPAN)
 
 
 def _count_windows(contexts: DataFrame) -> DataFrame:
@@ -297,66 +316,82 @@ def _count_windows(contexts: DataFrame) -> DataFrame:
     def work(batches):
         for b in batches:
             found, rows = [], []
-            for far, c, e, left, right in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
-                for d in _FAR if far else _NEAR:
+            for kind, k, th, p, single, left, right in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
+                for d in range(_HALF) if kind == 1 else range(_HALF, _REACH + 1):
                     if d <= len(left) and LENGTH - d <= len(right):
                         found.append(hashlib.blake2b(left[len(left) - d :] + right[: LENGTH - d], digest_size=16).digest())
-                        rows.append((c, e, d))
+                        rows.append((k, th, p - d, single))
             h = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
-            at = np.array(rows, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (*h.T, *at.T)], names=["h1", "h2", "c", "e", "d"])
+            at = np.array(rows, np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in (*h.T, *at.T[:3])), pa.array(at[:, 3] == 1)], names=["h1", "h2", "k", "th", "s", "single"])
 
-    rows = written(map_arrow(contexts, work, "h1 long, h2 long, c long, e long, d long"), "windows")
+    rows = written(map_arrow(contexts, work, "h1 long, h2 long, k long, th long, s long, single boolean"), "windows")
     many = written(rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "many")
-    return rows.join(many, ["h1", "h2"]).select("c", "e", F.col("d").alias("low"), F.col("d").alias("high"))
+    return rows.where("single").join(many, ["h1", "h2"]).select("k", "th", "s", (F.col("s") + LENGTH).alias("e"))
 
 
-def repeated_spans(keyed: DataFrame, text_col: str = "text", *, hot: int = HOT) -> DataFrame:
-    """Spans [s, e) of bytes that go, as (k, th, s, e); they may overlap."""
-    every = all_anchors(keyed, text_col)
-    strings = written(every.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "strings")
-    known = written(every.join(strings, "g"), "anchors")
-    # two members stand for a class, one if it has no more
-    at = F.struct("k", "th", "p", "first", "last")
-    classes = known.groupBy("c", "e").agg(F.first("g").alias("g"), F.count("*").alias("n"), F.min(at).alias("one"), F.max(at).alias("two"))
-    classes = classes.select("c", "e", "g", F.explode(F.when(F.col("n") > 1, F.array(F.struct("one.*", F.lit(1).alias("m")), F.struct("two.*", F.lit(2).alias("m")))).otherwise(F.array(F.struct("one.*", F.lit(1).alias("m"))))).alias("at"))
-    lists = classes.groupBy("at.k", "at.th").agg(F.collect_list(F.struct("g", "c", "e", "at.p", "at.first", "at.last", "at.m")).alias("todo"))
+def _cut(batches):
+    """Slices and contexts of texts, as their lists ask for."""
+    from xxhash import xxh64_intdigest
 
-    def cut(batches):
-        from xxhash import xxh64_intdigest
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    long = lambda x: x.to_bytes(8, "little", signed=True)
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+    for b in batches:
+        out = [[] for _ in kinds]
 
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32()]
-        for b in batches:
-            out = [[] for _ in kinds]
-            for raw, todo in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for t in todo:
-                    p, first, last = t["p"], t["first"], t["last"]
-                    rows = []
+        def put(common, *row, out=out):
+            for c, v in zip(out, (signed(xxh64_intdigest(common, row[0])), *row), strict=True):
+                c.append(v)
+
+        for k, th, raw, todo in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for t in todo:
+                if t["runs"] is None:
+                    g, p, first, last, single = long(t["g"]), t["p"], t["first"], t["last"], t["single"]
                     if p - last < _HALF:
                         right = raw[p : last + LENGTH]
-                        rows.append((False, raw[max(first, p - _HALF + 1) : p], right, right[: LENGTH - _HALF + 1]))
+                        put(right[: LENGTH - _HALF + 1], 1, k, th, p, single, raw[max(first, p - _HALF + 1) : p], right)
                     if p - first >= _HALF:
                         left = raw[first:p]
-                        rows.append((True, left, raw[p : min(last, p - _HALF) + LENGTH], left[-_HALF:] + t["g"].to_bytes(8, "little", signed=True)))
-                    for far, left, right, common in rows:
-                        key = xxh64_intdigest(common, 1 + far)
-                        for c, v in zip(out, (key - (1 << 64) if key >> 63 else key, far, t["c"], t["e"], left, right, t["m"]), strict=True):
-                            c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(out, kinds, strict=True)], names=["key", "far", "c", "e", "left", "right", "m"])
-
-    # of rows with equal id and text one is enough to read a context from; an anchor
-    # whose windows meet an edge of a block has a context on either side of it
+                        put(left[-_HALF:] + g, 2, k, th, p, single, left, raw[p : min(last, p - _HALF) + LENGTH])
+                    continue
+                # g names the pair of texts, p is how far this one's offsets lie from the first one's
+                for at, last in merged([(x["first"], x["last"] + 1) for x in t["runs"]]):
+                    end = last - 1 + LENGTH
+                    while at + LENGTH <= end:  # every window lies in a slice
+                        stop = min(at + _SLICE, end)
+                        put(long(t["g"]) + long(at), 0, k, th, 0, False, b"", raw[at + t["p"] : stop + t["p"]])
+                        at = stop - LENGTH + 1
+        yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(out, kinds, strict=True)], names=[c.split()[0] for c in _CONTEXT.split(", ")])
+
+
+def repeated_spans(keyed: DataFrame, text_col: str = "text", *, hot: int = HOT) -> DataFrame:
+    """Spans [s, e) of bytes that go, as (k, th, s, e); they may overlap."""
+    every = all_anchors(keyed, text_col)
+    strings = written(every.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "strings")
+    known = written(every.join(strings, "g"), "anchors")
+    at = F.struct("k", "th", "p", "first", "last")
+    classes = written(known.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(at).alias("one"), F.max(at).alias("two")), "classes")
+    settled = known.join(classes.where("n > 1").select("g", "c"), ["g", "c"]).select("k", "th", F.col("first").alias("s"), (F.col("last") + LENGTH).alias("e"))
+    # one context of each class of a string with several; two members of each class with several
+    wide = written(classes.groupBy("g").agg(F.count("*").alias("classes")).where("classes > 1").select("g"), "wide")
+    none = F.lit(None).cast("array<struct<first:long,last:long>>").alias("runs")
+    contexts = classes.join(wide, "g").select("one.k", "one.th", F.struct("g", "one.p", "one.first", "one.last", (F.col("n") == 1).alias("single"), none).alias("x"))
+    pairs = classes.where("n > 1 and one <> two").groupBy(F.col("one.k").alias("k1"), F.col("one.th").alias("th1"), F.col("two.k").alias("k2"), F.col("two.th").alias("th2"), (F.col("two.p") - F.col("one.p")).alias("far"))
+    pairs = pairs.agg(F.collect_list(F.struct("one.first", "one.last")).alias("runs")).withColumn("g", F.xxhash64("k1", "th1", "k2", "th2", "far"))
+    zero = F.lit(0).cast("long")
+    run = lambda far: F.struct("g", far.alias("p"), zero.alias("first"), zero.alias("last"), F.lit(False).alias("single"), "runs").alias("x")
+    sides = pairs.select(F.explode(F.array(F.struct(F.col("k1").alias("k"), F.col("th1").alias("th"), run(zero)), F.struct(F.col("k2").alias("k"), F.col("th2").alias("th"), run(F.col("far"))))).alias("y")).select("y.*")
+    lists = contexts.unionByName(sides).groupBy("k", "th").agg(F.collect_list("x").alias("todo"))
+    # of rows with equal id and text one is enough to read from; an anchor whose
+    # windows meet an edge of a block has a context on either side of it
     texts = keyed.select(F.col("_k").alias("k"), F.col("_th").alias("th"), F.encode(F.col(text_col), "UTF-8").alias("raw"))
-    found = texts.join(lists, ["k", "th"]).select("raw", "todo")
-    contexts = written(map_arrow(found, cut, _CONTEXT + ", m int").dropDuplicates(["key", "far", "c", "e", "m"]), "contexts")
-    many = written(contexts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "groups")
-    met = contexts.join(many, "key")
-    some = _compare(met.where(F.col("n") <= hot).select("key", "far", "c", "e", "left", "right"))
-    rest = _count_windows(met.where(F.col("n") > hot).select("key", "far", "c", "e", "left", "right"))
-    # what holds for a class holds for its members
-    said = written(some.unionByName(rest).groupBy("c", "e").agg(F.collect_set(F.struct("low", "high")).alias("d")), "said")
-    spans = known.join(said, ["c", "e"]).select("k", "th", "p", F.explode("d").alias("d"))
-    return spans.select("k", "th", (F.col("p") - F.col("d.high")).alias("s"), (F.col("p") - F.col("d.low") + LENGTH).alias("e"))
+    found = texts.join(lists, ["k", "th"]).groupBy("k", "th").agg(F.first("raw").alias("raw"), F.first("todo").alias("todo"))
+    cut = written(map_arrow(found, _cut, _CONTEXT), "contexts")
+    large = written(cut.where("kind > 0").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"), "large")
+    some = _compare(cut.join(large, "key", "left_anti"))
+    rest = _count_windows(cut.where("kind > 0").join(large, "key"))
+    return settled.unionByName(some).unionByName(rest)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
