@@ -5,8 +5,11 @@ DataFrame functions only; no Python runs on the executors.
 A text's terms are its distinct lower-case runs of letters and digits. The
 lexicon holds the terms whose inverse document frequency ln(N / df) lies in
 [`IDF_LOW`, `IDF_HIGH`]. Document frequencies are counted over all documents, by
-term hash modulo 2^22; the lexicon is thus a bit map of half a megabyte, whatever
-the corpus. A text with fewer than `LEAST` terms in the lexicon keeps all its
+the terms' 64-bit hashes. The lexicon is read as a bit map of 2^22 hash values, half
+a megabyte whatever the corpus. The band holds terms of df >= N e^-IDF_HIGH alone,
+so it has at most e^IDF_HIGH (4,915) times as many as a document has terms on
+average; a term outside the band is taken for one inside with the probability that
+the map is set, which does not grow with the vocabulary (see README). A text with fewer than `LEAST` terms in the lexicon keeps all its
 terms, so that short texts have a fingerprint too.
 
 A term's hashes place it in the randomised subsets of the lexicon: for each of
@@ -24,7 +27,8 @@ and only the edges of the partitions (one row each) meet in one place. Texts are
 shuffled once, by id; of the next document only the part that is used moves.
 
 Defined cases: a null text is the empty text, whose fingerprint is all zeros; a
-null id sorts before all others; rows with equal ids each give a row, share their
+null id sorts before all others; a very long text is read whole; ties in order are
+ties of ids: rows with equal ids each give a row, share their
 neighbours, and stand as a neighbour by the one whose text has the smallest
 SHA-256; a lone id is its own neighbour; an empty table gives no rows; further
 columns are ignored.
@@ -32,6 +36,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +49,8 @@ LEAST = 4
 SEEDS = 8
 #: Zero bits that a subset asks for: rates 1/2 to 1/16384.
 DEPTHS = (1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14)
-_NULL_ID = -(1 << 63)
+#: Stands for a null id: below every long.
+_NULL_ID = Decimal(-(1 << 63) - 1)
 
 
 def terms(text: Column) -> Column:
@@ -53,9 +60,9 @@ def terms(text: Column) -> Column:
 def lexicon(docs: DataFrame, *, text: str = "text", low: float = IDF_LOW, high: float = IDF_HIGH) -> Column:
     """The band's bit map: a scalar subquery of 2^16 longs."""
     many = docs.agg(F.count("*").cast("double").alias("n")).scalar()
-    hashed = docs.select(F.explode(terms(F.col(text))).alias("t")).select(F.pmod(F.xxhash64("t"), F.lit(1 << BITS)).cast("int").alias("k"))
-    counted = hashed.groupBy("k").agg(F.count("*").alias("df")).withColumn("idf", F.ln(many / F.col("df")))
-    inside = counted.where(F.col("idf").between(low, high)).select(F.shiftright("k", 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k").bitwiseAND(63)).alias("b"))
+    hashed = docs.select(F.explode(terms(F.col(text))).alias("t")).select(F.xxhash64("t").alias("h"))
+    counted = hashed.groupBy("h").agg(F.count("*").alias("df")).withColumn("idf", F.ln(many / F.col("df")))
+    inside = counted.where(F.col("idf").between(low, high)).select(F.pmod("h", F.lit(1 << BITS)).cast("int").alias("k")).select(F.shiftright("k", 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k").bitwiseAND(63)).alias("b"))
     every = docs.sparkSession.range(1 << (BITS - 6)).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("b"))
     words = inside.unionByName(every).groupBy("w").agg(F.bit_or("b").alias("b"))
     return words.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("m")).scalar()
@@ -115,7 +122,7 @@ def with_edited(docs: DataFrame) -> DataFrame:
     """k, next_k, text, edited of each row of doc_id, text; k stands for the id.
 
     Both uses of the texts ask for the same columns, so that they share one shuffle."""
-    rows = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(_NULL_ID)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     near = neighbours(rows.groupBy("k").agg(F.max(F.length("text")).alias("n")))
     joined = rows.join(near, "k")
     heads = joined.select("prev_k", "k", F.substring(F.col("text"), F.lit(1), F.floor(F.col("prev_n") / 4).cast("int")).alias("head"), F.sha2("text", 256).alias("sha"))
@@ -140,4 +147,4 @@ def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = written(fingerprint(rows, table, {"text": "fingerprint", "edited": "edited_fingerprint"}), "imatch")
     following = marked.groupBy(F.col("k").alias("next_k")).agg(F.min_by("fingerprint", "sha").alias("next_fingerprint"))
     both = marked.join(following, "next_k")
-    return both.select(F.when(F.col("k") != _NULL_ID, F.col("k")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
+    return both.select(F.when(F.col("k") != F.lit(_NULL_ID), F.col("k").cast("long")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
