@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,10 +30,7 @@ def _bytes_of(column: pa.Array) -> np.ndarray:
 
 
 def in_parts(batches, rows: int = PART_ROWS, size: int = PART_BYTES):
-    """Batches cut into slices that are small in rows and in bytes.
-
-    Spark itself bounds a batch's bytes (spark.sql.execution.arrow.maxBytesPerBatch);
-    no setting of the session is changed here."""
+    """Batches cut into slices that are small in rows and in bytes."""
     for b in batches:
         total, at = np.cumsum(sum(map(_bytes_of, b.columns), np.zeros(b.num_rows, np.int64))), 0
         while at < b.num_rows:
@@ -41,14 +40,45 @@ def in_parts(batches, rows: int = PART_ROWS, size: int = PART_BYTES):
             at = end
 
 
+def clear_of(spans: list[tuple[int, int]]):
+    """A function that says of (start, end) whether it touches none of the spans, in logarithmic time."""
+    starts, ends = [], []
+    for s, e in sorted(spans):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+
+    def clear(s: int, e: int) -> bool:
+        k = bisect_left(starts, e) - 1  # the last span that starts before the end
+        return k < 0 or ends[k] <= s
+
+    return clear
+
+
 def texts_of(batch: pa.RecordBatch, col: str = "text") -> list[str]:
     """The batch's texts with null read as the empty text."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(col)).to_pylist()]
 
 
+_BYTES, _SPARK_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def arrow(df: DataFrame, fn, schema) -> DataFrame:
+    """mapInArrow, with batches of `PART_BYTES` unless the session has a bound of its own.
+
+    Spark's default of 64 MB costs an executor several buffers of that size for every
+    task. The bound is read when a plan is run, so it is lowered for the session; it
+    has no say in results and is never raised."""
+    if df.sparkSession.conf.get(_BYTES, _SPARK_BYTES) == _SPARK_BYTES:
+        df.sparkSession.conf.set(_BYTES, str(PART_BYTES))
+    return df.mapInArrow(fn, schema)
+
+
 def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
-    """mapInArrow over small slices of the batches."""
-    return df.mapInArrow(lambda batches: fn(in_parts(batches)), schema)
+    """`arrow` over small slices of the batches."""
+    return arrow(df, lambda batches: fn(in_parts(batches)), schema)
 
 
 def name(col: str) -> Column:

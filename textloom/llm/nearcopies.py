@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, name, texts_of, with_row, written
+from .common import arrow, map_arrow, name, texts_of, with_row, written
 from .components import connected_components
 from .simhash import close_pairs, forest, keep_runs, majority, runs_of
 
@@ -126,7 +126,8 @@ def links_of(docs: DataFrame, classes: DataFrame, *, least: float = LEAST, block
                 yield pa.RecordBatch.from_arrays([pa.array(cls[i]), pa.array(cls[j])], names=["a", "b"])
 
     ready = dealt.join(sets.withColumnRenamed("x", "set"), "cls").select("bucket", "x", "y", "left", "cls", "fp", "set")
-    return ready.repartition(F.col("bucket"), F.col("x"), F.col("y")).sortWithinPartitions("bucket", "x", "y").mapInArrow(compare, "a long, b long").distinct()
+    dealt = ready.repartition(F.col("bucket"), F.col("x"), F.col("y")).sortWithinPartitions("bucket", "x", "y")
+    return arrow(dealt, compare, "a long, b long").distinct()
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, block: int = BLOCK) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow, texts_of
+from .common import clear_of, documents, map_arrow, texts_of
 from .crf import forward_backward, padded, viterbi
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -380,7 +380,8 @@ def all_spans(texts: list[str], tagger: CharTagger) -> list[tuple[list, list]]:
     out = []
     for text, more in zip(texts, tagged(texts, tagger), strict=True):
         base = [(KINDS[k], s, e) for k, s, e in base_spans(text)]
-        new = [(f"lstm_{k}", s, e) for k, s, e in more if not any(a < e and s < b for _, a, b in base)]
+        clear = clear_of([(s, e) for _, s, e in base])
+        new = [(f"lstm_{k}", s, e) for k, s, e in more if clear(s, e)]
         out.append((base, base + sorted(new)))
     return out
 

@@ -39,7 +39,7 @@ _SPACE = r"[\x20\x09-\x0D]+"
 
 def fixed_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
-    names = docs.columns
+    names = [*map(name, docs.columns)]
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = docs.withColumns({"_w": F.array_remove(F.split(t, _SPACE), ""), "_lines": lines})
@@ -82,7 +82,7 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, *, text: str = "text") -> C
 
 def with_ratio(docs: DataFrame, table: Column, text: str = "text") -> DataFrame:
     """docs with score, the length-normalised log-likelihood ratio."""
-    names = docs.columns
+    names = [*map(name, docs.columns)]
     df = docs.withColumns({"_a": tokens(F.col(text)), "_table": table})
     one = lambda i: F.get("_table", _bucket(F.get("_a", i))) + F.get("_table", _bucket(F.get("_a", i), F.get("_a", i + 1)))
     total = F.aggregate(F.sequence(F.lit(0), F.size("_a") - 1), F.lit(0.0), lambda s, i: s + one(i))

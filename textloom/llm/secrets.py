@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pii
-from .common import documents, map_arrow, texts_of
+from .common import clear_of, documents, map_arrow, texts_of, with_row
 from .crf import FeatureCrf, padded, viterbi
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -385,7 +385,8 @@ def all_spans(texts: list[str], tagger: SecretTagger) -> list[tuple[list, list]]
     out = []
     for text, tagged in zip(texts, tagger.spans(texts), strict=True):
         base = [(s, e, KINDS[k]) for s, e, k in base_spans(text)]
-        more = [(s, e, "crf") for s, e in tagged if not any(a < e and s < b for a, b, _ in base)]
+        clear = clear_of([(s, e) for s, e, _ in base])
+        more = [(s, e, "crf") for s, e in tagged if clear(s, e)]
         order = (*KINDS, "crf")
         out.append((base, sorted(base + more, key=lambda x: (x[0], order.index(x[2]), x[1]))))
     return out
@@ -424,7 +425,6 @@ def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]", t
     """docs with every secret span replaced by `mark`; same columns, same rows."""
     tagger = tagger or train()
     names = docs.columns
-    at = names.index(text_col)
 
     def clean(text: str, spans) -> str:
         out, end = [], 0
@@ -436,10 +436,11 @@ def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]", t
 
     def work(batches):
         for b in batches:
-            texts = texts_of(b, text_col)
+            cols = dict(zip(names, b.column(0).flatten(), strict=True))
+            texts = [t or "" for t in cols[text_col].to_pylist()]
             new = [clean(t, f[1]) if f[1] else t for t, f in zip(texts, all_spans(texts, tagger), strict=True)]
-            was = b.column(at)
-            col = pa.array([None if was[i].as_py() is None else t for i, t in enumerate(new)], pa.string())
-            yield pa.RecordBatch.from_arrays([col if i == at else b.column(i) for i in range(len(names))], names=names)
+            known = cols[text_col].is_valid().to_pylist()
+            cols[text_col] = pa.array([t if k else None for t, k in zip(new, known, strict=True)], cols[text_col].type)
+            yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
 
-    return map_arrow(docs, work, docs.schema)
+    return map_arrow(with_row(docs), work, docs.schema)

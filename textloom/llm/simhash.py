@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow, name, texts_of, with_row, written
+from .common import arrow, documents, map_arrow, name, texts_of, with_row, written
 from .components import connected_components
 
 #: Bits of the five parts, and the most classes in a block.
@@ -274,7 +274,7 @@ def near_links(classes: DataFrame, *, radius: int = 3, block: int = BLOCK) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[j])], names=["a", "b"])
 
     spread = rows.repartition(F.col("bucket"), F.col("x"), F.col("y")).sortWithinPartitions("bucket", "x", "y")
-    return spread.mapInArrow(work, "a long, b long").distinct()
+    return arrow(spread, work, "a long, b long").distinct()
 
 
 def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3, block: int = BLOCK, also: str | None = None) -> DataFrame:

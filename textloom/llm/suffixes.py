@@ -58,7 +58,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_arrow, name, with_row, written
+from .common import arrow, documents, map_arrow, name, with_row, written
 from .simhash import keep_runs
 
 LENGTH, GRAM, HOT = 200, 64, 4096
@@ -307,7 +307,7 @@ def _compare(contexts: DataFrame) -> DataFrame:
                 s, e = p - high - distances[0], p - low - distances[0] + LENGTH
                 yield pa.RecordBatch.from_arrays([pa.array(x[single]) for x in (k, th, s, e)], names=["k", "th", "s", "e"])
 
-    return contexts.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(work, _SPAN)
+    return arrow(contexts.repartition(F.col("key")).sortWithinPartitions("key"), work, _SPAN)
 
 
 def _count_windows(contexts: DataFrame) -> DataFrame:
