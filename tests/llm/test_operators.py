@@ -44,6 +44,60 @@ def test_imatch(spark, tiny, texts):
     assert near.mean() > 0.35 and far.mean() < 0.05 and ((near >= 0) & (near <= 1)).all()
 
 
+def java_hash(x, seed=42) -> int:
+    """Spark's xxhash64 of a string, a long or an array of longs, signed."""
+    import xxhash
+
+    if isinstance(x, list):
+        for v in x:
+            seed = java_hash(v, seed % (1 << 64))
+        return seed
+    h = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else x.to_bytes(8, "little", signed=True), seed)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_imatch_fingerprints_by_hand(spark, tiny, texts):
+    """Lexicon, subsets, hashes and likeness from plain Python."""
+    import math
+
+    import regex
+
+    got, ids = result("op1_imatch", spark, tiny), sorted(texts)
+    own = lambda t: {java_hash(w) for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w}
+    df = Counter(h for t in texts.values() for h in own(t))
+    band = {h % (1 << imatch.BITS) for h, n in df.items() if imatch.IDF_LOW <= math.log(len(texts) / n) <= imatch.IDF_HIGH}
+
+    def fingerprint(text):
+        every = own(text)
+        known = {h for h in every if h % (1 << imatch.BITS) in band}
+        a = sorted(known if len(known) >= imatch.LEAST else every)
+        sides = [a if j < 4 else sorted(map(java_hash, a)) for j in range(8)]
+        out = f"{java_hash(a) % (1 << 64):016x}" if a else "0" * 16
+        for depth in imatch.DEPTHS:
+            for j, x in enumerate(sides):
+                inside = [h for h in x if not (h % (1 << 64)) >> 16 * (j % 4) & ((1 << depth) - 1)]
+                out += f"{java_hash(inside) % 65535 + 1:04x}" if inside else "0000"
+        return out
+
+    def likeness(x, y):
+        if x == y:
+            return 1.0
+        at = lambda f, level, j: f[16 + 4 * (8 * level + j) :][:4]
+        same = []
+        for j in range(8):
+            rare = [k for k in range(len(imatch.DEPTHS)) if at(x, k, j) != "0000" or at(y, k, j) != "0000"]
+            if rare:
+                same.append(at(x, rare[-1], j) == at(y, rare[-1], j))
+        return sum(same) / max(1, len(same))
+
+    marks = {k: fingerprint(t) for k, t in texts.items()}
+    for k, n in zip(ids, [*ids[1:], ids[0]], strict=True):
+        cut = len(texts[k]) // 4
+        edited = fingerprint(texts[k][: len(texts[k]) - cut] + texts[n][:cut])
+        assert (got[k].fingerprint, got[k].edited_fingerprint) == (marks[k], edited)
+        assert got[k].near_edited == pytest.approx(likeness(marks[k], edited)) and got[k].near_next == pytest.approx(likeness(marks[k], marks[n]))
+
+
 def test_secrets(spark, tiny, texts):
     got = result("op2_secrets", spark, tiny)
     for k, t in texts.items():
@@ -333,6 +387,25 @@ def test_toxicity_on_the_held_out_fifth(spark, tiny):
     assert auc > 0.93 and ((s >= 0.5) == (y == 1)).mean() > 0.96
 
 
+def test_toxicity_scores_by_hand(spark, tiny, texts):
+    """Scores from plain sums of n-gram weights and the textbook forward-backward over whole texts."""
+    got = result("op7_toxicity", spark, tiny)
+    tagger = toxicity.train(documents(spark, tiny), spark.read.parquet(f"{tiny}/labels.parquet"))
+    for k in [k for k in texts if k % 4 == 0]:
+        ws = toxicity.words_of(texts[k])
+        odds = -8.0
+        if ws:
+            em = np.zeros((1, len(ws), 2))
+            for i, w in enumerate(ws):
+                em[0, i, 1] = tagger.bias + sum(tagger.own.get(g, 0.0) for g in set(toxicity.grams(w)))
+                em[0, i, 1] += tagger.left.get(ws[i - 1], 0.0) if i else 0.0
+                em[0, i, 1] += tagger.right.get(ws[i + 1], 0.0) if i + 1 < len(ws) else 0.0
+            em = np.clip(em, -30, 30)
+            odds = toxicity.any_odds(crf.forward_backward(em, np.array([len(ws)]), tagger.trans, tagger.start)[0][0, :, 1])
+        want = 1 / (1 + np.exp(-(tagger.line[0] + tagger.line[1] * odds)))
+        assert got[k].score == pytest.approx(want, abs=1e-6) and got[k].predicted == (got[k].score >= 0.5)
+
+
 def test_toxicity_reads_words_to_their_end():
     """What stands behind a word's 40th character, a text's 60th hot word or a token's 22nd n-gram counts."""
     rng = random.Random(17)
