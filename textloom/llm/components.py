@@ -12,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import dropped
 from .common import written
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """Links each node's neighbours (larger ones, or smaller ones and itself) to the least of all."""
+def _star(links: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+    """Links each node's neighbours (larger ones, or smaller ones and itself) to the least of all; and the table of least ones."""
     if large:
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
@@ -27,7 +28,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         out = moved.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = moved.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.where("u <> m").select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b").distinct(), least
 
 
 def connected_components(links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
@@ -37,7 +38,10 @@ def connected_components(links: DataFrame, *, most_rounds: int = 60) -> DataFram
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     mark = None
     for _ in range(most_rounds):
-        edges = written(_star(_star(edges, True), False), "star")
+        large, one = _star(edges, True)
+        small, two = _star(large, False)
+        before, edges = edges, written(small, "star")
+        dropped(before, one, two)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             break
