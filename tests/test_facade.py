@@ -62,3 +62,37 @@ def test_command_line(spark, tmp_path, capsys):
     assert capsys.readouterr().out.startswith("3\t0.")
     cli.main(["hits", "--links", f"{tmp_path}/links"])
     assert "hub\n1: " in capsys.readouterr().out
+
+
+def test_hits_by_titles(spark):
+    """Documents are nodes by their file names; queries of a batch are scaled and stop by themselves."""
+    docs = spark.createDataFrame([(0, "/corpus/Alpha", "the cat"), (1, "corpus\\\\b\\\\Beta", "a dog"), (2, "/corpus/none", "cat")], "doc_id long, name string, text string")
+    titles = spark.createDataFrame([(10, "Alpha"), (11, "Beta"), (12, "Gamma"), (13, "Beta")], "node long, title string")
+    links = spark.createDataFrame([(10, 11), (12, 11), (11, 10), (12, 10), (99, 11)], "src long, dst long")
+    e = SearchEngine(index.Index.build(docs), links=links, titles=titles)
+    both = {(r.query_id, r.doc_id): r.score for r in e.search(["cat", "dog"], ranking=Ranking.HITS).collect()}
+    assert set(both) == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    for i, q in enumerate(["cat", "dog"]):
+        one = {r.doc_id: r.score for r in e.search([q], ranking=Ranking.HITS).collect()}
+        assert {d: s for (k, d), s in both.items() if k == i} == pytest.approx(one)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from textloom import session
+
+    context = N(getConf=lambda: N(get=lambda _: None), _jsc=N(sc=lambda: N(getCheckpointDir=lambda: N(isEmpty=lambda: True))), master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(N(sparkContext=context))
+
+
+def test_copies_are_deleted(spark):
+    from textloom import session
+
+    for made in (session.written(spark.range(5), "one"), session.bucketed(spark.range(5), "two", "id")):
+        path = made._textloom_path
+        assert made.count() == 5 and spark.read.parquet(path).count() == 5
+        session.dropped(made)
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            spark.read.parquet(path)
