@@ -15,9 +15,10 @@ with a probability of 0.15 (0.19 for sets of four and five), so that a pair has
 than 26 differing ones with one of less than 1 in 100,000. What is left is settled
 by the Jaccard index of the whole sets, so nothing that is less alike links. Pairs
 that are joined already are left out, so of a large group of copies no pairs are
-listed. A bucket with more classes than `block` is cut into blocks by hash, and
-each pair of blocks is a task of its own; the links kept hold the same components
-as all links.
+listed. A bucket with more classes than `block` is cut into blocks by hash. Blocks
+are compared by themselves first; where their links have not joined the whole bucket,
+each pair of its blocks is compared too, in a task of its own. The links kept hold
+the same components as all links.
 
 Defined cases: a null text is the empty text; a very long text is read whole; rows
 without an id link nothing and stay; of rows that repeat id and text one stays, of
@@ -111,23 +112,37 @@ def links_of(docs: DataFrame, classes: DataFrame, *, least: float = LEAST, block
 
     sets = written(map_arrow(texts, work, "cls long, x binary").dropDuplicates(["cls"]), "sets")
     own = F.pmod(F.xxhash64("cls"), F.col("cuts")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda k: F.struct(F.least(k, own).alias("x"), F.greatest(k, own).alias("y")))
-    dealt = rows.select("bucket", "cls", "fp", own.alias("own"), F.explode(pair).alias("p")).select("bucket", "p.x", "p.y", (F.col("own") == F.col("p.x")).alias("left"), "cls", "fp")
 
     def compare(batches):
-        """Rows of a task stand sorted by block pair."""
+        """Rows of a task stand sorted by block pair; rows with one label are joined already."""
         for table in keep_runs(batches, 3, _HELD_BYTES, lambda held: sum(b.nbytes for b in held)):
-            x, y, left, cls, fp = (table.column(c).to_numpy() for c in ("x", "y", "left", "cls", "fp"))
-            sets, root = table.column("set"), np.arange(len(fp))
+            x, y, left, cls, fp, label = (table.column(c).to_numpy() for c in ("x", "y", "left", "cls", "fp", "label"))
+            _, first, same = np.unique(label, return_index=True, return_inverse=True)
+            sets, root = table.column("set"), first[same]
             read = lambda i: np.frombuffer(sets[i].as_buffer(), np.uint64)
             found = forest(close_pairs(fp.view(np.uint64), runs_of(table, 3), x == y, left, root, radius), root, lambda i, j: alike(read(i), read(j), least))
             if found:
                 i, j = (np.concatenate(c) for c in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cls[i]), pa.array(cls[j])], names=["a", "b"])
 
-    ready = dealt.join(sets.withColumnRenamed("x", "set"), "cls").select("bucket", "x", "y", "left", "cls", "fp", "set")
-    dealt = ready.repartition(F.col("bucket"), F.col("x"), F.col("y")).sortWithinPartitions("bucket", "x", "y")
-    return arrow(dealt, compare, "a long, b long").distinct()
+    def compared(dealt: DataFrame) -> DataFrame:
+        ready = dealt.join(sets.withColumnRenamed("x", "set"), "cls").select("bucket", "x", "y", "left", "cls", "fp", "label", "set")
+        return arrow(ready.repartition(F.col("bucket"), F.col("x"), F.col("y")).sortWithinPartitions("bucket", "x", "y"), compare, "a long, b long").distinct()
+
+    # each block by itself
+    within = compared(rows.select("bucket", own.alias("x"), own.alias("y"), F.lit(True).alias("left"), "cls", "fp", F.col("cls").alias("label")))
+    large = rows.where("cuts > 1")
+    if large.isEmpty():
+        return within
+    # then each block with every other one of its bucket, where the blocks have not joined the bucket already
+    within = written(within, "within")
+    parts = connected_components(within)
+    labelled = written(large.join(parts, F.col("cls") == F.col("node"), "left").select("bucket", "cls", "fp", "cuts", F.coalesce("root", "cls").alias("label")), "labelled")
+    apart = labelled.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket")
+    others = F.transform(F.filter(F.sequence(F.lit(0), F.col("cuts") - 1), lambda k: k != own), lambda k: F.struct(F.least(k, own).alias("x"), F.greatest(k, own).alias("y")))
+    dealt = labelled.join(apart, "bucket").select("bucket", "cls", "fp", "label", own.alias("own"), F.explode(others).alias("p"))
+    across = compared(dealt.select("bucket", "p.x", "p.y", (F.col("own") == F.col("p.x")).alias("left"), "cls", "fp", "label"))
+    return within.unionByName(across)
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, block: int = BLOCK) -> DataFrame:
