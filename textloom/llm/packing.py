@@ -45,7 +45,7 @@ from .common import documents, map_arrow, texts_of, written
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Tasks whose open windows meet in one task of the next round.
-FAN = 64
+FAN = 16
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("part", pa.int64())])
 #: Pieces in an Arrow batch that goes back to Spark.
 _OUT_ROWS = 2048
