@@ -4,6 +4,12 @@ Every stage takes (spark, docs, sf_dir) and works on all that the one before it
 kept. All but the last return the columns of `documents`; the last returns packed
 pieces. SQL has no form of near-copy components, suffix sorting, tagging or
 tokenisation, so ORACLE_SQL is None; tests hold the stages against brute force.
+
+Defined cases: a null text is the empty text, which the quality rules reject; a very
+long text is read whole by every stage; of near copies the smallest id stays, of rows
+that repeat an id the least text hash, and of rows that repeat id and text one; rows
+without an id are no copies of any other; an empty table gives no rows; further
+columns are kept as they are, whatever their names, by all stages but the last.
 """
 
 from __future__ import annotations
@@ -33,7 +39,8 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark."""
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+    out = secrets.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
