@@ -45,7 +45,7 @@ from .common import documents, map_arrow, texts_of, written
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Tasks whose open windows meet in one task of the next round.
-FAN = 16
+FAN = 8
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("part", pa.int64())])
 #: Pieces in an Arrow batch that goes back to Spark.
 _OUT_ROWS = 2048
@@ -64,7 +64,7 @@ class WordTokenizer:
     has, and the pairs with it have the lowest ranks, so they merge first. Texts
     with rarer characters go to the tokenizers library whole."""
 
-    def __init__(self, path: str, cached: int = 300_000, cached_bytes: int = 40):
+    def __init__(self, path: str, cached: int = 600_000, cached_bytes: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         import tiktoken
@@ -75,8 +75,9 @@ class WordTokenizer:
             file = json.load(f)
         self.pattern = regex.compile(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         special = {t["content"] for t in file["added_tokens"]}
+        self.odd = re.compile(f"[^{_PLAIN}]")
         # the strings of special tokens are theirs in a text too, as the library reads them by default
-        self.odd = re.compile("|".join([f"[^{_PLAIN}]", *map(re.escape, sorted(special))]))
+        self.special = tuple(sorted(special))
         byte = byte_of_char()
         ranks = {bytes(byte[c] for c in t.removesuffix("</w>")) + b"\xff" * t.endswith("</w>"): i for t, i in file["model"]["vocab"].items() if t not in special}
         self.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
@@ -94,7 +95,7 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if self.odd.search(text):
+        if self.odd.search(text) or any(s in text for s in self.special):
             return self.whole(text)
         words = self.pattern.findall(unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower())
         cache = self.cache
@@ -250,7 +251,7 @@ class _Rows:
         return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 2, max_open: int = 512) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 2, max_open: int = 256) -> DataFrame:
     """Packed pieces with their ids; the columns of SCHEMA."""
 
     def first_round(batches):
