@@ -21,9 +21,17 @@ def _without_one(x: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
 
 
-def indel_distance(a: Column, b: Column) -> Column:
-    """Edit distance with insertions and deletions at 1 and substitutions at 2; null beyond 2."""
-    d = F.levenshtein(a, b)
+def _as_bytes(x: Column) -> Column:
+    """A character for each UTF-8 byte."""
+    return F.decode(F.encode(x, "UTF-8"), "ISO-8859-1")
+
+
+def indel_distance(a: Column, b: Column, *, in_bytes: bool = False) -> Column:
+    """Edit distance with insertions and deletions at 1 and substitutions at 2; null beyond 2.
+
+    in_bytes: the underlying Levenshtein distance counts UTF-8 bytes, as DuckDB's does, so
+    that a letter beyond ASCII that is put in or left out is beyond 2 or not one edit."""
+    d = F.levenshtein(_as_bytes(a), _as_bytes(b)) if in_bytes else F.levenshtein(a, b)
     gap = F.abs(F.length(a) - F.length(b))
     return (
         F.when(a == b, 0)

@@ -25,14 +25,14 @@ def overlaps(words: DataFrame, vocab: DataFrame, *, k: int = 2, most: int | None
     return shared.select("word", "term", "df", strings.jaccard(F.col("n_word"), F.col("n_term"), F.col("both")).alias("jaccard"))
 
 
-def candidates(words: DataFrame, vocab: DataFrame, *, k: int = 2, least: float = JACCARD, most: int = DISTANCE) -> DataFrame:
-    """word, term, jaccard, distance, score for each word's corrections."""
+def candidates(words: DataFrame, vocab: DataFrame, *, k: int = 2, least: float = JACCARD, most: int = DISTANCE, in_bytes: bool = False) -> DataFrame:
+    """word, term, jaccard, distance, score for each word's corrections. in_bytes: as for `strings.indel_distance`."""
     scored = overlaps(words, vocab, k=k, most=most).where(F.col("jaccard") >= least)
-    found = scored.withColumn("distance", strings.indel_distance(F.col("word"), F.col("term"))).where(F.col("distance") <= most)
+    found = scored.withColumn("distance", strings.indel_distance(F.col("word"), F.col("term"), in_bytes=in_bytes)).where(F.col("distance") <= most)
     return found.select("word", "term", "jaccard", "distance", (F.col("jaccard") / (F.col("distance") + 1) * (1 + F.ln(F.col("df") + 1))).alias("score"))
 
 
-def correct(q: DataFrame, vocab: DataFrame, *, limit: int = 10, slots: int | None = None) -> DataFrame:
+def correct(q: DataFrame, vocab: DataFrame, *, limit: int = 10, slots: int | None = None, in_bytes: bool = False) -> DataFrame:
     """query_id, rank, phrase, score: up to `limit` corrected phrases for each query.
 
     Known terms stand for themselves with score 1. A query with a slot that has no
@@ -40,7 +40,7 @@ def correct(q: DataFrame, vocab: DataFrame, *, limit: int = 10, slots: int | Non
     words = q.select("query_id", "idx", F.col("term").alias("word"))
     known = words.join(vocab.select(F.col("term").alias("word")), "word", "left_semi").select("query_id", "idx", F.col("word").alias("term"), F.lit(1.0).alias("score"))
     unknown = words.join(vocab.select(F.col("term").alias("word")), "word", "left_anti")
-    fixed = unknown.join(candidates(unknown, vocab), "word").select("query_id", "idx", "term", "score")
+    fixed = unknown.join(candidates(unknown, vocab, in_bytes=in_bytes), "word").select("query_id", "idx", "term", "score")
     options = known.unionByName(fixed)
     slots = slots if slots is not None else (q.agg(F.max("idx")).first()[0] or 0) + 1
     size = q.groupBy("query_id").agg(F.count_distinct("idx").alias("size"))
