@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_queries import rows
 
+from textloom.operators import graph, index
 from textloom.plans import registry
 
 
@@ -27,3 +28,31 @@ def same(name, spark, d):
 @pytest.mark.parametrize("name", ["spell_candidates", "spell_multiword"])
 def test_edits_count_as_in_their_sql(name, spark, umlauts):
     assert same(name, spark, umlauts)
+
+
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_rounds_read_links_between_classes(spark, monkeypatch, few):
+    """Leaves that one node links to have one score, so rounds read one link to them and one from them."""
+    monkeypatch.setattr(graph, "FEW_NODES", few, raising=False)
+    sizes, real = [], graph.bucketed
+    monkeypatch.setattr(graph, "bucketed", lambda df, *a, **k: "share" in df.columns and sizes.append(df.where("share > 0").count()) or real(df, *a, **k))
+    leaves = [f"l{i}" for i in range(50)]
+    links = [("a", x) for x in leaves] + [(x, "b") for x in leaves] + [("b", "a"), ("b", "sink"), ("c", "a"), ("c", "a")]
+    got = {r.node: r.pr for r in graph.pagerank(spark.createDataFrame(links, "src string, dst string"), tolerance=0, rounds=4).collect()}
+    assert sizes and sizes[0] <= 7
+    out = {v: {d for s, d in links if s == v} for v in {x for link in links for x in link}}
+    ranks = dict.fromkeys(out, 1 / len(out))
+    for _ in range(4):
+        lost = sum(ranks[v] for v in out if not out[v])
+        ranks = {v: (0.15 + 0.85 * lost) / len(out) + 0.85 * sum(ranks[u] / len(out[u]) for u in out if v in out[u]) for v in out}
+    assert got == pytest.approx(ranks, abs=1e-12)
+
+
+def test_hits_broadcasts_or_shuffles_its_vector(spark, monkeypatch):
+    """Both ways give the same scores, and a round over few nodes shuffles no links."""
+    links = spark.createDataFrame([(i, (i * 7 + j * j) % 30) for i in range(30) for j in range(4)], "src long, dst long")
+    base = spark.createDataFrame([(q, i) for q in (0, 1) for i in range(30 - 9 * q)], "query_id int, node long")
+    run = lambda: {(r.query_id, r.node): pytest.approx((r.hub, r.auth), abs=1e-9) for r in graph.hits(links, base, rounds=3, by=("query_id",)).collect()}
+    shared = run()
+    monkeypatch.setattr(graph, "FEW_NODES", 0)
+    assert {k: v.expected for k, v in run().items()} == shared and len(shared) == 51
