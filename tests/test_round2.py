@@ -56,3 +56,16 @@ def test_hits_broadcasts_or_shuffles_its_vector(spark, monkeypatch):
     shared = run()
     monkeypatch.setattr(graph, "FEW_NODES", 0)
     assert {k: v.expected for k, v in run().items()} == shared and len(shared) == 51
+
+
+def test_postings_are_made_in_their_rows(spark):
+    """No shuffle of tokens; ids given twice and empty texts give what sums over tokens give."""
+    docs = spark.createDataFrame([(0, "b a b, c"), (1, ""), (2, None), (3, "A a"), (4, "É x1")], "doc_id long, text string")
+    plan = index.document_postings(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    key = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    for rows_ in (docs, docs.unionByName(docs.where("doc_id <> 1"))):
+        toks = index.tokens(rows_)
+        assert key(index.document_postings(rows_)) == key(index.postings(toks))
+        assert key(index.document_counts(rows_)) == key(index.counts(toks))
+        assert key(index.document_vocabulary(rows_)) == key(index.vocabulary(index.counts(toks)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import index
+from ..session import written
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str, **how) -> StreamingQuery:
@@ -15,14 +16,21 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, **how) -> StreamingQue
     A batch that is run again overwrites its own segment, so nothing counts twice."""
 
     def segment(batch: DataFrame, number: int) -> None:
-        index.postings(index.tokens(batch, **how)).write.mode("overwrite").parquet(f"{path}/segment={number}")
+        # a batch may be one file, which one task would read and index
+        spread = batch.repartition(int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        index.document_postings(spread, **how).write.mode("overwrite").parquet(f"{path}/segment={number}")
 
     return stream.writeStream.foreachBatch(segment).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def merged(spark: SparkSession, path: str) -> DataFrame:
-    """Postings of all segments, merged by term and document."""
-    return index.merge_segments(spark.read.option("recursiveFileLookup", False).parquet(path).select("term", "doc_id", "tf", "offsets"))
+    """Postings of all segments, merged by term and document; a document that lies in one segment is merged there already."""
+    rows = spark.read.option("recursiveFileLookup", False).parquet(path)
+    split = written(rows.select("doc_id", "segment").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "split")
+    posts = rows.select("term", "doc_id", "tf", "offsets")
+    if split.isEmpty():
+        return posts
+    return posts.join(split, "doc_id", "left_anti").select(*posts.columns).unionByName(index.merge_segments(posts.join(split, "doc_id", "left_semi")))
 
 
 def publish(spark: SparkSession, path: str, to: str) -> None:
