@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_queries import rows
 
+from textloom.functions import strings
 from textloom.operators import graph, index, search
 from textloom.plans import registry
 
@@ -98,3 +99,14 @@ def test_phrases_meet_in_their_row(spark, tmp_path):
         made = search.document_phrase(batch, index.document_tokens(docs), slots=slots)
         assert key(made) == key(search.phrase(batch, index.tokens(docs), slots=slots)) and key(made)
         assert made._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(") <= 1 + 2
+
+
+def test_kgrams_of_any_characters(spark):
+    """Windows go by code points, also beyond U+FFFF and across line ends; no lambda is run for a term of usual characters."""
+    terms = ["", "a", "aaa", "ation", "x\ny", "é𝒜b𝒜", "𝒜", "ß", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(terms)], "i int, term string")
+    for k in (1, 2, 3, 5):
+        got = {r.i: r.g for r in df.select("i", strings.kgrams(F.col("term"), k).alias("g")).collect()}
+        want = {i: [] if t is None else list(dict.fromkeys(f"^{t}$"[j : j + k] for j in range(len(t) + 3 - k))) for i, t in enumerate(terms)}
+        assert got == want
+    assert "regexp_extract_all" in df.select(strings.kgrams(F.col("term")).alias("g"))._jdf.queryExecution().toString()

@@ -16,12 +16,14 @@ def overlaps(words: DataFrame, vocab: DataFrame, *, k: int = 2, most: int | None
 
     most: a term within that distance differs in length by as much at most, so lengths
     cut the join before anything is counted."""
-    gram = lambda df, c: df.select("*", F.explode(strings.kgrams(F.col(c), k)).alias("kgram"), F.size(strings.kgrams(F.col(c), k)).alias(f"n_{c}"))
+    gram = lambda df, c: df.select("*", F.explode(strings.kgrams(F.col(c), k)).alias("kgram"))
+    sized = lambda df, c: df.withColumn(f"n_{c}", F.size(strings.kgrams(F.col(c), k)))
     w = gram(words.select("word").distinct(), "word")
     met = gram(vocab.select("term", "df"), "term").join(small(w), "kgram")
     if most is not None:
         met = met.where(F.abs(F.length("word") - F.length("term")) <= most)
-    shared = met.groupBy("word", "term", "df", "n_word", "n_term").agg(F.count("*").alias("both"))
+    # sizes are made for pairs that meet, not for every k-gram of the vocabulary
+    shared = sized(sized(met.groupBy("word", "term", "df").agg(F.count("*").alias("both")), "word"), "term")
     return shared.select("word", "term", "df", strings.jaccard(F.col("n_word"), F.col("n_term"), F.col("both")).alias("jaccard"))
 
 
