@@ -38,28 +38,28 @@ def forward_backward(em: np.ndarray, length: np.ndarray, trans: np.ndarray, star
 def viterbi(em: np.ndarray, length: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
     """The best labels; ties go to the lower label. Past a sequence's end: 0."""
     b, t, k = em.shape
-    steps = np.ascontiguousarray(em.transpose(1, 0, 2))
+    steps = np.ascontiguousarray(em.transpose(1, 2, 0))  # a row of memory for each label
     live = np.arange(t)[:, None] < length[None, :]
     whole = int(length.min(initial=t))
-    back = np.zeros((t, b, k), np.int8)
-    score = start + steps[0]
+    back = np.zeros((t, k, b), np.int8)
+    score = start[:, None] + steps[0]
     for i in range(1, t):
-        best, at = score[:, :1] + trans[0], back[i]
+        best, at = score[0] + trans[0][:, None], back[i]
         for a in range(1, k):
-            way = score[:, a : a + 1] + trans[a]
+            way = score[a] + trans[a][:, None]
             np.copyto(at, a, where=way > best)
             np.maximum(best, way, out=best)
         best += steps[i]
         if i < whole:
             score = best
         else:
-            at[~live[i]] = np.arange(k)
-            score = np.where(live[i][:, None], best, score)
+            at[:, ~live[i]] = np.arange(k)[:, None]
+            score = np.where(live[i], best, score)
     path = np.zeros((t, b), np.int8)
-    path[-1] = score.argmax(1)
+    path[-1] = score.argmax(0)
     row = np.arange(b)
     for i in range(t - 1, 0, -1):
-        path[i - 1] = back[i, row, path[i]]
+        path[i - 1] = back[i, path[i], row]
     return np.where(live, path, 0).T
 
 

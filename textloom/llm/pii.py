@@ -94,6 +94,24 @@ def codes(text: str) -> np.ndarray:
     return _code_table()[np.minimum(raw, 0xFFFF)]
 
 
+_ONE, _THIRD = np.float32(1), np.float32(1 / 3)
+
+
+def _sigmoids(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+    """1 / (1 + exp(96 x)) in place, within 1e-6: exp(6 x) is (x x + x + 1/3) / (x x - x + 1/3), of which four squares are taken.
+
+    Weights bound 96 x to some tens. This takes less time than numpy's exp."""
+    np.multiply(x, x, out=low)
+    low += _THIRD
+    np.add(low, x, out=high)
+    low -= x
+    high /= low
+    for _ in range(4):
+        np.multiply(high, high, out=high)
+    high += _ONE
+    np.divide(_ONE, high, out=x)
+
+
 class CharTagger:
     """Embedding, one LSTM each way, a linear layer and CRF transitions."""
 
@@ -192,38 +210,60 @@ class CharTagger:
                     p[k] += now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
         return self
 
-    def fast(self) -> dict[str, np.ndarray]:
-        """Single-precision weights: each code's share of the gates, halved where a sigmoid is half a tanh."""
+    def fast(self) -> tuple[np.ndarray, np.ndarray]:
+        """Single-precision embeddings (size, codes), and for either way one matrix from (hidden, embedding, 1) to the gates and the labels.
+
+        Gates are signed and scaled for `_sigmoids`; hidden values are held halved."""
         if getattr(self, "_fast", None) is None:
             p, h = self.p, self.hidden
-            d = p["e"].shape[1]
-            half = np.r_[np.full(3 * h, 0.5), np.ones(h)]
-            self._fast = {k: np.ascontiguousarray(v, np.float32) for k, v in {"xf": (p["e"] @ p["wf"][:d] + p["bf"]) * half, "xb": (p["e"] @ p["wb"][:d] + p["bb"]) * half, "hf": p["wf"][d:] * half, "hb": p["wb"][d:] * half, "of": p["o"][:h], "ob": p["o"][h:], "bias": p["ob"]}.items()}
+            d, k = p["e"].shape[1], len(LABELS)
+            scale = np.r_[np.full(3 * h, -1.0), np.full(h, -2.0)] / 96
+            ways = []
+            for w, b, o in ((p["wf"], p["bf"], p["o"][:h]), (p["wb"], p["bb"], p["o"][h:])):
+                gates = np.concatenate([2 * w[d:], w[:d], b[None]]) * scale
+                ways.append(np.concatenate([gates, np.concatenate([2 * o, np.zeros((d + 1, k))])], 1).T)
+            self._fast = np.ascontiguousarray(p["e"].T, np.float32), np.ascontiguousarray(ways, np.float32)
         return self._fast
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_fast"}
 
     def read(self, ids: np.ndarray) -> np.ndarray:
-        """Emissions (time, windows, labels) of codes (time, windows)."""
-        w, h = self.fast(), self.hidden
-        t, n = ids.shape
-        em = np.empty((t, n, len(LABELS)), np.float32)
-        for x, u, o, order in (("xf", "hf", "of", range(t)), ("xb", "hb", "ob", range(t - 1, -1, -1))):
-            hid, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
-            for i in order:
-                z = w[x][ids[i]]
-                z += hid @ w[u]
-                np.tanh(z, out=z)
-                gate = z[:, : 3 * h]
-                gate *= 0.5
-                gate += 0.5
+        """Emissions (time, windows, labels) of codes (time, windows).
+
+        Both ways are read at once, a row of memory for each gate. A step's product also
+        gives the labels' share of the hidden values before it."""
+        (e, w), h = self.fast(), self.hidden
+        (t, n), d, g = ids.shape, len(e), 4 * h
+        em = np.empty((t, len(LABELS), n), np.float32)
+        em[:] = self.p["ob"][:, None]
+        held, z, cell = np.zeros((2, h + d + 1, n), np.float32), np.empty((2, w.shape[1], n), np.float32), np.zeros((2, h, n), np.float32)
+        spare = np.empty((2, 2, g, n), np.float32)
+        held[:, -1] = 1.0
+        hid, gates, tanh = held[:, :h], z[:, :g], z[:, 3 * h : g]
+        with np.errstate(over="ignore"):  # exp that is infinite gives 0, as it should
+            for i in range(t + 1):
+                if i < t:
+                    np.take(e, ids[i], axis=1, out=held[0, h:-1], mode="clip")
+                    np.take(e, ids[t - 1 - i], axis=1, out=held[1, h:-1], mode="clip")
+                np.matmul(w, held, out=z)
+                if i:
+                    em[i - 1] += z[0, g:]
+                    em[t - i] += z[1, g:]
+                if i == t:
+                    break
+                _sigmoids(gates, *spare)
+                tanh *= -4.0  # cells are held times -2, as exp takes them
+                tanh += 2.0
+                tanh *= z[:, :h]
                 cell *= z[:, h : 2 * h]
-                cell += z[:, :h] * z[:, 3 * h :]
-                hid = np.tanh(cell)
+                cell += tanh
+                np.exp(cell, out=hid)
+                hid += 1.0
+                np.divide(_ONE, hid, out=hid)
+                hid -= 0.5
                 hid *= z[:, 2 * h : 3 * h]
-                em[i] = hid @ w[o] if x == "xf" else em[i] + hid @ w[o]
-        return em + w["bias"]
+        return em.transpose(0, 2, 1)
 
     def may_tag(self, em: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Windows whose best path may leave label 0; of the others it is proven not to.
@@ -234,7 +274,10 @@ class CharTagger:
         t = self.p["t"] - self.p["t"][0, 0]
         into = max(float(t[0, 1:].max()), float((self.p["s"][1:] - self.p["s"][0]).max()))
         out, step = max(0.0, float(t[1:, 0].max())), float(t[1:, 1:].max())
-        gain = em[:, :, 1:].max(2) - em[:, :, 0] + np.float32(step)
+        gain = em[:, :, 1].copy()
+        for k in range(2, em.shape[2]):
+            np.maximum(gain, em[:, :, k], out=gain)
+        gain += np.float32(step) - em[:, :, 0]
         gain[np.arange(len(gain))[:, None] >= length[None, :]] = -np.inf
         run = np.full(em.shape[1], -np.inf, np.float32)
         best = run.copy()
