@@ -131,6 +131,22 @@ def test_lines_are_decoded_and_encoded_again_without_a_shuffle(spark):
     again = index.encode_postings(index.decode_postings(lines), span=4)
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(again) == key(lines) and len(key(lines)) == 10
-    assert again._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert again._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
     bare = index.decode_postings(lines.select("term", "line"))
     assert bare.columns == ["term", "doc_id", "tf", "offsets"] and bare.count() == index.document_postings(docs).count()
+
+
+@pytest.mark.parametrize("path", ["endpoint", "complete"])
+def test_a_step_of_walks_shuffles_walkers_alone(spark, monkeypatch, path):
+    """Links carry their target's degree and are bucketed, so no step shuffles links or degrees."""
+    plans, real = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: name == "going" and plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = spark.createDataFrame([(i, (i * j + 1) % 40) for i in range(40) if i % 5 for j in (1, 2, 3)], "src long, dst long")
+        got = {r.node: r.pr for r in graph.monte_carlo(links, spark.range(40).select(F.col("id").alias("node")), start="cyclic", path=path, walks=3, most_steps=4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 40 and sum(got.values()) == pytest.approx(1.0)
+    assert len(plans) == 5  # the start and four steps
+    assert all(p.count("Exchange hashpartitioning") == (1 if path == "complete" else 2) for p in plans[1:])
