@@ -185,3 +185,18 @@ def test_blocks_of_kgrams_are_those_of_each_term():
             assert dict(zip(made.column(0).to_pylist(), made.column(1).to_pylist())) == want
     batches = [pa.record_batch([pa.array([1] * n, pa.int64())], ["x"]) for n in (2, 3, 0, 1)]
     assert [b.num_rows for b in index._gathered(batches, 4, len)] == [5, 1]
+
+
+def test_a_batch_of_graphs_is_summed_by_hash_and_its_root_is_made_once(spark, monkeypatch):
+    """Graphs go by a number, so no round sorts for its sums; what a root is made of is no part of the base set's plan. A graph may have a null for a name."""
+    links = spark.createDataFrame([(i, (i * 7 + j * j) % 30) for i in range(30) for j in range(4)], "src long, dst long")
+    root = spark.createDataFrame([(q, i) for q in (0, None) for i in range(0, 30, 6)], "query_id int, node long")
+    made = root.mapInArrow(lambda batches: batches, "query_id int, node long")
+    base = graph.base_set(links, made, by=("query_id",))
+    assert "MapInArrow" not in base._jdf.queryExecution().toString()
+    plans, real = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: name == "step" and plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    got = {(r.query_id, r.node): (r.hub, r.auth) for r in graph.hits(links, base, rounds=3, by=("query_id",)).collect()}
+    assert plans and not any("SortAggregate" in p for p in plans)
+    one = {r.node: (r.hub, r.auth) for r in graph.hits(links, base.where("query_id = 0").select("node"), rounds=3).collect()}
+    assert one and got == {(q, node): pytest.approx(v, abs=1e-9) for q in (0, None) for node, v in one.items()}

@@ -116,8 +116,14 @@ def hits(links: DataFrame, base: DataFrame | None = None, *, tolerance: float =
     stops by itself, and all are iterated together."""
     links = written(links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("m")), "links")
     base = (base if base is not None else nodes_of(links)).select(*by, "node").distinct()
-    graph = F.struct(*by) if by else F.lit(0)
-    ids = _numbered(base.withColumn("graph", graph))
+    if by:
+        # a graph goes by a number, which sums by hash can hold, unlike a struct
+        base = written(base.withColumn("of", F.struct(*by)), "base")
+        graphs = written(base.select("of").distinct().withColumn("graph", F.monotonically_increasing_id()), "graphs")
+        ids = _numbered(base.join(graphs, "of").drop("of"))
+        dropped(base, graphs)
+    else:
+        ids = _numbered(base.withColumn("graph", F.lit(0)))
     few = ids.count() <= FEW_NODES
     at = lambda end, c: _near(ids.select(F.col("graph"), F.col("node").alias(end), F.col("id").alias(c)), few)
     pairs = written(links.join(at("src", "s"), "src").join(at("dst", "d"), ["graph", "dst"] if by else "dst").select("s", "d", "m"), "pairs")
@@ -149,7 +155,7 @@ def hits(links: DataFrame, base: DataFrame | None = None, *, tolerance: float =
 
 def base_set(links: DataFrame, root: DataFrame, titled: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Root nodes, what they link to, and what links to them; nodes without a title go. by: as for `hits`."""
-    r = root.select(*by, "node").distinct()
+    r = written(root.select(*by, "node").distinct(), "root")  # it may stand for a search of all texts, and is read three times
     out = links.join(r.withColumnRenamed("node", "src"), "src").select(*by, F.col("dst").alias("node"))
     into = links.join(r.withColumnRenamed("node", "dst"), "dst").select(*by, F.col("src").alias("node"))
     every = r.union(out).union(into).distinct()
